@@ -96,9 +96,7 @@ def mix(
         uniform(seed, df[key]).alias("u"),
     )
     small = checkpoint(rows.drop("record"))  # so that texts are read once for this and once for the result
-    stats = checkpoint(
-        small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.sum(F.col("size") * F.col("like")).cast("double").alias("liked"))
-    )
+    stats = small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.sum(F.col("size") * F.col("like")).cast("double").alias("liked"))
     n_sources, n_rows = stats.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
     n_bins = 1 << max(8, math.ceil(math.log2(max(1, n_rows / BIN_ROWS))))
     by_source = F.broadcast if n_sources <= BROADCAST_SOURCES else lambda x: x
@@ -128,7 +126,7 @@ def mix(
         .groupBy("source", "bin")
         .agg(F.sum(F.when(may, F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("certain"), F.first("target").alias("target"))
     )
-    last = checkpoint(
+    last = (
         sums.withColumn("left", F.col("target") - F.sum("certain").over(Window.partitionBy("source")))
         .withColumn("till", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
         .where((F.col("till") >= F.col("left")) | (F.col("bin") == n_bins - 1))
