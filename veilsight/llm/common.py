@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else.
 
-    ``lower`` has a fast path for pure ASCII strings, where both agree.
+    ``lower`` is much faster than ``translate``, and the same where only A-Z
+    are upper-case.
     """
-    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_LOWER))
+    plain = (F.octet_length(c) == F.char_length(c)) | ~F.rlike(c, F.lit(r"[\x{80}-\x{10FFFF}&&[\p{IsUppercase}\p{Lt}]]"))
+    return F.when(plain, F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_LOWER))
 
 
 def n_words(c: Column) -> Column:

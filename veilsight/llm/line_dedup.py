@@ -11,12 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilsight.llm.common import BLANKS, ascii_lower
+from veilsight.llm.common import BLANKS, ascii_lower, checkpoint
 
 
-def line_key(line: Column) -> Column:
-    """Stripped of blanks at both ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
+def keys_of_lines(text: Column) -> Column:
+    """The text's lines, each stripped of blanks at both ends and A-Z lower-cased."""
+    return F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)))
+
+
+def _hash(c: Column) -> list[Column]:
+    """128 bits: two seeds of a 64-bit hash."""
+    return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(59), c).alias("h2")]
 
 
 def drop_shared_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -25,44 +30,41 @@ def drop_shared_lines(df: DataFrame, key: str = "doc_id", text: str = "text", mi
     A line's key of at least min_chars code points that at least min_docs
     distinct values of df[key] hold loses its lines except in the smallest of
     those values.  kept joins the other lines by newline.  A null or empty
-    text is one empty line.  Rows with equal key count as one document.  A null
-    key is the smallest.  An empty table gives an empty result.
+    text is one empty line.  Rows with equal key count as one document.  Rows
+    with a null key are one document too, the largest.  An empty table gives
+    an empty result.
     """
     rows = df.select(
         F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("record"),
         df[key].alias("key"),
         F.coalesce(df[text], F.lit("")).alias("text"),
     )
-    split = F.split("text", "\n", -1)
     # rows that share a key may differ in text, so both tell where a position belongs
-    row = rows.select("key", F.unhex(F.md5("text")).alias("text_hash"), F.posexplode(split).alias("pos", "line"))
-    keys = (
-        row.where(F.char_length("line") >= min_chars)
-        .withColumn("line", line_key(F.col("line")))
-        .where(F.char_length("line") >= min_chars)
-        .select("key", "text_hash", "pos", F.unhex(F.md5("line")).alias("hash"))
-    )
-    # keys wrapped in a struct so that min, max and <=> order nulls too
-    found = keys.select("hash", F.struct("key").alias("doc"))
+    lines = rows.select("key", F.xxhash64("text").alias("text_hash"), F.posexplode(keys_of_lines(F.col("text"))).alias("pos", "line"))
+    hashes = checkpoint(lines.where(F.char_length("line") >= min_chars).select("key", "text_hash", "pos", *_hash(F.col("line"))))
+    found = hashes.groupBy("h1", "h2")
     if min_docs <= 2:
-        shared = found.groupBy("hash").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
-        shared = shared.where(~F.col("first_doc").eqNullSafe(F.col("last_doc"))) if min_docs == 2 else shared
+        shared = found.agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max(F.col("key").isNull()).alias("none"))
+        if min_docs == 2:
+            shared = shared.where((F.col("first") < F.col("last")) | (F.col("none") & F.col("first").isNotNull()))
     else:
-        shared = found.groupBy("hash", "doc").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.min("doc").alias("first_doc"), F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+        per_doc = hashes.groupBy("h1", "h2", "key").agg(F.lit(1).alias("one"))
+        shared = per_doc.groupBy("h1", "h2").agg(F.min("key").alias("first"), F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     dropped = (
-        keys.join(shared.select("hash", "first_doc"), "hash")
-        .where(~F.struct("key").eqNullSafe(F.col("first_doc")))
+        hashes.join(shared.select("h1", "h2", "first"), ["h1", "h2"])
+        .where(~F.col("key").eqNullSafe(F.col("first")))
         .groupBy("key", "text_hash")
         .agg(F.collect_set("pos").alias("drop"))
         .select(F.col("key").alias("k"), F.col("text_hash").alias("h"), "drop")
     )
-    rows = rows.withColumn("text_hash", F.unhex(F.md5("text")))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     joined = rows.join(dropped.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left")
-    lines = joined.select("record", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"), split.alias("lines"))
-    kept = F.filter("lines", lambda x, i: ~F.array_contains(F.col("drop"), i))
-    return lines.select(
+    split = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
+    breaks = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))
+    return joined.select(
         "record",
-        F.size("lines").cast("long").alias("n_lines"),
-        F.size("drop").cast("long").alias("n_dropped"),
-        F.when(F.size("drop") == 0, F.array_join("lines", "\n")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        (F.when(F.col("drop").isNull(), breaks + 1).otherwise(F.size(split))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("kept"),
     )
