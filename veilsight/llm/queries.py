@@ -12,6 +12,58 @@ from pyspark.sql import functions as F
 from veilsight.llm.common import table
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilsight.llm.licenses import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    labels = lambda places: F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+    return out.select(
+        "record.doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda p: p["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda p: p["start"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+#: Fixed rules of op4_url_filter: host/path and verdict, a listed set of known size.
+URL_RULES = (
+    ("com/en/", "block"),
+    ("example.com/en/7", "allow"),
+    ("net/de/", "block"),
+    ("example.net/de/8", "block"),
+    ("org/es/", "block"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilsight.llm.url_filter import judge
+
+    out = judge(table(spark, sf_dir, "pages"), spark.createDataFrame(list(URL_RULES), "rule string, verdict string"))
+    return out.select("record.page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = r"""
+WITH r(rule, rhost, rpath, verdict) AS (VALUES
+  ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+  ('net/de/', 'net', '/de/', 'block'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+a AS (
+  SELECT page_id, row_number() OVER () AS row, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (
+  SELECT page_id, row, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+m AS (
+  SELECT b.row, r.rule, r.verdict, row_number() OVER (PARTITION BY b.row ORDER BY length(r.rule) DESC, length(r.rhost) DESC) AS n
+  FROM b JOIN r ON (b.host = r.rhost OR ends_with(b.host, '.' || r.rhost)) AND starts_with(b.path, r.rpath))
+SELECT b.page_id, b.host, b.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
+FROM b LEFT JOIN m ON b.row = m.row AND m.n = 1
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilsight.llm.sharding import external_shuffle
 
@@ -54,6 +106,24 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilsight.llm.tiff import store_texts, tiff_pages
+
+    pages = tiff_pages(store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    feature = F.format_string("%dx%d c%d p%d m%.4f s%.4f", "width", "height", "compression", "predictor", "mean", "spread")
+    # a stored text has one page
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilsight.llm.mixing import mix
 
@@ -97,8 +167,15 @@ FROM k
 
 
 def queries() -> dict:
-    return {"op6_sharding": op6_sharding, "op8_line_dedup": op8_line_dedup, "op10_mixing": op10_mixing}
+    return {
+        "op3_licenses": op3_licenses,
+        "op4_url_filter": op4_url_filter,
+        "op6_sharding": op6_sharding,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_tiff": op9_tiff,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op4_url_filter": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
