@@ -64,6 +64,15 @@ FROM b LEFT JOIN m ON b.row = m.row AND m.n = 1
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from veilsight.llm.packing import pack, tokenize
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0), capacity=2048)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilsight.llm.sharding import external_shuffle
 
@@ -170,6 +179,7 @@ def queries() -> dict:
     return {
         "op3_licenses": op3_licenses,
         "op4_url_filter": op4_url_filter,
+        "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
         "op8_line_dedup": op8_line_dedup,
         "op9_tiff": op9_tiff,
