@@ -88,6 +88,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilsight.llm.near_dedup import Plan, near_components
+
+    return near_components(table(spark, sf_dir, "documents"), plan=Plan(share=80, words=2))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilsight.llm.line_dedup import drop_shared_lines
 
@@ -181,6 +187,7 @@ def queries() -> dict:
         "op4_url_filter": op4_url_filter,
         "op5_packing": op5_packing,
         "op6_sharding": op6_sharding,
+        "op7_near_dedup": op7_near_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_tiff": op9_tiff,
         "op10_mixing": op10_mixing,
