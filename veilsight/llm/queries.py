@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from veilsight.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilsight.llm.toxicity import fit, labelled_texts, score_texts
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = fit(docs, labelled_texts(docs, labels.where(~held_out)))
+    out = score_texts(docs, model)
+    return out.select("record.doc_id", "score", "n_restored").select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_restored"
+    )
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilsight.llm.licenses import scan_licenses
 
@@ -183,6 +195,7 @@ FROM k
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_licenses": op3_licenses,
         "op4_url_filter": op4_url_filter,
         "op5_packing": op5_packing,
