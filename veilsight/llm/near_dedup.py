@@ -45,7 +45,9 @@ class Plan:
     share: int = 80
     words: int = 5
     trees: int = 8
-    levels: int = 5
+    levels: int = 12
+    #: Rows of large nodes that have not fallen by this factor in a level are taken to be alike, and go no deeper.
+    shrink: float = 0.9
     #: Nodes of so many documents at most are compared exhaustively.
     node: int = 64
     #: Sketches that agree in so many coordinates, of 64, make a candidate: four standard deviations under the threshold.
@@ -200,7 +202,15 @@ def _compare_nodes(agree: int):
             hits = np.concatenate(hits) if hits else np.empty(0, np.int64)
             # rows of different nodes are different, so one forest serves the batch
             joined = Union(len(ids))
-            yield _edges([(int(ids[a]), int(ids[b])) for a, b in zip(left[hits].tolist(), right[hits].tolist(), strict=True) if joined.join(a, b)])
+            for a, b in zip(left[hits].tolist(), right[hits].tolist(), strict=True):
+                joined.join(a, b)
+            # stars about the least cid, so that nodes of like members emit like links
+            member = np.unique(np.concatenate([left[hits], right[hits]]))
+            root = np.array([joined.find(i) for i in member.tolist()], np.int64)
+            least: dict[int, int] = {}
+            for i, r in zip(member.tolist(), root.tolist(), strict=True):
+                least[r] = min(least.get(r, int(ids[i])), int(ids[i]))
+            yield _edges([(least[r], int(ids[i])) for i, r in zip(member.tolist(), root.tolist(), strict=True) if least[r] != ids[i]])
 
     return run
 
@@ -214,6 +224,9 @@ def _compare_blocks(agree: int):
                 rows, far = rows.as_py(), far.as_py()
                 low = np.frombuffer(b"".join(r["low"] for r in rows), np.uint8).reshape(len(rows), -1)
                 out, joined, place = [], Union(len(rows) + len(far)), {r["cid"]: i for i, r in enumerate(rows)}
+                near = [i for i, r in enumerate(rows) if r["near"]]
+                for i in near[1:]:  # the pivot has linked them
+                    joined.join(near[0], i)
                 for j, y in enumerate(far):
                     me = place.get(y["cid"], len(rows) + j)
                     for i in np.flatnonzero((low == np.frombuffer(y["low"], np.uint8)).sum(axis=1) >= agree).tolist():
@@ -226,7 +239,7 @@ def _compare_blocks(agree: int):
 
 def _dense(rows: DataFrame, agree: int, block: int = 2048) -> DataFrame:
     """Candidate links in nodes of any size: rows near the node's pivot link to it, the others are compared with all, in blocks."""
-    pivot = rows.groupBy("path").agg(F.min(F.struct(F.xxhash64("cid"), "cid", "low")).alias("p"), F.count("*").alias("n"))
+    pivot = rows.groupBy("path").agg(F.min(F.struct("cid", "low")).alias("p"), F.count("*").alias("n"))
     same = F.aggregate(F.sequence(F.lit(1), F.lit(COORDINATES)), F.lit(0), lambda s, i: s + (F.substring("low", i, F.lit(1)) == F.substring("p.low", i, F.lit(1))).cast("int"))
     judged = checkpoint(rows.join(pivot, "path").select("path", "cid", "low", "n", F.col("p.cid").alias("to"), (same >= agree).alias("near")))
     star = judged.where("near AND cid <> to").select(F.col("to").alias("a"), F.col("cid").alias("b"))
@@ -234,7 +247,7 @@ def _dense(rows: DataFrame, agree: int, block: int = 2048) -> DataFrame:
     far = judged.where("NOT near")
     n_far = far.groupBy("path").agg(F.ceil(F.count("*") / block).alias("far_blocks"))
     number = lambda of: F.pmod(F.xxhash64("cid", F.lit(3)), of)
-    one = F.struct("cid", "low").alias("one")
+    one = F.struct("cid", "low", "near").alias("one")
     rows_in = judged.join(n_far, "path").select("path", number(blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("j"), one)
     far_in = far.join(n_far, "path").select("path", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i"), number(F.col("far_blocks")).alias("j"), one)
     left = rows_in.groupBy("path", "i", "j").agg(F.collect_list("one").alias("rows"))
@@ -245,7 +258,7 @@ def _dense(rows: DataFrame, agree: int, block: int = 2048) -> DataFrame:
 def candidate_links(reps: DataFrame, plan: Plan) -> DataFrame:
     """Links a, b between cids whose sketches agree; reps has cid and sketch."""
     nodes = reps.select("cid", "sketch").mapInArrow(_roots(plan.trees), "path long, cid long, low binary")
-    links = None
+    links, before = None, None
     for level in range(1, plan.levels + 1):
         counts = nodes.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         small = nodes.join(counts.where(F.col("n") <= plan.node).select("path"), "path")
@@ -253,12 +266,14 @@ def candidate_links(reps: DataFrame, plan: Plan) -> DataFrame:
         found = members.mapInArrow(_compare_nodes(plan.agree), "a long, b long")
         large = nodes.join(counts.where(F.col("n") > plan.node).select("path"), "path")
         large = checkpoint(large)
-        last = large.isEmpty()
-        if level == plan.levels and not last:
+        rows = large.count()
+        stop = rows == 0 or level == plan.levels or (before is not None and rows > plan.shrink * before)
+        before = rows
+        if rows and stop:
             found = found.unionByName(_dense(large, plan.agree))
         found = checkpoint(found.distinct())
         links = found if links is None else links.unionByName(found)
-        if last:
+        if stop:
             break
         nodes = large.select("path", "cid").join(reps.select("cid", "sketch"), "cid").select("path", "cid", "sketch").mapInArrow(_children, "path long, cid long, low binary")
     return links.distinct()
