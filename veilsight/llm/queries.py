@@ -24,6 +24,48 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilsight.llm.spotsigs import edited, fingerprint, likeness, neighbours, signatures
+
+    rows = neighbours(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", edited(F.col("text"), F.col("n_chars"), F.col("next_head"))).drop("text", "next_head")
+    rows = rows.select("*", signatures(F.col("edited")).alias("edited_sigs"))
+    return rows.select(
+        F.col("key").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("sigs")).alias("fingerprint"),
+        fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
+def _op2_sql() -> str:
+    from veilsight.llm.spotsigs import ANCHORS, CHAIN, REACH
+
+    common = "['', " + ", ".join(f"'{a}'" for a in ANCHORS) + "]"
+    sigs = lambda text: f"""(
+      SELECT CASE WHEN len(w) > 1 THEN list_sort(list_distinct(list_transform(
+               list_filter(range(1, len(w) + 1), lambda i: list_contains(c, w[i])),
+               lambda i: substr(md5(array_to_string(list_concat([w[i]], list_slice(list_filter(list_slice(w, i + 1, i + {REACH}), lambda x: NOT list_contains(c, x)), 1, {CHAIN})), ' ')), 1, 8))))
+             ELSE CAST([] AS VARCHAR[]) END
+      FROM (SELECT {common} AS c, list_concat([''], list_filter(string_split(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w))"""
+    like = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars,
+         coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next FROM documents),
+e AS (
+  SELECT *, substr(text, 1, n_chars - n_chars // 3) || substr(next, 1, n_chars // 3) AS edited FROM d),
+s AS (
+  SELECT *, {sigs("e.text")} AS own, {sigs("e.edited")} AS other, {sigs("e.next")} AS following FROM e)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(other, '') AS edited_fingerprint,
+       {like("own", "other")} AS near_edited, {like("own", "following")} AS near_next
+FROM s
+"""
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilsight.llm.licenses import scan_licenses
 
@@ -196,6 +238,7 @@ FROM k
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_spotsigs": op2_spotsigs,
         "op3_licenses": op3_licenses,
         "op4_url_filter": op4_url_filter,
         "op5_packing": op5_packing,
@@ -208,4 +251,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_spotsigs": _op2_sql(), "op4_url_filter": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
