@@ -92,7 +92,7 @@ def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, first, second, drawn = [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 tokens = shingles(t.as_py(), words)
                 size.append(len(tokens))
                 if len(tokens):
@@ -103,8 +103,8 @@ def _signatures(words: int):
                 else:
                     first.append(None), second.append(None), drawn.append(None)  # noqa: B018
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(drawn, pa.binary())],
-                ["key", "n", "h1", "h2", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(drawn, pa.binary())],
+                ["key", "text_hash", "n", "h1", "h2", "sketch"],
             )
 
     return run
@@ -456,7 +456,7 @@ def _judge(share: int, grey: int):
 
 
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
-    """A row per row of df: key, n_shingles, component_id, kept.
+    """A row per row of df: key, n_shingles, component_id, kept, text_hash.
 
     Rows link if their sets of distinct word shingles overlap by plan.share /
     100 or more; component_id is the smallest key that links reach, kept
@@ -467,9 +467,9 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", plan
     about 0.9999 at the threshold, more above it; what is found is exact.
     """
     plan = plan or Plan()
-    texts = df.select(df[key].alias("key"), df[text].alias("text"))
+    texts = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("text_hash"), df[text].alias("text"))
     kind = dict(texts.dtypes)["key"]
-    seen = checkpoint(texts.mapInArrow(_signatures(plan.words), f"key {kind}, n long, h1 long, h2 long, sketch binary"))
+    seen = checkpoint(texts.mapInArrow(_signatures(plan.words), f"key {kind}, text_hash long, n long, h1 long, h2 long, sketch binary"))
     classes = seen.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("n").alias("n"))
     reps = seen.where("n > 0").join(classes.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("key").eqNullSafe(F.col("first")))
     reps = checkpoint(reps.dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("cid"), "first", "n", "sketch"))
@@ -493,6 +493,6 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", plan
     rooted = reps.select("cid", "first").join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("cid").alias("h1"), "component_id")
-    out = seen.select("key", "n", "h1").join(named, "h1", "left")
+    out = seen.select("key", "text_hash", "n", "h1").join(named, "h1", "left")
     component = F.coalesce("component_id", "key")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), "text_hash")

@@ -145,7 +145,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilsight.llm.near_dedup import Plan, near_components
 
-    return near_components(table(spark, sf_dir, "documents"), plan=Plan(share=80, words=2))
+    return near_components(table(spark, sf_dir, "documents"), plan=Plan(share=80, words=2)).drop("text_hash")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
