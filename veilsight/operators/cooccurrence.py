@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilsight.functions import stats
 from veilsight.operators.ranking import bh
+from veilsight.session import checkpoint
 
 UNITS = ("clause", "field", "uuid")
 
@@ -79,7 +80,7 @@ def pair_associations(pairs: DataFrame) -> DataFrame:
 
 def significant_pairs(pairs: DataFrame, q: float = 0.05, tiers: DataFrame | None = None) -> DataFrame:
     """Positive pairs of q_value at most q (all pairs if q is 0 or less); q over the pairs of each unit."""
-    scored = pair_associations(pairs)
+    scored = checkpoint(pair_associations(pairs))
     tails = scored.select("g2").distinct().withColumn("tail", stats.chi2_tail("g2"))
     scored = scored.join(tails, "g2")
     scored = scored.withColumn("p_one", F.when(F.col("positive"), F.col("tail") / 2).otherwise(1 - F.col("tail") / 2))

@@ -55,8 +55,9 @@ def bh(df: DataFrame, p: str = "p_value", out: str = "q_value") -> DataFrame:
     """df with Benjamini-Hochberg q of column p over all its rows (null p: null q, and not counted).
 
     q depends on p alone, so only distinct p are ordered: first upwards to
-    count, then downwards for the least.
+    count, then downwards for the least.  df is computed once.
     """
+    df = checkpoint(df)
     values = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("n"))
     counted = running(values, [F.col(p).asc()], {"upto": F.col("n")})
     total = values.agg(F.sum("n").alias("m"))

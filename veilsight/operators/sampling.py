@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilsight.functions import stats
 from veilsight.operators import risk
 from veilsight.operators.ranking import quantile_bins, take_lowest
+from veilsight.session import checkpoint
 
 
 def bernoulli(df: DataFrame, share: float, key: Column, seed: int = 42) -> DataFrame:
@@ -107,9 +108,9 @@ def balanced(samples: DataFrame, terms: DataFrame, mode: str = "lds", n_bins: in
     if mode == "bin-equal":
         rows = bin_equal(rows, "y_risk", n_bins, key, max_samples // n_bins if max_samples else 0, seed).withColumn("lds_weight", F.lit(1.0))
     else:
-        rows = risk.lds_weights(rows, "y_risk", n_bins, sigma, clip)
+        rows = risk.lds_weights(checkpoint(rows), "y_risk", n_bins, sigma, clip)
         if max_samples:
-            rows = risk.lds_weights(weighted(rows, max_samples, "lds_weight", key, seed).drop("lds_weight"), "y_risk", n_bins, sigma, clip)
+            rows = risk.lds_weights(checkpoint(weighted(checkpoint(rows), max_samples, "lds_weight", key, seed).drop("lds_weight")), "y_risk", n_bins, sigma, clip)
         rows = rows.withColumn("lds_weight", F.round("lds_weight", 6))
     keyed = risk.split_key(terms, rows.withColumn("qi", F.col("terms")).withColumn("text", F.lit("")))
     group = F.when(F.col("size") > 0, F.col("split_key")).otherwise("")
@@ -119,12 +120,14 @@ def balanced(samples: DataFrame, terms: DataFrame, mode: str = "lds", n_bins: in
 def train_rows(scored: DataFrame, terms: DataFrame, max_support1: int = 0, max_none_empty: int = 0, train_only: bool = True, n_bins: int = 50, sigma: float = 2.0, clip: float = 10.0, max_samples: int = 0, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Scored spans with split, rebalanced, and lds_weight (1 for test rows)."""
     rows = risk.split_key(terms, scored)
-    rows = rows.withColumn("split", stats.split_of(F.col("split_key"), test_share, seed)).drop("split_key")
-    rows = rebalance(rows, max_support1, max_none_empty, train_only, seed)
+    # each step reads the rows of the one before several times
+    rows = checkpoint(rows.withColumn("split", stats.split_of(F.col("split_key"), test_share, seed)).drop("split_key"))
+    rows = checkpoint(rebalance(rows, max_support1, max_none_empty, train_only, seed)) if max_support1 or max_none_empty else rows
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'").withColumn("lds_weight", F.lit(1.0))
     train = risk.lds_weights(train, "y_risk", n_bins, sigma, clip)
     if max_samples:
-        train = risk.lds_weights(weighted(train, max_samples, "lds_weight", ["text"], seed).drop("lds_weight"), "y_risk", n_bins, sigma, clip)
+        chosen = checkpoint(weighted(checkpoint(train), max_samples, "lds_weight", ["text"], seed).drop("lds_weight"))
+        train = risk.lds_weights(chosen, "y_risk", n_bins, sigma, clip)
     return train.withColumn("lds_weight", F.round("lds_weight", 6)).unionByName(test)
 
 

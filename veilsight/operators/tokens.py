@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilsight.config import ALPHA
 from veilsight.functions import stats, text
 from veilsight.operators.ranking import bh
+from veilsight.session import checkpoint
 
 
 def clause_tokens(clauses: DataFrame) -> DataFrame:
@@ -58,6 +59,7 @@ def token_stats(clauses: DataFrame) -> DataFrame:
 
 
 def stats_of(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    counts = checkpoint(counts)  # a row a token, used for the tests and for their number
     cells = fisher(contingency(counts, totals))
     scored = bh(cells.withColumn("effect_size", stats.odds_ratio(F.col("a"), F.col("b"), F.col("c"), F.col("d"))))
     sizes = counts.agg(F.count("*").alias("n_tokens"), F.count_if(F.col("freq_profile") > 0).alias("n_tested"))

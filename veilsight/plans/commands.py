@@ -123,7 +123,8 @@ def span_join(clauses: DataFrame, detail: DataFrame) -> DataFrame:
 
 def sample_spans(spans: DataFrame, tables: dict[str, DataFrame], **options) -> DataFrame:
     """The span training table: scores, split, rebalancing and weights."""
-    scored = checkpoint(risk.score_spans(spans, tables["clause"], tables["terms"], risk.known_records(tables["meta"], tables["terms"])))
+    tables = {k: checkpoint(v) for k, v in tables.items()}
+    scored = checkpoint(risk.score_spans(checkpoint(spans), tables["clause"], tables["terms"], risk.known_records(tables["meta"], tables["terms"])))
     return sampling.train_rows(scored, tables["terms"], **options)
 
 

@@ -113,6 +113,7 @@ def _vocabulary(s, d):
 
 
 def _found(s, d):
+    """Clauses with their phrases, once for all that reads them."""
     return phrases.matches(bindings.text_clauses(s, d).where("label = 'PROFILE'"), _vocabulary(s, d))
 
 
@@ -207,7 +208,8 @@ def pair_pmi_g2(s, d):
 
 @query()
 def pair_fdr(s, d):
-    return cooccurrence.significant_pairs(_pairs(s, d), 0.05)
+    sets = checkpoint(cooccurrence.unit_sets(bindings.basket_detail(s, d)))
+    return cooccurrence.significant_pairs(cooccurrence.pair_counts(sets, 2), 0.05)
 
 
 # ---- itemsets ---------------------------------------------------------------
@@ -372,7 +374,7 @@ def class_weights(s, d):
 @query()
 def training_spans(s, d):
     """The span training table, end to end."""
-    detail = bindings.basket_detail(s, d)
+    detail = checkpoint(bindings.basket_detail(s, d))
     return commands.sample_spans(commands.span_join(bindings.basket_spans(s, d), detail), commands.risk_sets(detail), max_support1=500, max_samples=1000).drop("qi")
 
 
