@@ -190,7 +190,7 @@ def lemma(word: Column) -> Column:
     """Singular of a noun by its ending."""
     return (
         F.when(F.rlike(word, F.lit("[^aeiou]ies$")) & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y"))
-        .when(F.rlike(word, F.lit("(s|x|z|ch|sh)es$")), F.regexp_replace(word, "es$", ""))
+        .when(F.rlike(word, F.lit("(ss|x|z|ch|sh)es$")), F.regexp_replace(word, "es$", ""))
         .when(F.rlike(word, F.lit("[^su]s$")) & (F.length(word) > 3), F.regexp_replace(word, "s$", ""))
         .otherwise(word)
     )

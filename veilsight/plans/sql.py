@@ -42,7 +42,7 @@ def g2(a: str, b: str, c: str, d: str) -> str:
 
 def lemma(w: str) -> str:
     return (
-        f"CASE WHEN regexp_matches({w}, '[^aeiou]ies$') AND length({w}) > 4 THEN regexp_replace({w}, 'ies$', 'y') WHEN regexp_matches({w}, '(s|x|z|ch|sh)es$') THEN regexp_replace({w}, 'es$', '') "
+        f"CASE WHEN regexp_matches({w}, '[^aeiou]ies$') AND length({w}) > 4 THEN regexp_replace({w}, 'ies$', 'y') WHEN regexp_matches({w}, '(ss|x|z|ch|sh)es$') THEN regexp_replace({w}, 'es$', '') "
         f"WHEN regexp_matches({w}, '[^su]s$') AND length({w}) > 3 THEN regexp_replace({w}, 's$', '') ELSE {w} END"
     )
 
