@@ -1,0 +1,34 @@
+"""The registered queries against their SQL, and the pipeline stage by stage."""
+
+import os
+
+import pytest
+from conftest import SF, compare
+
+from veilsight.llm import queries, stages
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables here")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    compare(spark, name, queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    clean = stages.toxicity(spark, docs, SF).cache()
+    assert clean.columns == docs.columns
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 0").collect()}
+    assert len(toxic - {r["doc_id"] for r in clean.collect()} - (toxic - rows.keys())) <= 0.02 * len(toxic)
+    lines = stages.line_dedup(spark, clean, SF).cache()
+    assert lines.columns == docs.columns and lines.count() == clean.count()
+    near = stages.near_dedup(spark, lines, SF).cache()
+    assert near.columns == docs.columns and 0 < near.count() <= lines.count()
+    mixed = stages.mixing(spark, near, SF).cache()
+    assert mixed.columns == docs.columns
+    packed = stages.packing(spark, mixed, SF)
+    assert packed.where("piece = 0").count() == mixed.count()
+    for x in (clean, lines, near, mixed):
+        x.unpersist()

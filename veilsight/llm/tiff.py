@@ -27,6 +27,14 @@ FIELDS = {1: ("B", 1), 2: ("B", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: (
 REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
+#: Pages of more bytes are an error, as a few damaged bytes can name any size.
+MAX_PAGE_BYTES = 1 << 31
+
+
+def rows_too_long(rows: int, line: int) -> bool:
+    return rows * line > MAX_PAGE_BYTES
+
+
 class TiffError(ValueError):
     """What makes a file unreadable."""
 
@@ -70,11 +78,11 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first; widths grow one code early."""
+def lzw_decode(data: bytes, most: int = 1 << 62) -> bytes:
+    """Codes of 9 to 12 bits, high bit first; widths grow one code early.  Stops once there are most bytes."""
     words = [bytes((i,)) for i in range(256)] + [b"", b""]
     out: list[bytes] = []
-    table, width, held, have, last = words[:], 9, 0, 0, b""
+    table, width, held, have, last, made = words[:], 9, 0, 0, b"", 0
     for byte in data:
         held = (held << 8) | byte
         have += 8
@@ -102,6 +110,9 @@ def lzw_decode(data: bytes) -> bytes:
             raise TiffError("LZW: a code is not in the table")
         out.append(word)
         last = word
+        made += len(word)
+        if made >= most:
+            break
         if len(table) >= (1 << width) - 1 and width < 12:
             width += 1
     return b"".join(out)
@@ -179,7 +190,7 @@ class Reader:
             tags = {}
             for i in range(n):
                 tag, kind, count = self.unpack("HHI", at + 2 + 12 * i)
-                if kind not in FIELDS:
+                if kind not in FIELDS or not count:
                     continue
                 letters, size = FIELDS[kind]
                 if count * size > len(self.data):
@@ -192,7 +203,12 @@ class Reader:
             at = self.unpack("I", at + 2 + 12 * n)[0]
 
     def pixels(self, tags: dict[int, tuple]) -> tuple[dict, bytes]:
-        one = lambda tag, default: tags.get(tag, (default,))[0]
+        def one(tag: int, default: int) -> int:
+            value = tags.get(tag, (default,))[0]
+            if not isinstance(value, int) or value < 0:
+                raise TiffError(f"tag {tag} is {value}")
+            return value
+
         w, h, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
         kind, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
         about = {"width": w, "height": h, "samples": samples, "bits": bits, "compression": kind, "predictor": predictor}
@@ -212,10 +228,14 @@ class Reader:
         line, full = (pw * inner * bits + 7) // 8, (w * inner * bits + 7) // 8
         if tiled and pw * inner * bits % 8:
             raise TiffError("tiles that don't end on a byte")
+        if not samples or planes * h * full > MAX_PAGE_BYTES or rows_too_long(ph, line):
+            raise TiffError(f"a page of {w} x {h} with {samples} samples of {bits} bits")
         image = np.zeros((planes, h, full), np.uint8)
         for k in range(planes * across * down):
             plane, row, col = k // (across * down), k // across % down * ph, k % across * line
             rows = ph if tiled else min(ph, h - row)
+            if not all(isinstance(x, int) and x >= 0 for x in (offsets[k], counts[k])):
+                raise TiffError("strips or tiles lie nowhere")
             raw = self.data[offsets[k] : offsets[k] + counts[k]]
             if one(FILL, 1) == 2:
                 raw = raw.translate(REVERSED)
@@ -232,7 +252,7 @@ class Reader:
         if kind == NONE:
             return raw
         if kind == LZW:
-            return lzw_decode(raw)
+            return lzw_decode(raw, most)
         if kind in (ADOBE_DEFLATE, OLD_DEFLATE):
             return _inflate(raw, most)
         if kind == PACKBITS:
@@ -243,6 +263,8 @@ class Reader:
         if predictor == 1:
             return part
         rows = part.shape[0]
+        if part.shape[1] % (inner * max(1, bits // 8)):
+            raise TiffError("lines that don't end on a sample")
         if predictor == 2 and bits in (8, 16, 32, 64):
             whole = part.view(f"{self.order}u{bits // 8}").reshape(rows, -1, inner)
             summed = np.cumsum(whole, axis=1, dtype=whole.dtype.newbyteorder("="))
