@@ -303,7 +303,7 @@ def _choose(rows: list[tuple[str, int, int]], toxic: int, clean: int, most: int)
     return list(chosen)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _fit(x: np.ndarray, y: np.ndarray, decay: float = 3e-6, rounds: int = 1500) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps; the bias does not decay."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     v = np.ones(x.shape[1], x.dtype)
