@@ -70,9 +70,9 @@ def _fill(sizes: list[int], left: list[int], room: int) -> list[tuple[int, int]]
     return chosen
 
 
-def solve(counts: dict[int, int], capacity: int, groups: int = 48, small: int | None = None) -> tuple[list[Place], int]:
+def solve(counts: dict[int, int], capacity: int, groups: int = 256, small: int | None = None) -> tuple[list[Place], int]:
     """Places for counts[length] pieces of each length, and the number of sequences."""
-    small = capacity // 8 if small is None else small
+    small = capacity // 4 if small is None else small
     large = [(n, counts[n]) for n in sorted(counts, reverse=True) if n > small and counts[n]]
     total = sum(c for _, c in large)
     places: list[Place] = []
@@ -263,7 +263,7 @@ def tokenize(df: DataFrame, tokenizer: str, text: str = "text", capacity: int =
     return df.select(*[F.col(f"`{c}`") for c in [*others, text]]).mapInArrow(run, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 48) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 256) -> DataFrame:
     """The pieces with sequence_id and offset.
 
     pieces has column length (1 to capacity; other lengths are an error).
