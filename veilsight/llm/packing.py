@@ -278,12 +278,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 256) -> DataFram
     places, _ = solve(seen, capacity, groups)
     # each length is ranked in so many parts that none is large
     parts = 1 + max(seen.values(), default=0) // RANKED_ROWS
-    cut = pieces.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns], F.monotonically_increasing_id()), F.lit(parts)))
-    cut = checkpoint(cut) if parts > 1 else cut.withColumn("_part", F.lit(0).cast("long"))
+    cut = pieces.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns], F.monotonically_increasing_id()))
+    cut = checkpoint(cut.withColumn("_part", F.pmod("_h", F.lit(parts))))
     by_part = Window.partitionBy("_n").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy(F.col("length").alias("_n"), F.col("_part").alias("_p")).count()
     starts = starts.select("_n", "_p", F.coalesce(F.sum("count").over(by_part), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("length", "_part").orderBy(F.lit(1))) - 1
+    within = F.row_number().over(Window.partitionBy("length", "_part").orderBy("_h")) - 1  # a rerun ranks alike
     ranked = cut.withColumn("_within", within).join(starts, (F.col("length") == F.col("_n")) & (F.col("_part") == F.col("_p")))
     ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_within"))
     spark = pieces.sparkSession
