@@ -53,13 +53,20 @@ def fisher(cells: DataFrame) -> DataFrame:
 
 
 def token_stats(clauses: DataFrame) -> DataFrame:
-    """Every tested token with p_value, effect_size, q_value and the numbers of tokens and tests."""
-    counts = token_counts(clause_tokens(clauses))
-    return stats_of(counts, clause_totals(clauses))
+    """Every tested token with p_value, effect_size, q_value and the numbers of tokens and tests.
+
+    Clauses are read once: each adds an empty token, whose counts are the totals.
+    """
+    labelled = clauses.where(F.col("label").isin("PROFILE", "NONE"))
+    words = labelled.select("label", F.explode(F.concat(F.array(F.lit("")), text.words(F.col("clause")))).alias("token"))
+    words = words.withColumn("pos", text.part_of_speech(F.col("token"))).where((F.col("token") == "") | text.content_word(F.col("token"), F.col("pos")))
+    counts = checkpoint(token_counts(words))
+    totals = counts.where("token = ''").agg(F.coalesce(F.sum("freq_profile"), F.lit(0)).alias("n_profile"), F.coalesce(F.sum("freq_none"), F.lit(0)).alias("n_none"))
+    return stats_of(counts.where("token <> ''"), totals)
 
 
 def stats_of(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    counts = checkpoint(counts)  # a row a token, used for the tests and for their number
+    # a row a token, used for the tests and for their number
     cells = fisher(contingency(counts, totals))
     scored = bh(cells.withColumn("effect_size", stats.odds_ratio(F.col("a"), F.col("b"), F.col("c"), F.col("d"))))
     sizes = counts.agg(F.count("*").alias("n_tokens"), F.count_if(F.col("freq_profile") > 0).alias("n_tested"))
