@@ -287,6 +287,8 @@ def test_url_filter(spark):
         fits = [(len(r), len(r.split("/", 1)[0]), r, v) for r, v in rules if "/" in r and (host == r.split("/", 1)[0] or host.endswith("." + r.split("/", 1)[0])) and path.startswith("/" + r.split("/", 1)[1])]
         best = max(fits, default=(0, 0, None, "allow"))
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, best[2], best[3]), u
+    by_join = url_filter.judge(df, spark.createDataFrame(rules, "rule string, verdict string"), max_bytes=8)
+    assert {r["record"]["page_id"]: (r["rule"], r["verdict"]) for r in by_join.collect()} == {i: (r["rule"], r["verdict"]) for i, r in got.items()}
     assert url_filter.judge(df.limit(0), spark.createDataFrame(rules, "rule string, verdict string")).count() == 0
 
 
