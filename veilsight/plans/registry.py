@@ -261,44 +261,44 @@ def risk_meta(s, d):
     return risk.risk_meta(bindings.basket_detail(s, d))
 
 
-def _spans(s, d):
-    return risk.dedupe_spans(risk.join_spans(bindings.basket_spans(s, d), bindings.basket_detail(s, d)))
+def _spans(s, d, spans):
+    return risk.dedupe_spans(risk.join_spans(spans(s, d), bindings.basket_detail(s, d)))
 
 
 @query(sql.SPANS + "SELECT text, label, qi_json, size, freq FROM spans")
-def span_dedupe(s, d):
-    return _spans(s, d).drop("qi")
+def span_dedupe(s, d, spans=bindings.basket_spans):
+    return _spans(s, d, spans).drop("qi")
 
 
 @query(sql.SPANS + "SELECT text, label, qi_json, CAST(coalesce(record_count, 0) AS BIGINT) AS support FROM spans LEFT JOIN rec USING (qi)")
-def span_support_join(s, d):
+def span_support_join(s, d, spans=bindings.basket_spans):
     sets = risk.set_records(bindings.basket_detail(s, d)).select(F.col("terms").alias("qi"), "record_count")
-    return _spans(s, d).join(sets, "qi", "left").select("text", "label", "qi_json", F.coalesce("record_count", F.lit(0)).cast("long").alias("support"))
+    return _spans(s, d, spans).join(sets, "qi", "left").select("text", "label", "qi_json", F.coalesce("record_count", F.lit(0)).cast("long").alias("support"))
 
 
-def _scored(s, d):
+def _scored(s, d, spans):
     detail = bindings.basket_detail(s, d)
-    return risk.score_spans(_spans(s, d), risk.set_records(detail), risk.term_records(detail), risk.records(detail))
+    return risk.score_spans(_spans(s, d, spans), risk.set_records(detail), risk.term_records(detail), risk.records(detail))
 
 
 @query(sql.SCORES + "SELECT text, provenance, support, y_risk FROM scored")
-def y_risk(s, d):
-    return _scored(s, d).select("text", "provenance", "support", "y_risk")
+def y_risk(s, d, spans=bindings.basket_spans):
+    return _scored(s, d, spans).select("text", "provenance", "support", "y_risk")
 
 
 @query(sql.SCORES + "SELECT text, y_bits, y_bits_capped, min_constituent_df FROM scored")
-def y_bits(s, d):
-    return _scored(s, d).select("text", "y_bits", "y_bits_capped", "min_constituent_df")
+def y_bits(s, d, spans=bindings.basket_spans):
+    return _scored(s, d, spans).select("text", "y_bits", "y_bits_capped", "min_constituent_df")
 
 
 @query(sql.SCORES + "SELECT text, provenance, y_combined FROM scored")
-def y_combined(s, d):
-    return _scored(s, d).select("text", "provenance", "y_combined")
+def y_combined(s, d, spans=bindings.basket_spans):
+    return _scored(s, d, spans).select("text", "provenance", "y_combined")
 
 
 @query(sql.SCORES + "SELECT max(y_bits) FILTER (provenance = 'PROFILE') AS ceiling_bits, max(y_combined) FILTER (provenance = 'PROFILE') AS ceiling_combined FROM scored")
-def pii_ceiling(s, d):
-    return risk.ceilings(_scored(s, d))
+def pii_ceiling(s, d, spans=bindings.basket_spans):
+    return risk.ceilings(_scored(s, d, spans))
 
 
 @query(
@@ -313,14 +313,14 @@ def reid_features(s, d):
 
 
 @query(sql.SCORES + f", k AS (SELECT text, {sql.SPLIT_KEY} AS split_key FROM scored) SELECT text, split_key, CASE WHEN {sql.mod1000('split_key')} < 200 THEN 'test' ELSE 'train' END AS split FROM k")
-def md5_group_split(s, d):
-    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d))
+def md5_group_split(s, d, spans=bindings.basket_spans):
+    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d, spans))
     return rows.select("text", "split_key", stats.split_of(F.col("split_key")).alias("split"))
 
 
 @query(sql.SCORES + sql.LDS + "SELECT text, round(w, 6) AS lds_weight FROM lds")
-def lds_weights(s, d):
-    return risk.lds_weights(checkpoint(_scored(s, d).select("text", "y_risk"))).select("text", F.round("lds_weight", 6).alias("lds_weight"))
+def lds_weights(s, d, spans=bindings.basket_spans):
+    return risk.lds_weights(checkpoint(_scored(s, d, spans).select("text", "y_risk"))).select("text", F.round("lds_weight", 6).alias("lds_weight"))
 
 
 @query(
@@ -331,14 +331,14 @@ z AS (SELECT *, split = 'train' AND provenance = 'PROFILE' AND support = 1 AS on
 r AS (SELECT *, row_number() OVER (PARTITION BY one ORDER BY {sql.draw(42, 'text')}, text) AS rn FROM z)
 SELECT text, provenance, split FROM r WHERE NOT one OR rn <= 100"""
 )
-def rebalance_caps(s, d):
-    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d)).withColumn("split", stats.split_of(F.col("split_key")))
+def rebalance_caps(s, d, spans=bindings.basket_spans):
+    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d, spans)).withColumn("split", stats.split_of(F.col("split_key")))
     return sampling.rebalance(checkpoint(rows), max_support1=100).select("text", "provenance", "split")
 
 
 @query()
 def bin_equal_sample(s, d):
-    rows = checkpoint(_scored(s, d).select("text", "y_risk"))
+    rows = checkpoint(_scored(s, d, bindings.whole_spans).select("text", "y_risk"))
     return sampling.bin_equal(rows, "y_risk", 10, ["text"])
 
 
@@ -348,8 +348,8 @@ def none_anchors(s, d):
 
 
 @query(sql.SCORES + f", r AS (SELECT text, row_number() OVER (ORDER BY -ln({sql.draw(42, 'text')}) / (1 + y_risk), text) AS rn FROM scored) SELECT text FROM r WHERE rn <= 200")
-def weighted_sample(s, d):
-    return sampling.weighted(checkpoint(_scored(s, d).select("text", (1 + F.col("y_risk")).alias("w"))), 200, "w", ["text"]).select("text")
+def weighted_sample(s, d, spans=bindings.basket_spans):
+    return sampling.weighted(checkpoint(_scored(s, d, spans).select("text", (1 + F.col("y_risk")).alias("w"))), 200, "w", ["text"]).select("text")
 
 
 @query(
@@ -375,7 +375,7 @@ def class_weights(s, d):
 def training_spans(s, d):
     """The span training table, end to end."""
     detail = checkpoint(bindings.basket_detail(s, d))
-    return commands.sample_spans(commands.span_join(bindings.basket_spans(s, d), detail), commands.risk_sets(detail), max_support1=500, max_samples=1000).drop("qi")
+    return commands.sample_spans(commands.span_join(bindings.whole_spans(s, d), detail), commands.risk_sets(detail)).drop("qi")
 
 
 @query()
@@ -474,14 +474,14 @@ def percentiles(s, d):
 @query(sql.SCORES + """, e AS (SELECT greatest(6.0::DOUBLE, ceil(max(y_combined) / 2) * 2) AS top FROM scored),
 l AS (SELECT CASE WHEN y_combined < 6 THEN floor(y_combined * 2) / 2 WHEN floor((y_combined - 6) / 2) * 2 + 6 >= top AND top > 6 THEN top - 2 ELSE floor((y_combined - 6) / 2) * 2 + 6 END AS lo FROM scored, e)
 SELECT CAST(lo AS DOUBLE) AS lo, CAST(lo + CASE WHEN lo < 6 THEN 0.5 ELSE 2 END AS DOUBLE) AS hi, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY lo""")
-def hist_targets(s, d):
-    return diagnostics.target_bins(checkpoint(_scored(s, d).select("y_combined")))
+def hist_targets(s, d, spans=bindings.basket_spans):
+    return diagnostics.target_bins(checkpoint(_scored(s, d, spans).select("y_combined")))
 
 
 @query(sql.SCORES + sql.LDS + """, h AS (SELECT greatest(0.5::DOUBLE, ceil(y_risk * 2) / 2) AS hi, count(*) AS n, sum(w) AS w FROM lds GROUP BY 1)
 SELECT hi, CAST(n AS BIGINT) AS n, round(100.0 * n / sum(n) OVER (), 5) AS n_percent, round(100.0 * w / sum(w) OVER (), 5) AS weight_percent FROM h""")
-def hist_weighted(s, d):
-    out = diagnostics.weighted_bins(risk.lds_weights(checkpoint(_scored(s, d).select("text", "y_risk"))))
+def hist_weighted(s, d, spans=bindings.basket_spans):
+    out = diagnostics.weighted_bins(risk.lds_weights(checkpoint(_scored(s, d, spans).select("text", "y_risk"))))
     return out.select("hi", "n", F.round("n_percent", 5).alias("n_percent"), F.round("weight_percent", 5).alias("weight_percent"))
 
 
@@ -520,26 +520,26 @@ def rate_buckets(s, d):
     + """, q AS (SELECT 'all' AS part, size FROM scored WHERE provenance = 'PROFILE' UNION ALL SELECT 'support1', size FROM scored WHERE provenance = 'PROFILE' AND support = 1 UNION ALL SELECT 'support2', size FROM scored WHERE provenance = 'PROFILE' AND support >= 2)
 SELECT part, CAST(size AS INTEGER) AS size, CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY part), 6) AS percent FROM q GROUP BY part, size"""
 )
-def support1_decomposition(s, d):
-    out = diagnostics.support_sizes(_scored(s, d))
+def support1_decomposition(s, d, spans=bindings.basket_spans):
+    out = diagnostics.support_sizes(_scored(s, d, spans))
     return out.withColumn("percent", F.round("percent", 6))
 
 
 @query(sql.SCORES + ", r AS (SELECT min_constituent_df AS m FROM scored WHERE provenance = 'PROFILE' AND support = 1) SELECT CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (m < k) AS BIGINT) AS affected, round(100.0 * count(*) FILTER (m < k) / greatest(1, count(*)), 6) AS percent FROM (VALUES (3), (5), (10), (20), (50)) g(k), r GROUP BY k")
-def support1_grid(s, d):
-    rare = diagnostics.support1_rarest(_scored(s, d), risk.term_records(bindings.basket_detail(s, d)))
+def support1_grid(s, d, spans=bindings.basket_spans):
+    rare = diagnostics.support1_rarest(_scored(s, d, spans), risk.term_records(bindings.basket_detail(s, d)))
     return diagnostics.support1_grid(rare).withColumn("percent", F.round("percent", 6))
 
 
 @query(sql.SCORES + ", v AS (SELECT support, count(*) AS n FROM scored WHERE provenance = 'PROFILE' GROUP BY support) SELECT support, CAST(n AS BIGINT) AS n, round(100.0 * n / (SELECT sum(n) FROM v), 6) AS percent FROM v ORDER BY n DESC, support LIMIT 8")
-def support_topk(s, d):
-    out = diagnostics.value_shares(_scored(s, d).where("provenance = 'PROFILE'"), "support").limit(8)
+def support_topk(s, d, spans=bindings.basket_spans):
+    out = diagnostics.value_shares(_scored(s, d, spans).where("provenance = 'PROFILE'"), "support").limit(8)
     return out.withColumn("percent", F.round("percent", 6))
 
 
 @query(sql.SCORES + ", v AS (SELECT provenance, count(*) AS n FROM scored GROUP BY 1) SELECT provenance, CAST(n AS BIGINT) AS n, round(100.0 * n / (SELECT sum(n) FROM v), 6) AS percent FROM v")
-def provenance_shares(s, d):
-    return diagnostics.value_shares(_scored(s, d), "provenance").withColumn("percent", F.round("percent", 6))
+def provenance_shares(s, d, spans=bindings.basket_spans):
+    return diagnostics.value_shares(_scored(s, d, spans), "provenance").withColumn("percent", F.round("percent", 6))
 
 
 @query(
@@ -624,3 +624,20 @@ def bio_tags(s, d):
     spans = F.array(F.struct(F.split(F.lit("of the"), " ").alias("piece"), F.lit("PROFILE").alias("label")), F.struct(F.split(F.lit("to"), " ").alias("piece"), F.lit("PII").alias("label")))
     rows = bindings.table(s, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", annotation.bio_tags(toks, spans).alias("tags"))
     return rows.select("conv_id", "turn", F.size("tags").alias("n_tokens"), F.size(F.filter("tags", lambda t: t == "B-PROFILE")).alias("n_profile"), F.size(F.filter("tags", lambda t: t == "B-PII")).alias("n_pii"), annotation.entity_vote(F.col("tags"), F.lit(1), F.size("tags")).alias("vote"))
+
+
+# ---- without the bounds of the SQL above ----------------------------------------
+
+
+def _whole(f: Query, oracle: str, **options) -> None:
+    """Registers f as NAME_whole, with options that leave out a bound that f shares with its SQL."""
+    name = f"{f.__name__}_whole"
+    QUERIES[name] = lambda s, d: f(s, d, **options)
+    ORACLES[name] = oracle
+
+
+for _f in (
+    span_dedupe, span_support_join, y_risk, y_bits, y_combined, pii_ceiling, md5_group_split, lds_weights, rebalance_caps, weighted_sample,
+    hist_targets, hist_weighted, support1_decomposition, support1_grid, support_topk, provenance_shares,
+):
+    _whole(_f, ORACLES[_f.__name__].replace(sql.SPAN_NAME, sql.WHOLE_SPAN_NAME), spans=bindings.whole_spans)

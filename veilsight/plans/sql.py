@@ -167,3 +167,8 @@ RANKS = """, r AS (SELECT y_true, rank() OVER (ORDER BY y_true) + (count(*) OVER
 """
 FREQS = "WITH f AS (SELECT CAST(l_partkey AS VARCHAR) AS phrase, count(*) AS freq FROM lineitem GROUP BY 1) "
 FREQ_BINS = "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in zip(FREQ_EDGES[:-1], FREQ_EDGES[1:], strict=True)) + ") v(lo, hi)"
+
+
+#: How SPANS names a span, and how it is named without a bound on the names.
+SPAN_NAME = "'order ' || (clause_pos % 5000)"
+WHOLE_SPAN_NAME = "CASE WHEN clause_pos % 4 = 0 THEN 'customer ' || uuid ELSE 'order ' || clause_pos END"
