@@ -1,6 +1,8 @@
 """Queries do the whole job: nothing is bounded by a fixed count."""
 
 import os
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from conftest import SF, compare
@@ -33,3 +35,21 @@ def test_bin_equal_sample_draws_from_all_spans(spark):
 @pytest.mark.parametrize("name", ["y_combined_whole", "md5_group_split_whole", "lds_weights_whole", "provenance_shares_whole"])
 def test_whole_query_equals_its_sql_on_more_rows(spark, name):
     compare(spark, name, registry.QUERIES[name], registry.ORACLES[name], LARGER)
+
+
+def test_itemsets_of_every_size(spark):
+    sets = bindings.basket_detail(spark, LARGER, "p_type").collect()
+    whole = {}
+    for r in sets:
+        whole.setdefault((r["uuid"], r["field"]), set()).update(r["matched_terms"])
+    n = Counter("|".join(c) for t in whole.values() for k in range(1, len(t) + 1) for c in combinations(sorted(t), k))
+    want = {c: k for c, k in n.items() if k >= 5}
+    got = {r["combo"]: (r["size"], r["support_count"]) for r in registry.QUERIES["itemsets_apriori_whole"](spark, LARGER).collect()}
+    assert got == {c: (c.count("|") + 1, k) for c, k in want.items()} and max(s for s, _ in got.values()) > 3
+    shares = {r["combo"]: r["support_count"] for r in registry.QUERIES["itemset_support_pct_whole"](spark, LARGER).collect()}
+    assert shares == {c: k for c, k in want.items() if c.count("|") >= 2}
+
+
+@pytest.mark.parametrize("name", ["itemsets_apriori_whole", "itemset_support_pct_whole"])
+def test_itemsets_equal_their_sql(spark, name):
+    compare(spark, name, registry.QUERIES[name], registry.ORACLES[name], LARGER)

@@ -220,13 +220,13 @@ def _weighted(s, d):
 
 
 @query(sql.basket("p_type") + sql.ITEMSETS + "SELECT combo, size, support_count FROM items")
-def itemsets_apriori(s, d):
-    return joined(itemsets.frequent_itemsets(_weighted(s, d), 5, 3), "combo")
+def itemsets_apriori(s, d, max_size=3):
+    return joined(itemsets.frequent_itemsets(_weighted(s, d), 5, max_size), "combo")
 
 
 @query(sql.basket("p_type") + sql.ITEMSETS + "SELECT combo, size, support_count, round(100.0 * support_count / (SELECT sum(cnt) FROM ws), 6) AS support_pct FROM items WHERE size = 3")
-def itemset_support_pct(s, d):
-    found = itemsets.combinations(_weighted(s, d), 3, 3, 5.0)
+def itemset_support_pct(s, d, max_size=3):
+    found = itemsets.combinations(_weighted(s, d), 3, max_size, 5.0)
     return joined(found, "combo").withColumn("support_pct", F.round("support_pct", 6))
 
 
@@ -641,3 +641,7 @@ for _f in (
     hist_targets, hist_weighted, support1_decomposition, support1_grid, support_topk, provenance_shares,
 ):
     _whole(_f, ORACLES[_f.__name__].replace(sql.SPAN_NAME, sql.WHOLE_SPAN_NAME), spans=bindings.whole_spans)
+
+for _f, _where in ((itemsets_apriori, ""), (itemset_support_pct, " WHERE size >= 3")):
+    _columns = ORACLES[_f.__name__].rpartition("SELECT combo")[2].partition(" WHERE ")[0]
+    _whole(_f, "WITH RECURSIVE" + sql.basket("p_type").removeprefix("WITH") + sql.WHOLE_ITEMSETS + "SELECT combo" + _columns + _where, max_size=0)

@@ -172,3 +172,10 @@ FREQ_BINS = "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in zip(F
 #: How SPANS names a span, and how it is named without a bound on the names.
 SPAN_NAME = "'order ' || (clause_pos % 5000)"
 WHOLE_SPAN_NAME = "CASE WHEN clause_pos % 4 = 0 THEN 'customer ' || uuid ELSE 'order ' || clause_pos END"
+
+#: items of any size: every subset of every distinct set, grown by its next term.  For a WITH RECURSIVE.
+WHOLE_ITEMSETS = """, s AS (SELECT list_sort(list_distinct(list(term))) AS t FROM b GROUP BY uuid, field), ws AS (SELECT row_number() OVER (ORDER BY t) AS sid, t, count(*) AS cnt FROM s GROUP BY t),
+x AS (SELECT sid, cnt, unnest(t) AS i FROM ws),
+sub AS (SELECT sid, cnt, i AS combo, i AS last, 1 AS size FROM x UNION ALL SELECT sub.sid, sub.cnt, combo || '|' || i, i, size + 1 FROM sub JOIN x ON sub.sid = x.sid AND i > last),
+items AS (SELECT combo, size, CAST(sum(cnt) AS BIGINT) AS support_count FROM sub GROUP BY combo, size HAVING sum(cnt) >= 5)
+"""
