@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,13 @@ SIGN, REPEAT, DELETED, KEPT, ACCENT = -0.7, -1.0, -0.3, -2.3, -3.0
 BEAM = 16
 
 OUTER = ".,;:!?\"'()[]{}<>«»“”„‘’…–—-_/\\|`~=+*&%#^"
-SPACED = re.compile(r"(?<!\S)[^\s\w]?(?:[^\W_]|[@$!|+])(?:[ ._\-*~/]{1,2}(?:[^\W_]|[@$!|+])){3,}(?![^\W_])")
+SPACED = re.compile(r"(?<!\S)[^\s\w]?(?:[^\W_]|[@$!|+])(?:[ ._\-*~/]{1,2}(?:[^\W_]|[@$!|+])){2,}(?![^\W_])")
 INVISIBLE = "​‌‍⁠﻿­"
-#: Kinds of characters: 0 letters, 1 separators, 2 blanks, 3 others.
-_KINDS = np.full(0x180, 3, np.uint8)
-_KINDS[[c for c in range(0x180) if chr(c).isalpha()]] = 0
-_KINDS[[ord(c) for c in SEPARATORS if ord(c) < 0x180]] = 1
-_KINDS[[9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0]] = 2
+#: Characters below 0x180 that are letters or digits, and those that SPACED takes for a letter.
+_ALNUM = np.array([bool(re.match(r"[^\W_]", chr(c))) for c in range(0x180)])
+_UNIT = _ALNUM | np.isin(np.arange(0x180), [ord(c) for c in "@$!|+"])
 PIECES = re.compile(r"[^\W\d_]+")
+DOUBLED = re.compile(r"(.)\1")
 
 
 class CharModel:
@@ -130,6 +130,8 @@ def lattice(seen: str) -> list[list[tuple[str, float]]]:
             continue
         choices = []
         if c in READINGS:
+            if c.isalpha():
+                choices.append((c, 0.0))
             choices += [(x, SIGN - math.log(len(READINGS[c]))) for x in READINGS[c]]
         elif c.isalpha():
             choices.append((c, 0.0))
@@ -147,6 +149,12 @@ def lattice(seen: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def disguised(word: str) -> bool:
+    """Whether a word of letters has other readings: a letter twice in a row, or one that stands for another."""
+    return bool(DOUBLED.search(word)) or not word.isascii() and any(len(x) > 1 for x in lattice(word))
+
+
 def restore(seen: str, model: CharModel) -> str:
     """The likeliest reading, by Viterbi over the last two symbols, with words parted by spaces."""
     # state -> (score, link), a link being (text, link before)
@@ -186,33 +194,21 @@ class Restorer:
             self.known[seen] = restore(seen, self.model)
         return self.known[seen]
 
-    def hidden(self, text: str) -> set[str]:
-        """Words with repeated letters, and spaced-out words."""
+    def spaced(self, text: str) -> set[str]:
+        """Spaced-out words."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         if len(points) < 5:
             return set()
-        letter = _KINDS[np.minimum(points, 0x17F)] == 0
-        same = (points[1:] == points[:-1]) & letter[1:]
-        repeated = same.copy()
-        repeated[:-1] &= same[1:]  # three of a letter
-        repeated[-1:] = False
-        if len(same) > 4:
-            repeated[:-4] |= same[:-4] & same[2:-2] & same[4:]  # three letters twice each
-        out, end = set(), -1
-        for at in np.flatnonzero(repeated).tolist():
-            if at < end:
-                continue
-            start = at
-            while start and not text[start - 1].isspace():
-                start -= 1
-            end = at
-            while end < len(text) and not text[end].isspace():
-                end += 1
-            out.add(text[start:end].strip(OUTER))
-        # a letter, something else, a letter, something else, a letter
-        if (letter[:-4] & ~letter[1:-3] & letter[2:-2] & ~letter[3:-1]).any() or not letter.any():
-            out |= {m.group(0) for m in SPACED.finditer(text)}
-        return out
+        # three in a row that stand alone, two or three places apart; other characters than the table's may be anything
+        near, at = points < 0x180, np.minimum(points, 0x17F)
+        alnum = np.zeros(len(points) + 2, bool)
+        alnum[1:-1] = _ALNUM[at] & near
+        alone = np.flatnonzero((_UNIT[at] | ~near) & ~alnum[:-2] & ~alnum[2:])
+        marks = np.zeros(len(points) + 6, bool)
+        marks[alone + 3] = True
+        if not ((marks[alone] | marks[alone + 1]) & (marks[alone + 5] | marks[alone + 6])).any():
+            return set()
+        return {m.group(0) for m in SPACED.finditer(text)}
 
     def words(self, text: str | None) -> tuple[set[str], set[str]]:
         if not text:
@@ -222,7 +218,8 @@ class Restorer:
         cores = {t.strip(OUTER) for t in set(text.split())}
         alphabetic = [c for c in cores if c.isalpha()]
         plain = set(" ".join(alphabetic).lower().split())
-        suspects = self.hidden(text)
+        suspects = self.spaced(text)
+        suspects.update(w for w in plain if disguised(w))
         if len(alphabetic) < len(cores):
             for core in cores.difference(alphabetic):
                 plain.update(PIECES.findall(core.lower()))
