@@ -53,3 +53,8 @@ def test_itemsets_of_every_size(spark):
 @pytest.mark.parametrize("name", ["itemsets_apriori_whole", "itemset_support_pct_whole"])
 def test_itemsets_equal_their_sql(spark, name):
     compare(spark, name, registry.QUERIES[name], registry.ORACLES[name], LARGER)
+
+
+def test_phrases_of_frequent_words(spark):
+    compare(spark, "phrase_freq_whole", registry.QUERIES["phrase_freq_whole"], registry.ORACLES["phrase_freq_whole"])
+    assert "BETWEEN 3 AND 40" not in registry.ORACLES["phrase_freq_whole"]

@@ -107,24 +107,24 @@ def or_ci_threshold_scan(s, d):
     return tokens.frequency_scan(cells).select("k", "tokens", F.round("rate", 6).alias("rate"), "recommended")
 
 
-def _vocabulary(s, d):
-    """Tokens of a middle frequency: the sample's words carry no significance of their own."""
-    return tokens.token_counts(tokens.clause_tokens(bindings.text_clauses(s, d))).where("freq_profile BETWEEN 3 AND 40").select("token")
+def _vocabulary(s, d, most):
+    """Tokens of a middle frequency, or of any from 3 on if most is 0: the sample's words carry no significance of their own."""
+    return tokens.token_counts(tokens.clause_tokens(bindings.text_clauses(s, d))).where(f"freq_profile BETWEEN 3 AND {most}" if most else "freq_profile >= 3").select("token")
 
 
-def _found(s, d):
+def _found(s, d, most):
     """Clauses with their phrases, once for all that reads them."""
-    return phrases.matches(bindings.text_clauses(s, d).where("label = 'PROFILE'"), _vocabulary(s, d))
+    return phrases.matches(bindings.text_clauses(s, d).where("label = 'PROFILE'"), _vocabulary(s, d, most))
 
 
 @query(sql.PHRASES + "SELECT phrase, CAST(count(*) AS BIGINT) AS freq, CAST(count(DISTINCT (uuid, field, clause_pos)) AS BIGINT) AS clause_freq FROM found GROUP BY phrase")
-def phrase_freq(s, d):
-    return phrases.phrase_frequencies(_found(s, d)).select("phrase", "freq", "clause_freq")
+def phrase_freq(s, d, most=40):
+    return phrases.phrase_frequencies(_found(s, d, most)).select("phrase", "freq", "clause_freq")
 
 
 @query(sql.PHRASES + "SELECT phrase, CAST(count(*) AS BIGINT) AS freq FROM found GROUP BY phrase HAVING count(*) BETWEEN 3 AND 20 AND len(string_split(phrase, ' ')) >= 2")
-def phrase_bandpass(s, d):
-    return phrases.band(phrases.phrase_frequencies(_found(s, d)).select("phrase", "freq"), 3, 20, multiword=True)
+def phrase_bandpass(s, d, most=40):
+    return phrases.band(phrases.phrase_frequencies(_found(s, d, most)).select("phrase", "freq"), 3, 20, multiword=True)
 
 
 @query(
@@ -135,9 +135,9 @@ h AS (SELECT phrase, count(*) AS freq, max((uuid, field, clause_pos, token)) AS
 SELECT h.phrase, CAST(freq AS BIGINT) AS freq, last[4] AS head_token, max(clause) FILTER (rn = 1) AS example_clause_1, max(clause) FILTER (rn = 2) AS example_clause_2, max(clause) FILTER (rn = 3) AS example_clause_3
 FROM h JOIN r USING (phrase) GROUP BY h.phrase, freq, last"""
 )
-def phrase_examples_top3(s, d):
+def phrase_examples_top3(s, d, most=40):
     none = s.createDataFrame([], "token string, alpha_tier string")
-    return phrases.phrase_table(_found(s, d), none).select("phrase", "freq", "head_token", "example_clause_1", "example_clause_2", "example_clause_3")
+    return phrases.phrase_table(_found(s, d, most), none).select("phrase", "freq", "head_token", "example_clause_1", "example_clause_2", "example_clause_3")
 
 
 @query(sql.CLAUSES + ", v(token) AS (VALUES ('tion'), ('ing'), ('ther'), ('and')) SELECT token, CAST(count(*) AS BIGINT) AS n FROM cl JOIN v ON contains(lower(clause), token) GROUP BY token")
@@ -154,8 +154,8 @@ sd AS (SELECT x AS f, y > 0 AS hit FROM h WHERE x > 0 UNION ALL SELECT y, x > 0
 t AS (SELECT k, count(f) AS phrases, avg(hit::INT) AS recall FROM range(1, 31) r(k) LEFT JOIN sd ON f >= k GROUP BY k)
 SELECT k, CAST(phrases AS BIGINT) AS phrases, round(recall, 6) AS recall, CAST(k = coalesce((SELECT min(k) FROM t WHERE recall >= 0.5), 30) AS INTEGER) AS recommended FROM t"""
 )
-def twofold_recall(s, d):
-    return phrases.twofold_recall(_found(s, d)).select("k", "phrases", F.round("recall", 6).alias("recall"), "recommended")
+def twofold_recall(s, d, most=40):
+    return phrases.twofold_recall(_found(s, d, most)).select("k", "phrases", F.round("recall", 6).alias("recall"), "recommended")
 
 
 @query(sql.BH + f"SELECT token, {sql.lemma('token')} AS lemma FROM bh")
@@ -645,3 +645,6 @@ for _f in (
 for _f, _where in ((itemsets_apriori, ""), (itemset_support_pct, " WHERE size >= 3")):
     _columns = ORACLES[_f.__name__].rpartition("SELECT combo")[2].partition(" WHERE ")[0]
     _whole(_f, "WITH RECURSIVE" + sql.basket("p_type").removeprefix("WITH") + sql.WHOLE_ITEMSETS + "SELECT combo" + _columns + _where, max_size=0)
+
+for _f in (phrase_freq, phrase_bandpass, phrase_examples_top3, twofold_recall):
+    _whole(_f, ORACLES[_f.__name__].replace("HAVING count(*) BETWEEN 3 AND 40)", "HAVING count(*) >= 3)"), most=0)
