@@ -7,6 +7,7 @@ predictors, and puts the image together in rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -54,9 +55,12 @@ def packbits_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
+RUNS = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def packbits_encode(data: bytes) -> bytes:
-    """Runs of three or more as runs, the rest as literals."""
-    out, start, i, n = bytearray(), 0, 0, len(data)
+    """Runs of three or more bytes, and what lies between as it stands, in parts of 128 at most."""
+    out, start = bytearray(), 0
 
     def literals(a: int, b: int) -> None:
         for j in range(a, b, 128):
@@ -64,17 +68,11 @@ def packbits_encode(data: bytes) -> bytes:
             out.append(len(part) - 1)
             out.extend(part)
 
-    while i < n:
-        if data[i : i + 3] == data[i : i + 1] * 3:
-            end = i + 3
-            while end < n and end - i < 128 and data[end] == data[i]:
-                end += 1
-            literals(start, i)
-            out += bytes((257 - (end - i), data[i]))
-            start = i = end
-        else:
-            i += 1
-    literals(start, n)
+    for run in RUNS.finditer(data):
+        literals(start, run.start())
+        out.extend((257 - (run.end() - run.start()), data[run.start()]))
+        start = run.end()
+    literals(start, len(data))
     return bytes(out)
 
 
@@ -326,18 +324,24 @@ def payload_of(text: str | None) -> bytes:
     return raw + b"\0" * (-len(raw) % 64 if raw else 64)
 
 
-#: Payloads up to so many bytes are stored as one LZW strip, as PackBits tiles, and beyond as deflate strips with a predictor.
-SMALL, MIDDLE = 1024, 4096
+#: Codecs that texts are stored by.
+KINDS = (LZW, PACKBITS, ADOBE_DEFLATE)
+#: Rows of 64 bytes in a strip or tile of a stored text.
+STORED_ROWS = 256
 
 
 def store(text: str | None) -> bytes:
-    """The payload of a text as a TIFF of one page, by a rule of its length alone."""
+    """The payload of a text as a TIFF of one page.
+
+    A hash of the payload draws the codec, strips or tiles, and the predictor
+    (PackBits has none), so that texts of every length meet every decoder and
+    equal texts have equal files.
+    """
     payload = payload_of(text)
-    if len(payload) <= SMALL:
-        return write_page(payload, kind=LZW, rows=SMALL // 64)
-    if len(payload) <= MIDDLE:
-        return write_page(payload, kind=PACKBITS, rows=32, tiled=True)
-    return write_page(payload, kind=ADOBE_DEFLATE, predictor=2, rows=512)
+    draw = zlib.crc32(payload)
+    kind, tiled, predictor = KINDS[draw % 3], (draw >> 8) % 2 == 1, 1 + (draw >> 16) % 2
+    rows = min(STORED_ROWS, -(-len(payload) // 64))
+    return write_page(payload, kind=kind, predictor=1 if kind == PACKBITS else predictor, rows=-(-rows // 16) * 16 if tiled else rows, tiled=tiled)
 
 
 PAGE = T.StructType(
