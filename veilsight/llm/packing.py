@@ -187,7 +187,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for word, i in vocabulary.items():
@@ -216,7 +216,9 @@ class Ids:
         return b"".join(map(known.__getitem__, parts))
 
     def of(self, text: str) -> bytes:
-        """In blocks that end at a space, as tokens don't span one."""
+        """In blocks that end at a space, as tokens don't span one; texts with an added token's own string are encoded whole."""
+        if any(a in text for a in self.added):
+            return self.whole(text)
         out, start = [], 0
         while start < len(text):
             end = text.find(" ", start + self.BLOCK) if len(text) - start > self.BLOCK else -1
