@@ -93,11 +93,11 @@ class Index:
             if x.base:
                 found |= {(x.label, True, s, s + n, 1.0) for s in by_start if s >= 0 and tuple(words[s : s + n]) == x.words}
                 continue
-            starts, last = sorted(by_start), None
-            for s in starts:
+            last = None
+            for s in sorted(by_start):
                 if last is not None and s - last <= self.slack:
                     continue
-                near = set().union(*(by_start[o] for o in starts if 0 <= o - s <= self.slack))
+                near = set().union(*(by_start[o] for o in range(s, s + self.slack + 1) if o in by_start))
                 if len(near) < self.needed[t]:
                     continue
                 a, b = max(0, s - self.slack), max(0, s) + n + 2 * self.slack
