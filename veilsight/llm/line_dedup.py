@@ -60,7 +60,14 @@ def drop_shared_lines(df: DataFrame, key: str = "doc_id", text: str = "text", mi
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     joined = rows.join(dropped.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("h")), "left")
     split = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n")
+
+    def others(lines: Column) -> Column:
+        # a difference of arrays hashes positions, so that it takes as long as the lines and the dropped ones together
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop")
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    # a transform of one element names the lines, so that they are split once
+    kept = F.element_at(F.transform(F.array(split), others), 1)
     breaks = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))
     return joined.select(
         "record",
