@@ -40,7 +40,6 @@ READINGS = {
 SEPARATORS = frozenset(" ._-*~/\\'’`​‌‍﻿­")
 #: Log costs of the channel: a sign for a letter, a repeated letter, a separator put in or taken out, an accent.
 SIGN, REPEAT, DELETED, KEPT, ACCENT = -0.7, -1.0, -0.3, -2.3, -3.0
-BEAM = 16
 
 OUTER = ".,;:!?\"'()[]{}<>«»“”„‘’…–—-_/\\|`~=+*&%#^"
 SPACED = re.compile(r"(?<!\S)[^\s\w]?(?:[^\W_]|[@$!|+])(?:[ ._\-*~/]{1,2}(?:[^\W_]|[@$!|+])){2,}(?![^\W_])")
@@ -155,22 +154,65 @@ def disguised(word: str) -> bool:
     return bool(DOUBLED.search(word)) or not word.isascii() and any(len(x) > 1 for x in lattice(word))
 
 
+@lru_cache(maxsize=1 << 12)
+def _others(c: str) -> tuple[tuple[str, int, float], ...]:
+    """What else a letter may stand for, with symbols and costs."""
+    (choices,) = lattice(c)
+    return tuple((x, symbol(x), cost) for x, cost in choices if x != c)
+
+
+def restore_apart(word: str, model: CharModel) -> str | None:
+    """What restore gives for a lower-case word of letters, where those with other readings are three places apart or more; None for other words.
+
+    A choice changes the probabilities of its own symbol and the next two, so
+    choices so far apart are the likeliest each by itself.
+    """
+    found, last, places = [], "", -3
+    for i, c in enumerate(word):
+        if c == last or _others(c):
+            if i - places < 3:
+                return None
+            found.append(i)
+            places = i
+        last = c
+    s = [BOUNDARY, BOUNDARY, *map(symbol, word), BOUNDARY]
+    out = list(word)
+    for i in found:
+        a, b, c, after = s[i], s[i + 1], s[i + 2], s[i + 3]
+        second = s[i + 4] if i + 4 < len(s) else None
+
+        def price(d: int, a: int = a, b: int = b, after: int = after, second: int | None = second) -> float:
+            return model(a, b, d) + model(b, d, after) + (0.0 if second is None else model(d, after, second))
+
+        plain = price(c)
+        best, pick = plain, word[i]
+        for x, d, cost in _others(word[i]):
+            if cost + price(d) > best:
+                best, pick = cost + price(d), x
+        if i and word[i] == word[i - 1]:
+            without = REPEAT + model(a, b, after) + (0.0 if second is None else model(b, after, second))
+            if without > best:
+                pick = ""
+        out[i] = pick
+    return "".join(out)
+
+
 def restore(seen: str, model: CharModel) -> str:
     """The likeliest reading, by Viterbi over the last two symbols, with words parted by spaces."""
     # state -> (score, link), a link being (text, link before)
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BOUNDARY, BOUNDARY): (0.0, None)}
     for choices in lattice(seen):
         following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        told = [(text, cost, BOUNDARY if text in ("", " ") else symbol(text)) for text, cost in choices]
         for (a, b), (score, link) in states.items():
-            for text, cost in choices:
+            for text, cost, c in told:
                 if not text or (text == " " and b == BOUNDARY):
                     key, s, to = (a, b), score + cost, link
                 else:
-                    c = BOUNDARY if text == " " else symbol(text)
                     key, s, to = (b, c), score + cost + model(a, b, c), (text, link)
                 if key not in following or s > following[key][0]:
                     following[key] = (s, to)
-        states = following if len(following) <= BEAM else dict(sorted(following.items(), key=lambda x: -x[1][0])[:BEAM])
+        states = following
     (_, link) = max(((score + (model(a, b, BOUNDARY) if b else 0.0), link) for (a, b), (score, link) in states.items()), key=lambda x: x[0])
     out = []
     while link:
@@ -191,7 +233,8 @@ class Restorer:
         if seen not in self.known:
             if len(self.known) >= self.REMEMBERED:
                 self.known.clear()
-            self.known[seen] = restore(seen, self.model)
+            found = restore_apart(seen, self.model) if seen.isalpha() else None
+            self.known[seen] = restore(seen, self.model) if found is None else found
         return self.known[seen]
 
     def spaced(self, text: str) -> set[str]:
@@ -400,8 +443,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
     The chosen labels are few enough to broadcast.
     """
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     labels = labels.select(F.col(key).alias("_key"), "toxic").where("toxic IN (0, 1)").dropDuplicates(["_key"])
     n = labels.count()
     if n > max_rows:
         labels = labels.where(F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
-    return docs.join(F.broadcast(labels), F.col(key) == F.col("_key")).select(F.col(text).alias("text"), "toxic")
+    return docs.join(F.broadcast(labels), F.col("key") == F.col("_key")).select("text", "toxic")
