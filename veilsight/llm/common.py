@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +34,12 @@ def n_words(c: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """Use the folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named and all tasks run in this process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilsight-checkpoint-"))
 
 
@@ -44,3 +47,58 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def record_of(df: DataFrame) -> Column:
+    """All columns of df as a struct, in which no name can clash with an operator's own."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
+def hashes_of(df: DataFrame, seed: int) -> list[Column]:
+    """128 bits of a row: two seeds of a 64-bit hash of all columns that can be hashed, as h1 and h2."""
+    columns = [df[f"`{c}`"] for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return [F.xxhash64(F.lit(seed), *columns).alias("h1"), F.xxhash64(F.lit(seed + 1), *columns).alias("h2")]
+
+
+def number_copies(rows: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """rows with column copy, numbering from 1 rows that are alike in h1 and h2, the hashes of all that they hold.
+
+    Alike rows are counted before they move, so however many there are of a
+    kind, one of them goes to a task and is unfolded there.  Where all rows
+    differ, only hashes move.
+    """
+    repeated = checkpoint(rows.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1"))
+    n = repeated.count()
+    if not n:
+        return rows.withColumn("copy", F.lit(1).cast("long"))
+    near = F.broadcast(repeated) if n <= broadcast_rows else repeated
+    # the optimizer may not know that a sum of copies replaces them, so both parts read rows
+    single = rows.join(near, ["h1", "h2"], "left_anti").withColumn("copy", F.lit(1).cast("long"))
+    others = [c for c in rows.columns if c not in ("h1", "h2")]
+    alike = rows.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first(F.struct(*others)).alias("_r"), F.count("*").alias("_n"))
+    unfolded = alike.select("h1", "h2", F.col("_r.*"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("copy"))
+    return single.unionByName(unfolded)
+
+
+class Scratch:
+    """Tables written to the shared checkpoint folder, for loops.
+
+    A written table has the size it has, where a checkpoint keeps the estimate
+    of its plan: estimates multiply at each join, and after some rounds of
+    joins they alone take the driver minutes.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder, self.n = spark, f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        at = f"{self.folder}/{self.n}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def clear(self) -> None:
+        """Removes the tables; only once all that was made of them is written elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
