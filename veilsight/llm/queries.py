@@ -47,7 +47,8 @@ def _op2_sql() -> str:
     common = "['', " + ", ".join(f"'{a}'" for a in ANCHORS) + "]"
     sigs = lambda text: f"""(
       SELECT CASE WHEN len(w) > 1 THEN list_sort(list_distinct(list_transform(
-               list_filter(range(1, len(w) + 1), lambda i: list_contains(c, w[i])),
+               CASE WHEN list_has_any(c, w[2:]) THEN list_filter(range(1, len(w) + 1), lambda i: list_contains(c, w[i]))
+                    ELSE list_filter(range(1, len(w) + 1), lambda i: i = 1 OR substr(md5(w[i]), 1, 1) IN ('0', '8')) END,
                lambda i: substr(md5(array_to_string(list_concat([w[i]], list_slice(list_filter(list_slice(w, i + 1, i + {REACH}), lambda x: NOT list_contains(c, x)), 1, {CHAIN})), ' ')), 1, 8))))
              ELSE CAST([] AS VARCHAR[]) END
       FROM (SELECT {common} AS c, list_concat([''], list_filter(string_split(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS w))"""
@@ -217,10 +218,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         (('0x' || substr(md5('29:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM documents),
+WITH c AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         row_number() OVER (PARTITION BY doc_id, source, text, lang, n_chars) AS copy FROM documents),
+d AS (
+  SELECT *, CASE WHEN size >= 512 THEN 2.0::DOUBLE WHEN size >= 64 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS w,
+         (('0x' || substr(md5('29:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null') || ':' || copy), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM c),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
@@ -235,16 +239,23 @@ g AS (
   SELECT source, source_size,
          least(most, coalesce((SELECT min(level) FROM f f2 WHERE f2.room = (SELECT min(room) FROM f f3 WHERE f3.level <= f3.room) AND f2.level <= f2.room) * weight, most)) AS target
   FROM f),
+kinds AS (
+  SELECT d.source, w, sum(size) AS words, any_value(target) AS target FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source GROUP BY d.source, w HAVING sum(size) > 0),
+l AS (
+  SELECT source, w, (target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / sum(w * words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM kinds),
+lv AS (
+  SELECT source, max_by(level, w) AS level FROM l WHERE level * w <= 2 GROUP BY source),
 i AS (
-  SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN least(2.0::DOUBLE, g.target / g.source_size) ELSE 0 END AS inclusion
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+  SELECT d.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN coalesce(least(2.0::DOUBLE, lv.level * d.w), 2.0::DOUBLE) ELSE 0 END AS inclusion
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN lv ON d.source IS NOT DISTINCT FROM lv.source),
 q AS (
   SELECT *, CAST(floor(inclusion) AS BIGINT) AS whole, inclusion - floor(inclusion) AS p FROM i),
 o AS (
   SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds,
          target - sum(whole * size) OVER (PARTITION BY source) AS lft FROM q),
 k AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds) NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM o)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds) NULLS LAST, doc_id, size, copy ROWS UNBOUNDED PRECEDING) AS upto FROM o)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST((whole + CASE WHEN odds IS NOT NULL AND 2 * upto - size <= 2 * lft THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM k

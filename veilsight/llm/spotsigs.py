@@ -28,22 +28,26 @@ ANCHORS = (
 CHAIN, REACH = 3, 12
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct signatures of a text, 8 hex digits each; none of a null text or one without words.
+def signatures(text: Column, digits: int = 8) -> Column:
+    """Sorted distinct signatures of a text, so many hex digits each; none of a null text or one without words.
 
     Words are runs of letters and digits of the lower-cased text.  The text's
-    beginning counts as an anchor, so any word makes a signature.  Chains are
-    shorter where there are fewer content words within reach.
+    beginning counts as an anchor, so any word makes a signature.  In a text
+    without anchors, as of another language, the words whose md5 begins with
+    0 or 8, an eighth of all, stand for them.  Chains are shorter where there
+    are fewer content words within reach.
     """
     words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
     common = ["", *ANCHORS]
 
     def chains(w: Column) -> Column:
-        spots = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i).isin(common))
+        listed = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i).isin(common))
+        drawn = F.filter(F.sequence(F.lit(2), F.size(w)), lambda i: F.substring(F.md5(F.element_at(w, i)), 1, 1).isin("0", "8"))
+        spots = F.element_at(F.transform(F.array(listed), lambda s: F.when(F.size(s) > 1, s).otherwise(F.concat(s, drawn))), 1)
 
         def chain(i: Column) -> Column:
             content = F.filter(F.slice(w, i + 1, F.lit(REACH)), lambda x: ~x.isin(common))
-            return F.substring(F.md5(F.array_join(F.concat(F.array(F.element_at(w, i)), F.slice(content, 1, CHAIN)), " ")), 1, 8)
+            return F.substring(F.md5(F.array_join(F.concat(F.array(F.element_at(w, i)), F.slice(content, 1, CHAIN)), " ")), 1, digits)
 
         return F.array_sort(F.array_distinct(F.transform(spots, chain)))
 
@@ -117,7 +121,7 @@ def similar(df: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: st
     those without signatures are in none.  Pairs have columns a, b (a < b) and
     likeness, at least threshold; membership has key and class.
     """
-    docs = df.select(df[key].alias("key"), signatures(df[text]).alias("sigs")).where(F.size("sigs") > 0)
+    docs = df.select(df[key].alias("key"), signatures(df[text], 16).alias("sigs")).where(F.size("sigs") > 0)
     docs = docs.withColumn("print", F.md5(fingerprint(F.col("sigs"))))
     classes = docs.groupBy("print").agg(F.min("key").alias("class"))
     members = docs.select("key", "print").join(classes, "print").select("key", "class")
