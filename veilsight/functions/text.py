@@ -51,8 +51,15 @@ def let(value: Column, body) -> Column:
 
 
 def dedupe(array: Column) -> Column:
-    """The first of the strings that are equal in lower case, in their order."""
-    return let(array, lambda a: let(F.transform(a, F.lower), lambda low: F.filter(a, lambda x, i: F.array_position(low, F.element_at(low, i + 1)) == i + 1)))
+    """The first of the strings that are equal but for case, in their order; nulls left out.
+
+    ß is ss, as in upper case.  Sorting brings equal ones together, so
+    that long arrays take little more than their length.
+    """
+    named = F.transform(array, lambda x, i: F.struct(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")).alias("low"), i.alias("i"), x.alias("x")))
+    alike = F.array_sort(F.filter(named, lambda s: s["x"].isNotNull()))
+    firsts = let(alike, lambda a: F.filter(a, lambda s, i: (i == 0) | (s["low"] != F.get(a, i - 1)["low"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
 
 
 def split_long(c: Column, word_boundary: bool = False) -> Column:
@@ -112,6 +119,25 @@ class PartnerSplitter:
         return run(text)
 
 
+class PartnerMorphemes:
+    """Tokens of another library's tagger: a function from text to (token, part of speech) pairs, run over Arrow batches."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __call__(self, c: Column) -> Column:
+        function = self.function
+        pair = pa.struct([("token", pa.string()), ("pos", pa.string())])
+
+        @arrow_udf("array<struct<token:string,pos:string>>")
+        def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                found = [[{"token": w, "pos": p} for w, p in function(t)] if t is not None else [] for t in column.to_pylist()]
+                yield pa.array(found, pa.list_(pair))
+
+        return run(c)
+
+
 def normalize_field(df: DataFrame, name: str) -> Column:
     """A text or list-of-text column as an array of its trimmed, non-empty texts; null is empty."""
     c = df[name]
@@ -176,12 +202,25 @@ def content_word(word: Column, pos: Column, min_chars: int = 3, prefix: str = "N
 
 
 _BASE = r"(?:D:\S+ )?(?:J:\S+ )*(?:N:\S+ )+"
+def morphemes(c: Column) -> Column:
+    """The words of a text as structs of token and pos, by the default tags."""
+    return F.transform(words(c), lambda w: F.struct(w.alias("token"), part_of_speech(w).alias("pos")))
+
+
 GRAMMARS = {"base": _BASE, "pp1": f"{_BASE}(?:I:\\S+ {_BASE})?", "chain": f"{_BASE}(?:I:\\S+ {_BASE})*"}
 
 
-def noun_phrases(c: Column, grammar: str = "base") -> Column:
-    """Noun phrases of a text, by a chunk grammar over the default tags."""
-    tagged = F.concat(F.array_join(F.transform(words(c), lambda w: F.concat(tag(w), F.lit(":"), w)), " "), F.lit(" "))
+def _letter(pos: Column) -> Column:
+    return F.when(F.startswith(pos, F.lit("NN")), "N").when(F.startswith(pos, F.lit("JJ")), "J").when(pos == "DT", "D").when(pos == "IN", "I").otherwise("O")
+
+
+def noun_phrases(c: Column, grammar: str = "base", tagger=None) -> Column:
+    """Noun phrases of a text, by a chunk grammar over the default tags, or those that tagger gives: a function from the text column to structs of token and pos."""
+    if tagger is None:
+        letters = F.transform(words(c), lambda w: F.concat(tag(w), F.lit(":"), w))
+    else:
+        letters = F.transform(tagger(c), lambda m: F.concat(_letter(m["pos"]), F.lit(":"), F.lower(m["token"])))
+    tagged = F.concat(F.array_join(letters, " "), F.lit(" "))
     found = F.regexp_extract_all(tagged, F.lit(GRAMMARS[grammar]), F.lit(0))
     return F.transform(found, lambda p: F.trim(F.regexp_replace(p, r"[DIJN]:", "")))
 

@@ -15,13 +15,18 @@ UNITS = ("clause", "field", "uuid")
 def unit_sets(detail: DataFrame, units: tuple[str, ...] = UNITS) -> DataFrame:
     """unit, uuid and terms: the sorted set of each clause, field and record, empty ones too.
 
-    detail has uuid, field, clause_pos and matched_terms.  Each grain is made
-    from the one below, so that sets shrink before they move.
+    detail has uuid, field, clause_pos and matched_terms, and text for the unit
+    of that name, a text of a field.  Each grain is made from the one below, so
+    that sets shrink before they move.
     """
     clause = detail.select("uuid", "field", F.array_sort(F.array_distinct("matched_terms")).alias("terms"))
     union = lambda: F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms")
     field = clause.groupBy("uuid", "field").agg(union())
+    if "text" in units:
+        texts = detail.select("uuid", "field", "text", F.array_sort(F.array_distinct("matched_terms")).alias("terms")).groupBy("uuid", "field", "text").agg(union())
+        field = texts.groupBy("uuid", "field").agg(union())
     made = {"clause": clause.select("uuid", "terms"), "field": field.select("uuid", "terms"), "uuid": field.groupBy("uuid").agg(union())}
+    made |= {"text": texts.select("uuid", "terms")} if "text" in units else {}
     out = None
     for u in units:
         one = made[u].select(F.lit(u).alias("unit"), "uuid", "terms")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from veilsight.session import checkpoint
 
 #: Tables of so many rows at most are ordered in one task.
 ONE_TASK_ROWS = 200_000
+#: Rows that a bin of random draws holds, about, and strata whose facts are broadcast at most.
+BIN_ROWS, BROADCAST_STRATA = 4096, 100_000
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], mins: dict[str, Column] | None = None) -> DataFrame:
@@ -72,19 +76,23 @@ def take_lowest(df: DataFrame, rank: str, caps: DataFrame | int, stratum: Column
 
     rank is a number above 0, best a random one; caps is a number for all or a
     table (stratum, cap), a null cap keeping all.  Ranks fall into bins by
-    their size; bins' counts find each stratum's last bin, and only its rows
-    are sorted.  tie names columns that settle equal ranks.
+    their size, of which there are more for more rows; bins' counts find each
+    stratum's last bin, and only its rows are sorted.  tie names columns that
+    settle equal ranks.
     """
     s = F.lit("") if stratum is None else stratum.cast("string")
-    # a bin is a 256th of a factor of two
-    rows = df.withColumn("_s", s).withColumn("_bin", F.floor(F.log2(F.col(rank)) * 256))
+    # a bin is a 256th of a factor of two or less, so that about BIN_ROWS fall into the last one of random ranks
+    per = 256 << max(0, math.ceil(math.log2(max(1, df.count() / (256 * BIN_ROWS)))))
+    rows = df.withColumn("_s", s).withColumn("_bin", F.floor(F.log2(F.col(rank)) * per))
     bins = rows.groupBy("_s", "_bin").agg(F.count("*").alias("n"))
     caps = bins.select("_s").distinct().withColumn("cap", F.lit(caps).cast("long")) if isinstance(caps, int) else caps.select(F.col(caps.columns[0]).cast("string").alias("_s"), F.col(caps.columns[1]).cast("long").alias("cap"))
     upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("_s").orderBy("_bin")))
     cut = upto.join(caps, "_s").where((F.col("upto") > F.col("cap")))
     cut = cut.groupBy("_s").agg(F.min(F.struct("_bin", "upto", "n", "cap")).alias("c"))
     cut = cut.select("_s", F.col("c._bin").alias("_last"), (F.col("c.cap") - F.col("c.upto") + F.col("c.n")).alias("_room"))
-    joined = rows.join(cut, "_s", "left")
+    cut = checkpoint(cut)
+    # a row a stratum: counted, and broadcast within the bound, so that rows do not move for it
+    joined = rows.join(F.broadcast(cut) if cut.count() <= BROADCAST_STRATA else cut, "_s", "left")
     inside = joined.where(F.col("_last").isNull() | (F.col("_bin") < F.col("_last")))
     edge = joined.where(F.col("_bin") == F.col("_last"))
     by = Window.partitionBy("_s").orderBy(rank, *(tie or []))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilsight.functions import stats
 from veilsight.operators import risk
-from veilsight.operators.ranking import quantile_bins, take_lowest
+from veilsight.operators.ranking import BIN_ROWS, quantile_bins, take_lowest
 from veilsight.session import checkpoint
 
 
@@ -66,9 +66,13 @@ def stratified(df: DataFrame, label: str, size: int, key: list[str], seed: int =
 
 
 def k_fold(df: DataFrame, k: int, key: list[str], label: str | None = None, seed: int = 42, out: str = "fold") -> DataFrame:
-    """df with folds 0 to k - 1 by a hash of the key, each label spread evenly: labels' rows are counted by hash bins, so no label is sorted whole."""
+    """df with folds 0 to k - 1 by a hash of the key, each label spread evenly.
+
+    Labels' rows are counted by hash bins, of some thousand rows each, so no label is sorted whole.
+    """
     u = stats.draw(seed, *[F.col(c) for c in key])
-    rows = df.withColumn("_u", u).withColumn("_l", F.lit("") if label is None else F.col(label).cast("string")).withColumn("_b", F.floor(F.col("_u") * 4096))
+    bins = max(256, df.count() // BIN_ROWS)
+    rows = df.withColumn("_u", u).withColumn("_l", F.lit("") if label is None else F.col(label).cast("string")).withColumn("_b", F.floor(F.col("_u") * bins))
     starts = rows.groupBy("_l", "_b").agg(F.count("*").alias("n"))
     starts = starts.select(F.col("_l").alias("_l2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("n").over(Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     within = F.row_number().over(Window.partitionBy("_l", "_b").orderBy("_u", *key)) - 1

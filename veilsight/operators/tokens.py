@@ -11,10 +11,31 @@ from veilsight.operators.ranking import bh
 from veilsight.session import checkpoint
 
 
-def clause_tokens(clauses: DataFrame) -> DataFrame:
-    """label, token, pos of every content word of a clause, with repeats; PII clauses left out."""
-    words = clauses.where(F.col("label").isin("PROFILE", "NONE")).select("label", F.explode(text.words(F.col("clause"))).alias("token"))
-    return words.withColumn("pos", text.part_of_speech(F.col("token"))).where(text.content_word(F.col("token"), F.col("pos")))
+def clause_tokens(clauses: DataFrame, tagger=None, keep=text.content_word) -> DataFrame:
+    """label, token, pos of every content word of a clause, with repeats; PII clauses left out.
+
+    tagger is a function from the clause column to structs of token and pos,
+    as text.PartnerMorphemes is; keep tells by token and pos which ones count.
+    """
+    labelled = clauses.where(F.col("label").isin("PROFILE", "NONE"))
+    if tagger is None:
+        words = labelled.select("label", F.explode(text.words(F.col("clause"))).alias("token")).withColumn("pos", text.part_of_speech(F.col("token")))
+    else:
+        words = labelled.select("label", F.explode(tagger(F.col("clause"))).alias("_m")).select("label", "_m.token", "_m.pos")
+    return words.where(keep(F.col("token"), F.col("pos")))
+
+
+def augment_profile(counts: DataFrame, totals: DataFrame, rows: DataFrame, columns: tuple[str, ...], tagger=text.morphemes, keep=text.content_word) -> tuple[DataFrame, DataFrame]:
+    """counts and token totals with the content words of further profile texts added: text or list columns of rows.
+
+    counts has token, pos, freq_profile and freq_none, totals n_profile and n_none.
+    """
+    texts = rows.select(F.explode(F.concat(*[text.normalize_field(rows, c) for c in columns])).alias("clause"))
+    found = clause_tokens(texts.withColumn("label", F.lit("PROFILE")), tagger, keep).groupBy("token", "pos").agg(F.count("*").alias("freq_profile"), F.lit(0).cast("long").alias("freq_none"))
+    both = counts.select("token", "pos", "freq_profile", "freq_none").unionByName(found)
+    more = found.agg(F.coalesce(F.sum("freq_profile"), F.lit(0)).alias("_more"))
+    out = both.groupBy("token", "pos").agg(F.sum("freq_profile").alias("freq_profile"), F.sum("freq_none").alias("freq_none"))
+    return out, totals.crossJoin(F.broadcast(more)).withColumn("n_profile", F.col("n_profile") + F.col("_more")).drop("_more")  # one row
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -73,6 +94,12 @@ def stats_of(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return scored.crossJoin(F.broadcast(sizes)).drop("a", "b", "c", "d")  # one row
 
 
+def in_order(stats_df: DataFrame) -> DataFrame:
+    """Token statistics as they are written: the surest first, by q and then p, untested ones last."""
+    by = [F.col(c).asc_nulls_last() for c in ("q_value", "p_value") if c in stats_df.columns]
+    return stats_df.orderBy(*by, "token")
+
+
 def significant(stats_df: DataFrame, q: float = 0.05) -> DataFrame:
     """Tokens of q at most, the strongest first; by Bonferroni where there is no q."""
     if "q_value" not in stats_df.columns:

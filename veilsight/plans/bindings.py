@@ -28,23 +28,21 @@ def basket_detail(spark: SparkSession, sf_dir: str, term: str = "p_brand") -> Da
 
 
 def basket_spans(spark: SparkSession, sf_dir: str, term: str = "p_brand") -> DataFrame:
-    """uuid, field, clause_pos, clause, label: an order as a span named by its number, with its largest label.
+    """uuid, field, clause_pos, clause, label: an order as a span with its largest label.
 
-    There are 5,000 names at most, as in the SQL; whole_spans has no such bound.
+    Its name is the order's, and for every fourth order the customer's, so that some repeat.
     """
     rows = basket(spark, sf_dir, term).groupBy("uuid", "field", "clause_pos").agg(F.max("label").alias("label"))
-    return rows.withColumn("clause", F.concat(F.lit("order "), (F.col("clause_pos") % 5000).cast("string")))
+    name = F.when(F.col("clause_pos") % 4 == 0, F.concat(F.lit("customer "), F.col("uuid").cast("string"))).otherwise(F.concat(F.lit("order "), F.col("clause_pos").cast("string")))
+    return rows.withColumn("clause", name)
 
 
-def whole_spans(spark: SparkSession, sf_dir: str, term: str = "p_brand") -> DataFrame:
-    """basket_spans with names that grow with the orders: the whole number, and for every fourth order the customer's, so that some repeat."""
-    name = F.when(F.col("clause_pos") % 4 == 0, F.concat(F.lit("customer "), F.col("uuid").cast("string"))).otherwise(F.concat(F.lit("order "), F.col("clause_pos").cast("string")))
-    return basket_spans(spark, sf_dir, term).withColumn("clause", name)
+whole_spans = basket_spans
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """uuid, field, text, label of English documents that are labelled."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", "text")
+    """uuid, field, text, label of documents that are labelled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     labels = table(spark, sf_dir, "labels")
     label = F.when(F.col("toxic") == 1, "PII").when(F.col("quality") == 1, "PROFILE").otherwise("NONE")
     return docs.join(labels, "doc_id").select(F.col("doc_id").alias("uuid"), F.col("source").alias("field"), "text", label.alias("label"))

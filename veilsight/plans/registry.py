@@ -618,7 +618,12 @@ def span_annotations(s, d):
     return out.select("text", F.when(F.size("spans") > 0, joined_spans).alias("spans"))
 
 
-@query()
+@query(
+    r"WITH t AS (SELECT conv_id, turn, string_split_regex(lower(text), '\s+') AS w FROM conversations WHERE text IS NOT NULL),"
+    " c AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'of' AND w[i + 1] = 'the') AS a, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'to') AS b FROM t)"
+    " SELECT conv_id, turn, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(a) AS INTEGER) AS n_profile, CAST(len(b) AS INTEGER) AS n_pii,"
+    " CASE WHEN len(a) + len(b) = 0 THEN 'NONE' WHEN 2 * len(a) > len(b) OR (2 * len(a) = len(b) AND a[1] < b[1]) THEN 'PROFILE' ELSE 'PII' END AS vote FROM c"
+)
 def bio_tags(s, d):
     toks = F.split(F.lower("text"), r"\s+")
     spans = F.array(F.struct(F.split(F.lit("of the"), " ").alias("piece"), F.lit("PROFILE").alias("label")), F.struct(F.split(F.lit("to"), " ").alias("piece"), F.lit("PII").alias("label")))

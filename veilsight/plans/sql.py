@@ -52,7 +52,7 @@ _PARTS = f"list_filter(list_transform(string_split_regex(s, '{_CONJ}'), lambda x
 #: cl: uuid, field, clause_pos, clause, label
 CLAUSES = f"""WITH src AS (
   SELECT doc_id AS uuid, source AS field, text, CASE WHEN toxic = 1 THEN 'PII' WHEN quality = 1 THEN 'PROFILE' ELSE 'NONE' END AS label
-  FROM documents JOIN labels USING (doc_id) WHERE lang = 'en'),
+  FROM documents JOIN labels USING (doc_id)),
 sen AS (SELECT uuid, field, label, list_filter(list_transform(string_split_regex(text, '(?:\\r?\\n)+|[.!?;]+'), lambda x: {norm("x")}), lambda x: x <> '') AS sents FROM src),
 par AS (SELECT uuid, field, label, flatten(list_transform(sents, lambda s: CASE WHEN {wc("s")} > {LONG_SENTENCE_WORDS} AND len({_PARTS}) > 1 THEN {_PARTS} ELSE [s] END)) AS p FROM sen),
 ded AS (SELECT uuid, field, label, list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: lower(y)), lower(x)) = i) AS c FROM par),
@@ -127,7 +127,7 @@ items AS (SELECT i AS combo, 1 AS size, CAST(sum(cnt) AS BIGINT) AS support_coun
   UNION ALL SELECT p.i || '|' || q.i || '|' || r.i, 3, CAST(sum(p.cnt) AS BIGINT) FROM x p JOIN x q ON p.sid = q.sid AND p.i < q.i JOIN x r ON r.sid = q.sid AND q.i < r.i GROUP BY p.i, q.i, r.i HAVING sum(p.cnt) >= 5)
 """
 #: spans: text, label, qi, qi_json, size, freq; rec: qi, record_count
-SPANS = basket("p_brand") + """, o AS (SELECT clause_pos, uuid, max(label) AS label, 'order ' || (clause_pos % 5000) AS text FROM b GROUP BY clause_pos, uuid),
+SPANS = basket("p_brand") + """, o AS (SELECT clause_pos, uuid, max(label) AS label, CASE WHEN clause_pos % 4 = 0 THEN 'customer ' || uuid ELSE 'order ' || clause_pos END AS text FROM b GROUP BY clause_pos, uuid),
 j AS (SELECT text, label, t, '["' || array_to_string(t, '", "') || '"]' AS js FROM o JOIN det USING (clause_pos, uuid)),
 spans AS (SELECT text, max(label) AS label, arg_max(t, js) AS qi, max(js) AS qi_json, CAST(len(arg_max(t, js)) AS INTEGER) AS size, CAST(count(*) AS BIGINT) AS freq FROM j GROUP BY text),
 rec AS (SELECT t AS qi, CAST(count(DISTINCT uuid) AS BIGINT) AS record_count FROM det GROUP BY t)
@@ -169,9 +169,8 @@ FREQS = "WITH f AS (SELECT CAST(l_partkey AS VARCHAR) AS phrase, count(*) AS fre
 FREQ_BINS = "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in zip(FREQ_EDGES[:-1], FREQ_EDGES[1:], strict=True)) + ") v(lo, hi)"
 
 
-#: How SPANS names a span, and how it is named without a bound on the names.
-SPAN_NAME = "'order ' || (clause_pos % 5000)"
-WHOLE_SPAN_NAME = "CASE WHEN clause_pos % 4 = 0 THEN 'customer ' || uuid ELSE 'order ' || clause_pos END"
+#: How SPANS names a span.
+SPAN_NAME = WHOLE_SPAN_NAME = "CASE WHEN clause_pos % 4 = 0 THEN 'customer ' || uuid ELSE 'order ' || clause_pos END"
 
 #: items of any size: every subset of every distinct set, grown by its next term.  For a WITH RECURSIVE.
 WHOLE_ITEMSETS = """, s AS (SELECT list_sort(list_distinct(list(term))) AS t FROM b GROUP BY uuid, field), ws AS (SELECT row_number() OVER (ORDER BY t) AS sid, t, count(*) AS cnt FROM s GROUP BY t),

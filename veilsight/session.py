@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "veilsight", **conf: str) -> SparkSession:
@@ -15,9 +16,18 @@ def session(app: str = "veilsight", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, Observation]:
+    """df, and the counters that fill while it is computed: rows, and further aggregates by name."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counts.items()]), seen
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df read back from the folder that spark.checkpoint.dir names (a temporary one only where it is unset)."""
+    """df read back from the folder that spark.checkpoint.dir names (a temporary one only where it is unset and all tasks run in this process)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veilsight-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilsight-"))
     return df.checkpoint(eager=True)
