@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from veilsight.llm import stages
-from veilsight.llm.common import ensure_checkpoint_dir
+from veilsight.llm.common import ensure_checkpoint_dir, remove
 
 STAGES = [
     ("toxicity", stages.toxicity),
@@ -21,7 +21,8 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: The classifier and the join are not SQL; tests compare each stage with a brute-force version.
+#: The classifier and the packing are not SQL.  Tests compare line dedup, near-dedup, mixing and packing with brute-force versions,
+#: and the decoder and classifier of toxicity with all readings of short words and with held-out rows.
 ORACLE_SQL = None
 
 
@@ -30,7 +31,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
