@@ -151,14 +151,19 @@ def lattice(seen: str) -> list[list[tuple[str, float]]]:
 @lru_cache(maxsize=1 << 16)
 def disguised(word: str) -> bool:
     """Whether a word of letters has other readings: a letter twice in a row, or one that stands for another."""
-    return bool(DOUBLED.search(word)) or not word.isascii() and any(len(x) > 1 for x in lattice(word))
+    return bool(DOUBLED.search(word)) or not word.isascii() and any(LETTERS[c][1] for c in word)
 
 
-@lru_cache(maxsize=1 << 12)
-def _others(c: str) -> tuple[tuple[str, int, float], ...]:
-    """What else a letter may stand for, with symbols and costs."""
-    (choices,) = lattice(c)
-    return tuple((x, symbol(x), cost) for x, cost in choices if x != c)
+class _Letters(dict):
+    """Of each letter seen: its symbol, and what else it may stand for, with symbols and costs."""
+
+    def __missing__(self, c: str) -> tuple[int, tuple[tuple[str, int, float], ...]]:
+        (choices,) = lattice(c)
+        self[c] = out = symbol(c), tuple((x, symbol(x), cost) for x, cost in choices if x != c)
+        return out
+
+
+LETTERS = _Letters()
 
 
 def restore_apart(word: str, model: CharModel) -> str | None:
@@ -167,28 +172,29 @@ def restore_apart(word: str, model: CharModel) -> str | None:
     A choice changes the probabilities of its own symbol and the next two, so
     choices so far apart are the likeliest each by itself.
     """
-    found, last, places = [], "", -3
+    found, last, place, s = [], "", -3, [BOUNDARY, BOUNDARY]
     for i, c in enumerate(word):
-        if c == last or _others(c):
-            if i - places < 3:
+        code, others = LETTERS[c]
+        s.append(code)
+        if others or c == last:
+            if i - place < 3:
                 return None
-            found.append(i)
-            places = i
+            found.append((i, others))
+            place = i
         last = c
-    s = [BOUNDARY, BOUNDARY, *map(symbol, word), BOUNDARY]
+    s.append(BOUNDARY)
     out = list(word)
-    for i in found:
-        a, b, c, after = s[i], s[i + 1], s[i + 2], s[i + 3]
+    for i, others in found:
+        a, b, after = s[i], s[i + 1], s[i + 3]
         second = s[i + 4] if i + 4 < len(s) else None
 
         def price(d: int, a: int = a, b: int = b, after: int = after, second: int | None = second) -> float:
             return model(a, b, d) + model(b, d, after) + (0.0 if second is None else model(d, after, second))
 
-        plain = price(c)
-        best, pick = plain, word[i]
-        for x, d, cost in _others(word[i]):
-            if cost + price(d) > best:
-                best, pick = cost + price(d), x
+        best, pick = price(s[i + 2]), word[i]
+        for x, d, cost in others:
+            if (p := cost + price(d)) > best:
+                best, pick = p, x
         if i and word[i] == word[i - 1]:
             without = REPEAT + model(a, b, after) + (0.0 if second is None else model(b, after, second))
             if without > best:
@@ -224,7 +230,7 @@ def restore(seen: str, model: CharModel) -> str:
 class Restorer:
     """Words of texts: those that stand there, and those restored."""
 
-    REMEMBERED = 50_000
+    REMEMBERED = 200_000
 
     def __init__(self, model: CharModel):
         self.model, self.known = model, {}
