@@ -80,6 +80,11 @@ def number_copies(rows: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     return single.unionByName(unfolded)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder, for loops.
 
@@ -100,5 +105,4 @@ class Scratch:
 
     def clear(self) -> None:
         """Removes the tables; only once all that was made of them is written elsewhere."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.folder)

@@ -1,41 +1,45 @@
 """Near duplicates by a chosen-path set similarity join.
 
-Documents become sets of word shingles and sketches of minwise tokens.  In
-each of several independent trees a node picks one or two sketch coordinates
-by its path, and its documents go on to the children their tokens name.  Nodes
-that are small enough are compared exhaustively; nodes that stay large to the
-last level are compared with a pivot, and what is far from the pivot with all.
-Comparing sketches gives candidate links, of which a node emits no more than
-join its documents up.  Candidates' components are then linked exactly, on
-full sets.
-
-Exact copies fall together before that, and nothing is ever paired within a
-group of them.
+Documents become sets of word shingles, sketches of minwise tokens, and a bit
+a coordinate of a longer sketch.  In each of several independent trees a node
+picks one or two sketch coordinates by its path, and its documents go on to the
+children their tokens name: 1.25 children each, so that a pair at the threshold
+meets in one child of a node, and less alike ones in ever fewer.
+
+A node that is small enough is compared exhaustively, by bits.  In a large node
+all documents are compared with one of them, the pivot: those about it become
+its candidates, those close to it go no deeper, as whatever links to them is a
+candidate of the pivot too.  A node whose documents all became candidates of one
+pivot before has nothing left to find.  Each node stops by itself; whatever a
+hot group looks like, a document costs a comparison for each node it is in.
+
+Candidates' components are then linked exactly, on full sets.  Exact copies fall
+together before all that, and nothing is ever paired within a group of them.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilsight.llm.common import checkpoint
+from veilsight.llm.common import Scratch, checkpoint
 
-COORDINATES = 64
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Coordinates of the bits, of which the first are the tokens that trees branch by.
+BITS, COORDINATES = 512, 64
 _GEN = np.random.Generator(np.random.PCG64(11))
-SCALES = _GEN.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _GEN.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+SCALES = _GEN.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFTS = _GEN.integers(0, 1 << 32, BITS, dtype=np.uint32)
 #: Sets are sketched so many tokens at a time.
-CHUNK = 2048
-#: Candidate keys of so many rows at most are broadcast.
-BROADCAST_ROWS = 1_000_000
+CHUNK = 512
+#: Tables of narrow rows are broadcast up to so many rows, which are counted first.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -44,14 +48,17 @@ class Plan:
 
     share: int = 80
     words: int = 5
-    trees: int = 8
-    levels: int = 12
-    #: Rows of large nodes that have not fallen by this factor in a level are taken to be alike, and go no deeper.
-    shrink: float = 0.9
-    #: Nodes of so many documents at most are compared exhaustively.
-    node: int = 64
-    #: Sketches that agree in so many coordinates, of 64, make a candidate: four standard deviations under the threshold.
-    agree: int = 39
+    trees: int = 10
+    levels: int = 40
+    #: A document's node has 1 + second children on average; 1.25 is one over the similarity.
+    second: float = 0.25
+    #: Nodes of so many documents at most are compared exhaustively, which costs less than another level.
+    node: int = 256
+    #: Bits that agree, of 512, where similarity s leaves (1 + s) / 2 of them: a candidate pair in a small node (0.695,
+    #: four standard deviations under the threshold), a pivot's candidate (0.56), and one that goes no deeper (0.77).
+    agree: int = 434
+    about: int = 400
+    close: int = 453
     #: Components of so many documents or tokens at most are linked in one task.
     local_docs: int = 4000
     local_tokens: int = 4_000_000
@@ -81,79 +88,94 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """The least of each coordinate's 32-bit hashes of the tokens."""
-    least = np.full(COORDINATES, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(tokens), CHUNK):
-        h = tokens[i : i + CHUNK, None] * SCALES + SHIFTS
-        np.minimum(least, (h >> np.uint64(32)).min(axis=0), out=least)
-    return least.astype(np.uint32)
+    least, t = np.full(BITS, 0xFFFFFFFF, np.uint32), (tokens >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(t), CHUNK):
+        np.minimum(least, (t[i : i + CHUNK, None] * SCALES + SHIFTS).min(axis=0), out=least)
+    return least
+
+
+def bits_of(least: np.ndarray) -> bytes:
+    """A bit a coordinate."""
+    return np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).tobytes()
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits rows of words agree."""
+    return BITS - np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, first, second, drawn = [], [], [], []
+            size, first, second, drawn, bits = [], [], [], [], []
             for t in batch.column(2):
                 tokens = shingles(t.as_py(), words)
                 size.append(len(tokens))
                 if len(tokens):
-                    digest = xxhash.xxh3_128_digest(tokens.tobytes())
+                    digest, least = xxhash.xxh3_128_digest(tokens.tobytes()), sketch(tokens)
                     first.append(int.from_bytes(digest[:8], "little", signed=True))
                     second.append(int.from_bytes(digest[8:], "little", signed=True))
-                    drawn.append(sketch(tokens).tobytes())
+                    drawn.append(least[:COORDINATES].tobytes())
+                    bits.append(bits_of(least))
                 else:
-                    first.append(None), second.append(None), drawn.append(None)  # noqa: B018
+                    for column in (first, second, drawn, bits):
+                        column.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(drawn, pa.binary())],
-                ["key", "text_hash", "n", "h1", "h2", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(drawn, pa.binary()), pa.array(bits, pa.binary())],
+                ["key", "text_hash", "n", "h1", "h2", "sketch", "bits"],
             )
 
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Fixed-length binaries as rows of bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """Binaries of one length as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def _grow(path: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Children's paths and the rows that go there: one coordinate for every node, a second for every other."""
+def _grow(path: np.ndarray, tokens: np.ndarray, second: float) -> tuple[np.ndarray, np.ndarray]:
+    """Children's paths and the rows that go there: one coordinate for every node, a second for some."""
     rows, out, at = np.arange(len(path)), [], []
     for turn in (1, 2):
         drawn = mix(path + np.uint64(turn * int(MIX1) % (1 << 64)))
         coordinate = (drawn % np.uint64(COORDINATES)).astype(np.int64)
         child = mix(mix(path + drawn) + tokens[rows, coordinate].astype(np.uint64) * MIX1)
-        goes = np.ones(len(path), bool) if turn == 1 else (drawn >> np.uint64(40)) % np.uint64(2) == 0
+        goes = np.ones(len(path), bool) if turn == 1 else (drawn >> np.uint64(40)) < np.uint64(second * (1 << 24))
         out.append(child[goes])
         at.append(rows[goes])
     return np.concatenate(out), np.concatenate(at)
 
 
-def _low_bytes(tokens: np.ndarray) -> list[bytes]:
-    low = tokens.astype(np.uint8)
-    return [r.tobytes() for r in low]
-
-
-def _roots(trees: int):
+def _roots(trees: int, second: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = _matrix(batch.column(1)).view(np.uint32)
-            low = pa.array(_low_bytes(tokens), pa.binary())
+            tokens, cid = _matrix(batch.column(1), np.uint32), batch.column(0)
             for tree in range(trees):
-                path, at = _grow(np.full(len(tokens), mix(np.array([tree + 1], np.uint64) * MIX1)[0], np.uint64), tokens)
-                at = pa.array(at, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(0).take(at), low.take(at)], ["path", "cid", "low"])
+                path, at = _grow(np.full(len(tokens), mix(np.array([tree + 1], np.uint64) * MIX1)[0], np.uint64), tokens, second)
+                here = cid.take(pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), here, here], ["path", "cid", "held"])
 
     return run
 
 
-def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        tokens = _matrix(batch.column(2)).view(np.uint32)
-        path, at = _grow(batch.column(0).to_numpy().view(np.uint64), tokens)
-        low, at = pa.array(_low_bytes(tokens), pa.binary()), pa.array(at, pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1).take(at), low.take(at)], ["path", "cid", "low"])
+def _descend(plan: Plan):
+    """Rows of large nodes against their pivots: candidates (path null) with the pivot as held, and children."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, cid, held, pivot = (batch.column(c).to_numpy() for c in ("path", "cid", "held", "pivot"))
+            same = agreement(_matrix(batch.column("bits"), np.uint64), _matrix(batch.column("pivot_bits"), np.uint64))
+            about = same >= plan.about
+            held = np.where(about, pivot, held)
+            deeper = np.flatnonzero(same < plan.close)
+            child, at = _grow(path[deeper].view(np.uint64), _matrix(batch.column("sketch"), np.uint32)[deeper], plan.second)
+            at, star = deeper[at], np.flatnonzero(about & (cid != pivot))
+            paths = pa.concat_arrays([pa.nulls(len(star), pa.int64()), pa.array(child.view(np.int64))])
+            yield pa.RecordBatch.from_arrays([paths, pa.array(np.concatenate([cid[star], cid[at]])), pa.array(np.concatenate([pivot[star], held[at]]))], ["path", "cid", "held"])
+
+    return run
 
 
 class Union:
@@ -178,105 +200,91 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
-def _compare_nodes(agree: int):
-    """Candidate links inside each small node, as few as join them up."""
+def _compare_nodes(agree: int, pairs: int = 1 << 18):
+    """Candidate links inside each small node, as few as join up what no pivot holds together.
+
+    Nodes are taken together up to about so many pairs.
+    """
     corner: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    def compare(ids: np.ndarray, bits: np.ndarray, held: np.ndarray, ends: list[int]) -> list[tuple[int, int]]:
+        left, right = [], []
+        for start, end in zip(ends, ends[1:], strict=False):
+            if end - start not in corner:
+                corner[end - start] = np.triu_indices(end - start, 1)
+            a, b = corner[end - start]
+            left.append(a + start)
+            right.append(b + start)
+        left, right = np.concatenate(left), np.concatenate(right)
+        hit = (held[left] != held[right]) & (agreement(bits[left], bits[right]) >= agree)
+        left, right = left[hit].tolist(), right[hit].tolist()
+        # rows of different nodes are different, so one forest serves them all
+        joined = Union(ends[-1])
+        for a, b in zip(left, right, strict=True):
+            joined.join(a, b)
+        # stars about the least cid, so that nodes of like members emit like links
+        star, least = {i: joined.find(i) for i in {*left, *right}}, {}
+        for i, r in star.items():
+            least[r] = min(least.get(r, int(ids[i])), int(ids[i]))
+        return [(least[r], int(ids[i])) for i, r in star.items() if least[r] != ids[i]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column(0)
-            flat, ends = members.flatten(), members.offsets.to_numpy()
-            ends = ends - ends[0]
-            ids, low = flat.field(0).to_numpy(), _matrix(flat.field(1))
-            left, right = [], []
-            for i in range(len(ends) - 1):
-                n = int(ends[i + 1] - ends[i])
-                if n not in corner:
-                    corner[n] = np.triu_indices(n, 1)
-                left.append(corner[n][0] + ends[i])
-                right.append(corner[n][1] + ends[i])
-            if not left:
-                continue
-            left, right = np.concatenate(left), np.concatenate(right)
-            hits = [np.flatnonzero((low[left[i : i + 65536]] == low[right[i : i + 65536]]).sum(axis=1) >= agree) + i for i in range(0, len(left), 65536)]
-            hits = np.concatenate(hits) if hits else np.empty(0, np.int64)
-            # rows of different nodes are different, so one forest serves the batch
-            joined = Union(len(ids))
-            for a, b in zip(left[hits].tolist(), right[hits].tolist(), strict=True):
-                joined.join(a, b)
-            # stars about the least cid, so that nodes of like members emit like links
-            member = np.unique(np.concatenate([left[hits], right[hits]]))
-            root = np.array([joined.find(i) for i in member.tolist()], np.int64)
-            least: dict[int, int] = {}
-            for i, r in zip(member.tolist(), root.tolist(), strict=True):
-                least[r] = min(least.get(r, int(ids[i])), int(ids[i]))
-            yield _edges([(least[r], int(ids[i])) for i, r in zip(member.tolist(), root.tolist(), strict=True) if least[r] != ids[i]])
+            flat, offsets = members.flatten(), members.offsets.to_numpy()
+            sizes = np.diff(offsets).astype(np.int64)
+            load = np.cumsum(sizes * (sizes - 1) // 2) // pairs
+            cuts = np.flatnonzero(np.diff(load, prepend=-1)).tolist() + [len(sizes)]
+            for first, after in zip(cuts, cuts[1:], strict=False):
+                here = flat.slice(int(offsets[first] - offsets[0]), int(offsets[after] - offsets[first]))
+                bits = _matrix(here.field(1), np.uint64)
+                yield _edges(compare(here.field(0).to_numpy(), bits, here.field(2).to_numpy(), (offsets[first : after + 1] - offsets[first]).tolist()))
 
     return run
 
 
-def _compare_blocks(agree: int):
-    """Candidate links of the rows on one side of a block with those on the other."""
+def _with(rows: DataFrame, facts: DataFrame, on: str, n_facts: int) -> DataFrame:
+    """rows joined to facts, which are broadcast if their counted number is within the bound."""
+    return rows.join(F.broadcast(facts) if n_facts <= BROADCAST_ROWS else facts, on)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, far in zip(batch.column(0), batch.column(1), strict=True):
-                rows, far = rows.as_py(), far.as_py()
-                low = np.frombuffer(b"".join(r["low"] for r in rows), np.uint8).reshape(len(rows), -1)
-                out, joined, place = [], Union(len(rows) + len(far)), {r["cid"]: i for i, r in enumerate(rows)}
-                near = [i for i, r in enumerate(rows) if r["near"]]
-                for i in near[1:]:  # the pivot has linked them
-                    joined.join(near[0], i)
-                for j, y in enumerate(far):
-                    me = place.get(y["cid"], len(rows) + j)
-                    for i in np.flatnonzero((low == np.frombuffer(y["low"], np.uint8)).sum(axis=1) >= agree).tolist():
-                        if i != me and joined.join(i, me):
-                            out.append((y["cid"], rows[i]["cid"]))
-                yield _edges(out)
-
-    return run
 
+def candidate_links(reps: DataFrame, plan: Plan) -> DataFrame:
+    """Links a, b between cids whose bits agree; reps has cid, sketch and bits."""
 
-def _dense(rows: DataFrame, agree: int, block: int = 2048) -> DataFrame:
-    """Candidate links in nodes of any size: rows near the node's pivot link to it, the others are compared with all, in blocks."""
-    pivot = rows.groupBy("path").agg(F.min(F.struct("cid", "low")).alias("p"), F.count("*").alias("n"))
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(COORDINATES)), F.lit(0), lambda s, i: s + (F.substring("low", i, F.lit(1)) == F.substring("p.low", i, F.lit(1))).cast("int"))
-    judged = checkpoint(rows.join(pivot, "path").select("path", "cid", "low", "n", F.col("p.cid").alias("to"), (same >= agree).alias("near")))
-    star = judged.where("near AND cid <> to").select(F.col("to").alias("a"), F.col("cid").alias("b"))
-    blocks = F.ceil(F.col("n") / block)
-    far = judged.where("NOT near")
-    n_far = far.groupBy("path").agg(F.ceil(F.count("*") / block).alias("far_blocks"))
-    number = lambda of: F.pmod(F.xxhash64("cid", F.lit(3)), of)
-    one = F.struct("cid", "low", "near").alias("one")
-    rows_in = judged.join(n_far, "path").select("path", number(blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("far_blocks") - 1)).alias("j"), one)
-    far_in = far.join(n_far, "path").select("path", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i"), number(F.col("far_blocks")).alias("j"), one)
-    left = rows_in.groupBy("path", "i", "j").agg(F.collect_list("one").alias("rows"))
-    right = far_in.groupBy("path", "i", "j").agg(F.collect_list("one").alias("far"))
-    return star.unionByName(left.join(right, ["path", "i", "j"]).select("rows", "far").mapInArrow(_compare_blocks(agree), "a long, b long"))
+    scratch = Scratch(reps.sparkSession)
+    keep = scratch.keep
 
+    def sketched(rows: DataFrame, n_rows: int, *columns: str) -> DataFrame:
+        own = reps.select("cid", *columns)
+        return own.join(F.broadcast(rows) if n_rows <= BROADCAST_ROWS else rows, "cid")
 
-def candidate_links(reps: DataFrame, plan: Plan) -> DataFrame:
-    """Links a, b between cids whose sketches agree; reps has cid and sketch."""
-    nodes = reps.select("cid", "sketch").mapInArrow(_roots(plan.trees), "path long, cid long, low binary")
-    links, before = None, None
+    nodes = keep(reps.select("cid", "sketch").mapInArrow(_roots(plan.trees, plan.second), "path long, cid long, held long"))
+    links, place = None, F.xxhash64("cid", "path")
     for level in range(1, plan.levels + 1):
-        counts = nodes.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        small = nodes.join(counts.where(F.col("n") <= plan.node).select("path"), "path")
-        members = small.groupBy("path").agg(F.collect_list(F.struct("cid", "low")).alias("members")).select("members")
+        counts = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min(place).alias("least"), (F.min("held") != F.max("held")).alias("apart"))
+        counts = keep(counts.where("n > 1 AND apart").drop("apart"))
+        n_small, n_large = counts.agg(F.count_if(F.col("n") <= plan.node), F.count_if(F.col("n") > plan.node)).first()
+        small = keep(_with(nodes, counts.where(F.col("n") <= plan.node).select("path"), "path", n_small))
+        members = sketched(small, small.count(), "bits").groupBy("path").agg(F.collect_list(F.struct("cid", "bits", "held")).alias("members")).select("members")
         found = members.mapInArrow(_compare_nodes(plan.agree), "a long, b long")
-        large = nodes.join(counts.where(F.col("n") > plan.node).select("path"), "path")
-        large = checkpoint(large)
-        rows = large.count()
-        stop = rows == 0 or level == plan.levels or (before is not None and rows > plan.shrink * before)
-        before = rows
-        if rows and stop:
-            found = found.unionByName(_dense(large, plan.agree))
-        found = checkpoint(found.distinct())
+        if n_large:
+            large = keep(_with(nodes, counts.where(F.col("n") > plan.node).select("path", "least"), "path", n_large))
+            # the row with the least hash is the pivot
+            pivots = sketched(large.where(place == F.col("least")).select("path", "cid"), n_large, "bits")
+            pivots = keep(pivots.select("path", F.col("cid").alias("pivot"), F.col("bits").alias("pivot_bits")))
+            judged = _with(sketched(large, large.count(), "sketch", "bits"), pivots, "path", n_large)
+            nodes = keep(judged.select("path", "cid", "held", "pivot", "sketch", "bits", "pivot_bits").mapInArrow(_descend(plan), "path long, cid long, held long"))
+            found = found.unionByName(nodes.where("path IS NULL").select(F.col("held").alias("a"), F.col("cid").alias("b")))
+            nodes = nodes.where("path IS NOT NULL")
+            if level == plan.levels:  # what is still large is not lost: all of a node become its pivot's candidates
+                found = found.unionByName(judged.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
+        found = keep(found.distinct())
         links = found if links is None else links.unionByName(found)
-        if stop:
+        if not n_large:
             break
-        nodes = large.select("path", "cid").join(reps.select("cid", "sketch"), "cid").select("path", "cid", "sketch").mapInArrow(_children, "path long, cid long, low binary")
-    return links.distinct()
+    links = checkpoint(links.distinct())
+    scratch.clear()
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -285,18 +293,22 @@ def components(links: DataFrame) -> DataFrame:
     Labels fall to the least of the neighbours' and then to their label's own
     label, so that long chains take few rounds.
     """
-    both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("a"), F.min("b")).alias("comp")))
+    scratch = Scratch(links.sparkSession)
+    keep = scratch.keep
+    both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = keep(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("a"), F.min("b")).alias("comp")))
     while True:
         heard = both.join(labels.select(F.col("cid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("near"))
         lower = labels.join(heard, "cid").select("cid", "comp", F.least("comp", "near").alias("low"))
         # each label also hears of what its own node and the members it stands for have found
         told = lower.groupBy(F.col("comp").alias("of")).agg(F.min("low").alias("told"))
-        step = lower.join(told, F.col("comp") == F.col("of")).select("cid", F.col("comp").alias("was"), F.least("low", "told").alias("comp"))
+        step = keep(lower.join(told, F.col("comp") == F.col("of")).select("cid", F.col("comp").alias("was"), F.least("low", "told").alias("comp")))
         jump = step.select(F.col("cid").alias("to"), F.col("comp").alias("next"))
-        after = checkpoint(step.join(jump, F.col("comp") == F.col("to")).select("cid", "was", F.least("comp", "next").alias("comp")))
+        after = keep(step.join(jump, F.col("comp") == F.col("to")).select("cid", "was", F.least("comp", "next").alias("comp")))
         labels = after.select("cid", "comp")
         if after.where("comp < was").isEmpty():
+            labels = checkpoint(labels)
+            scratch.clear()
             return labels
 
 
@@ -384,29 +396,99 @@ def _link_components(share: int):
     return run
 
 
-def _compare_far(share: int):
+def _stack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets end to end, their starts and sizes."""
+    sizes = np.array([len(r) // 8 for r in rows])
+    return np.frombuffer(b"".join(rows), np.uint64), np.concatenate([[0], np.cumsum(sizes[:-1])]), sizes
+
+
+def _compare_blocks(share: int):
+    """Links of each set of one block with one set of the other, as the sets of that block are linked already."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for rows, grey in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [(r["cid"], np.frombuffer(r["tokens"], np.uint64)) for r in rows.as_py()]
+                rows = rows.as_py()
+                flat, starts, sizes = _stack([r["tokens"] for r in rows])
+                names, flat = np.unique(flat, return_inverse=True)
                 for y in grey.as_py():
                     own = np.frombuffer(y["tokens"], np.uint64)
-                    for cid, tokens in rows:
-                        inter = len(np.intersect1d(own, tokens, assume_unique=True))
-                        if 100 * inter >= share * (len(own) + len(tokens) - inter):
-                            out.append((cid, y["cid"]))
-                            break  # the rows of a block are joined already
+                    at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                    mark = np.zeros(len(names), np.int64)
+                    mark[at[names[at] == own]] = 1
+                    inter = np.add.reduceat(mark[flat], starts)
+                    hit = np.flatnonzero(100 * inter >= share * (sizes + len(own) - inter))
+                    if len(hit):
+                        out.append((rows[hit[0]]["cid"], y["cid"]))
+            yield _edges(out)
+
+    return run
+
+
+def _judge(share: int, grey: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zone, to = [], []
+            for tokens, p in zip(batch.column("tokens").to_pylist(), batch.column("p").to_pylist(), strict=True):
+                own, other = np.frombuffer(tokens, np.uint64), np.frombuffer(p["tokens"], np.uint64)
+                inter = len(np.intersect1d(own, other, assume_unique=True))
+                union = len(own) + len(other) - inter
+                zone.append("linked" if 100 * inter >= share * union else "grey" if 100 * inter >= grey * union else "far")
+                to.append(p["cid"])
+            kept = [batch.column(c) for c in ("comp", "cid", "tokens")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(to, pa.int64()), pa.array(zone, pa.string())], ["comp", "cid", "tokens", "to", "zone"])
+
+    return run
+
+
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            flat, _, sizes = _stack(part.column("tokens").to_pylist())
+            at = pa.array(np.repeat(np.arange(part.num_rows), sizes), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("comp").take(at), part.column("cid").take(at), pa.array(sizes).take(at), pa.array(flat.view(np.int64))], ["comp", "cid", "n", "token"])
+
+
+def _verify(share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                inter = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * inter >= share * (len(x) + len(y) - inter):
+                    out.append((a, b))
             yield _edges(out)
 
     return run
 
 
+def _link_sparse(sets: DataFrame, plan: Plan) -> DataFrame:
+    """Exact links of components where few sets are alike: two linked sets share a token among the rarest of each.
+
+    Rarity counts inside the component; a token that one set alone holds meets nothing.
+    """
+    tokens = checkpoint(sets.select("comp", "cid", "tokens").mapInArrow(_token_rows, "comp long, cid long, n long, token long"))
+    df = tokens.groupBy("comp", "token").agg(F.count("*").alias("df"))
+    rare = F.row_number().over(Window.partitionBy("cid").orderBy("df", "token"))
+    keep = F.col("n") - F.ceil(F.col("n") * plan.share / 100) + 1
+    first = checkpoint(tokens.join(df, ["comp", "token"]).withColumn("nth", rare).where((F.col("nth") <= keep) & (F.col("df") > 1)).select("comp", "token", "cid", "n"))
+    other = first.select("comp", "token", F.col("cid").alias("b"), F.col("n").alias("nb"))
+    met = first.withColumnRenamed("cid", "a").join(other, ["comp", "token"]).where((F.col("a") < F.col("b")) & (100 * F.least("n", "nb") >= plan.share * F.greatest("n", "nb")))
+    pairs = met.select("a", "b").distinct()
+    left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(plan.share), "a long, b long")
+
+
 def _link_giants(sets: DataFrame, plan: Plan, block: int = 512) -> DataFrame:
     """Exact links of components too large for one task, by rounds of pivots.
 
     What links to a component's pivot is done, once the grey zone about the
-    pivot has been compared with it in blocks; the rest goes on.
+    pivot has been compared with it in blocks; the rest goes on.  A component
+    of which a pivot takes less than an eighth has its links looked up by rare
+    tokens instead, so rounds are some log8/7 of the component's documents.
     """
     grey = 2 * plan.share - 100
     links = None
@@ -422,39 +504,30 @@ def _link_giants(sets: DataFrame, plan: Plan, block: int = 512) -> DataFrame:
         if large.isEmpty():
             return links
         rows = rest.join(large, "comp")
-        pivot = rows.groupBy("comp").agg(F.min_by(F.struct("cid", "tokens"), F.xxhash64("cid")).alias("p"))
-        judged = checkpoint(rows.join(pivot, "comp").mapInArrow(_judge(plan.share, grey), "comp long, cid long, tokens binary, comp_docs long, to long, zone string"))
+        # a sum by key, of a row a component
+        least = rows.groupBy("comp").agg(F.min(F.xxhash64("cid")).alias("least"))
+        pivot = rows.join(least, "comp").where(F.xxhash64("cid") == F.col("least")).dropDuplicates(["comp"]).select("comp", F.struct("cid", "tokens").alias("p"))
+        judged = checkpoint(rows.join(pivot, "comp").mapInArrow(_judge(plan.share, grey), "comp long, cid long, tokens binary, to long, zone string"))
+        taken = judged.groupBy("comp").agg(F.count_if(F.col("zone") == "linked").alias("linked"), F.count_if(F.col("zone") == "grey").alias("grey"), F.count("*").alias("all"))
+        taken = checkpoint(taken.withColumn("dense", F.col("linked") * 8 >= F.col("all")))
+        sparse = judged.join(taken.where("NOT dense").select("comp"), "comp")
+        if not taken.where("NOT dense").isEmpty():
+            links = checkpoint(links.unionByName(_link_sparse(sparse, plan)))
+        sizes = taken.where("dense").select("comp", F.ceil(F.col("linked") / block).alias("blocks"), F.ceil(F.col("grey") / block).alias("grey_blocks"))
+        judged = judged.join(sizes, "comp")
         star = judged.where("zone = 'linked' AND cid <> to").select(F.col("to").alias("a"), F.col("cid").alias("b"))
-        blocks = F.ceil(F.col("comp_docs") / block)
         one = F.struct("cid", "tokens").alias("one")
-        greys = judged.where("zone = 'grey'")
-        n_grey = greys.groupBy("comp").agg(F.ceil(F.count("*") / block).alias("grey_blocks"))
-        number = lambda of: F.pmod(F.xxhash64("cid", F.lit(5)), of)
-        left = judged.where("zone = 'linked'").join(n_grey, "comp").select("comp", number(blocks).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("grey_blocks") - 1)).alias("j"), one)
-        right = greys.join(n_grey, "comp").select("comp", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i"), number(F.col("grey_blocks")).alias("j"), one)
+        number = lambda of: F.pmod(F.xxhash64("cid", F.lit(5)), F.col(of)).alias("i" if of == "blocks" else "j")
+        every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1)).alias("i" if of == "blocks" else "j")
+        left = judged.where("zone = 'linked' AND grey_blocks > 0").select("comp", number("blocks"), every("grey_blocks"), one)
+        right = judged.where("zone = 'grey'").select("comp", every("blocks"), number("grey_blocks"), one)
         left = left.groupBy("comp", "i", "j").agg(F.collect_list("one").alias("rows"))
         right = right.groupBy("comp", "i", "j").agg(F.collect_list("one").alias("grey"))
-        across = left.join(right, ["comp", "i", "j"]).select("rows", "grey").mapInArrow(_compare_far(plan.share), "a long, b long")
+        across = left.join(right, ["comp", "i", "j"]).select("rows", "grey").mapInArrow(_compare_blocks(plan.share), "a long, b long")
         links = checkpoint(links.unionByName(star).unionByName(across))
         rest = judged.where("zone <> 'linked'").select("comp", "cid", "tokens")
 
 
-def _judge(share: int, grey: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            zone, to = [], []
-            for tokens, p in zip(batch.column("tokens").to_pylist(), batch.column("p").to_pylist(), strict=True):
-                own, other = np.frombuffer(tokens, np.uint64), np.frombuffer(p["tokens"], np.uint64)
-                inter = len(np.intersect1d(own, other, assume_unique=True))
-                union = len(own) + len(other) - inter
-                zone.append("linked" if 100 * inter >= share * union else "grey" if 100 * inter >= grey * union else "far")
-                to.append(p["cid"])
-            kept = [batch.column(c) for c in ("comp", "cid", "tokens", "comp_docs")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(to, pa.int64()), pa.array(zone, pa.string())], ["comp", "cid", "tokens", "comp_docs", "to", "zone"])
-
-    return run
-
-
 def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
     """A row per row of df: key, n_shingles, component_id, kept, text_hash.
 
@@ -464,15 +537,16 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", plan
     texts) link to nothing.  Rows with a null key count as documents with the
     largest key.  Rows with equal keys and sets are one document.  An empty
     table gives an empty result.  Candidate links are found with a chance of
-    about 0.9999 at the threshold, more above it; what is found is exact.
+    about 0.999 at the threshold, more above it and in small nodes; what is
+    found is exact.
     """
     plan = plan or Plan()
     texts = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("text_hash"), df[text].alias("text"))
     kind = dict(texts.dtypes)["key"]
-    seen = checkpoint(texts.mapInArrow(_signatures(plan.words), f"key {kind}, text_hash long, n long, h1 long, h2 long, sketch binary"))
+    seen = checkpoint(texts.mapInArrow(_signatures(plan.words), f"key {kind}, text_hash long, n long, h1 long, h2 long, sketch binary, bits binary"))
     classes = seen.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("n").alias("n"))
     reps = seen.where("n > 0").join(classes.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("key").eqNullSafe(F.col("first")))
-    reps = checkpoint(reps.dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("cid"), "first", "n", "sketch"))
+    reps = checkpoint(reps.dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("cid"), "first", "n", "sketch", "bits"))
     comps = components(candidate_links(reps, plan))
     wanted = checkpoint(reps.select("cid", "first", "n").join(comps, "cid"))
     held = wanted.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))

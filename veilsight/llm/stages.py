@@ -1,6 +1,12 @@
 """The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame.
 
-All but the last keep the columns of documents.
+All but the last keep the columns of documents, and further ones, whatever their
+names; the last has doc_id and the columns of packing.  An empty table gives an
+empty result.  A null or empty text is a document like any other: it is never
+toxic, has one empty line, is no near copy, and counts no words, so that mixing
+leaves it out.  Repeated rows are judged alike, but mixed one by one.  Rows with
+a null doc_id take part in every stage; where only they are alike, all stay,
+as nothing tells which comes first.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -8,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilsight.llm.common import checkpoint, table
+from veilsight.llm.common import checkpoint, record_of, table
 
 TOXIC_FROM = 0.7
 
@@ -38,13 +44,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group of near copies: five-word shingles, similarity 0.8."""
+    """Keeps one document, that of the smallest doc_id, of each group of near copies: five-word shingles, similarity 0.8.
+
+    Rows that repeat the kept one, doc_id and text, stay with it.  A null doc_id
+    is the largest, so rows with one go if a near copy has a doc_id.
+    """
     from veilsight.llm.near_dedup import BROADCAST_ROWS, Plan, near_components
 
-    gone = near_components(docs, plan=Plan(share=80, words=5)).where("NOT kept")
-    gone = checkpoint(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
+    gone = near_components(docs.select("doc_id", "text"), plan=Plan(share=80, words=5)).where("NOT kept")
+    gone = checkpoint(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    rows = docs.select(record_of(docs).alias("record"), docs["doc_id"].alias("key"), F.xxhash64(docs["text"]).alias("hash"))
+    left = rows.join(gone, F.col("key").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
+    return left.select(*_columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
