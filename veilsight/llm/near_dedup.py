@@ -313,13 +313,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _sets(words: int):
+    """Sets of the candidates; copies of one that meet in a task give one row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             rows, at = [], []
             for i, (cid, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                if cid in done:
+                    continue
                 raw = shingles(t.as_py(), words).tobytes()
-                # another row may have the key, but not the set
+                # another row may have the key and the text's hash, but not the set
                 if int.from_bytes(xxhash.xxh3_128_digest(raw)[:8], "little", signed=True) == cid:
+                    done.add(cid)
                     rows.append(raw)
                     at.append(i)
             at = pa.array(at, pa.int32())
@@ -546,22 +552,24 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", plan
     seen = checkpoint(texts.mapInArrow(_signatures(plan.words), f"key {kind}, text_hash long, n long, h1 long, h2 long, sketch binary, bits binary"))
     classes = seen.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("first"), F.max("n").alias("n"))
     reps = seen.where("n > 0").join(classes.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("key").eqNullSafe(F.col("first")))
-    reps = checkpoint(reps.dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("cid"), "first", "n", "sketch", "bits"))
+    reps = checkpoint(reps.dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("cid"), "first", F.col("text_hash").alias("first_hash"), "n", "sketch", "bits"))
     comps = components(candidate_links(reps, plan))
-    wanted = checkpoint(reps.select("cid", "first", "n").join(comps, "cid"))
+    wanted = checkpoint(reps.select("cid", "first", "first_hash", "n").join(comps, "cid"))
     held = wanted.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
     is_small = (F.col("docs") <= plan.local_docs) & (F.col("tokens") <= plan.local_tokens)
 
     def sets(of: DataFrame) -> DataFrame:
-        of = of.select("comp", "cid", "first")
+        of = of.select("comp", "cid", "first", "first_hash")
         of = F.broadcast(of) if wanted.count() <= BROADCAST_ROWS else of
-        return texts.join(of, texts["key"].eqNullSafe(of["first"])).select("comp", "cid", "text").mapInArrow(_sets(plan.words), "comp long, cid long, tokens binary")
+        # a key may stand in many rows (null, or repeated), a key and a text's hash in copies only
+        same = texts["key"].eqNullSafe(of["first"]) & (texts["text_hash"] == of["first_hash"])
+        return texts.join(of, same).select("comp", "cid", "text").mapInArrow(_sets(plan.words), "comp long, cid long, tokens binary")
 
     small = sets(wanted.join(held.where(is_small).select("comp"), "comp"))
     links = checkpoint(small.repartition("comp").sortWithinPartitions("comp").mapInArrow(_link_components(plan.share), "a long, b long"))
     large = wanted.join(held.where(~is_small).select("comp"), "comp")
     if not large.isEmpty():
-        links = components(links.unionByName(_link_giants(sets(large), plan))).select(F.col("comp").alias("a"), F.col("cid").alias("b"))
+        links = components(links.unionByName(_link_giants(sets(large).dropDuplicates(["cid"]), plan))).select(F.col("comp").alias("a"), F.col("cid").alias("b"))
     # links are stars now: a names the component, b a member
     linked = links.where("a <> b").select(F.col("b").alias("cid"), F.col("a").alias("root"))
     rooted = reps.select("cid", "first").join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
