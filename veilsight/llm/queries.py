@@ -262,6 +262,106 @@ FROM k
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilsight.llm.fim import fill_in_middle
+
+    out = fill_in_middle(table(spark, sf_dir, "documents"), seed=1)
+    return out.select(
+        "record.doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (
+  SELECT doc_id, text, w, CAST(len(w) AS BIGINT) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(w) + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (len(w) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (
+  SELECT *, array_to_string(w[1:least(x, y)], '') AS a, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS b, array_to_string(w[greatest(x, y) + 1:], '') AS z FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+def op12_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    from veilsight.llm.filtering_lloyd import quantise
+
+    out, model = quantise(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    books = hashlib.sha256(model.codebook_text().encode()).hexdigest() if model else None
+    return out.select("record.vec_id", "code", "error", F.col("group_error").alias("label_error"), F.lit(books).cast("string").alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    books, assigned = [], []
+    for turn in (0, 1, 2):
+        assigned.append(f"""
+a{turn} AS MATERIALIZED (
+  SELECT row, part, min(far) AS far, min(e) AS e FROM (
+    SELECT p.row, p.part, c.e, list_sum(list_transform(list_zip(p.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS far FROM p JOIN c{turn} c ON p.part = c.part
+    QUALIFY far = min(far) OVER (PARTITION BY p.row, p.part)) GROUP BY row, part)""")
+        if turn < 2:
+            books.append(f"""
+c{turn + 1} AS MATERIALIZED (
+  SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM c{turn} c LEFT JOIN (
+    SELECT part, e, list(CAST(s AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT a.part, a.e, i, floor(sum(p.v[i])::DOUBLE / count(*)) AS s
+      FROM a{turn} a JOIN p ON a.row = p.row AND a.part = p.part, (SELECT unnest(range(1, (SELECT max(len(v)) FROM p) + 1)) AS i)
+      GROUP BY a.part, a.e, i) GROUP BY part, e) m ON c.part = m.part AND c.e = m.e)""")
+    steps = ",".join([assigned[0], books[0], assigned[1], books[1], assigned[2]])
+    return rf"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (
+  SELECT row, part, list_transform(embedding[part * len(embedding) // 16 + 1:(part + 1) * len(embedding) // 16], lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM k, (SELECT unnest(range(16)) AS part)),
+c0 AS MATERIALIZED (
+  SELECT part, row - 1 AS e, v FROM p WHERE row <= 64),
+{steps},
+r AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', a.e::INT), '' ORDER BY a.part) AS code, CAST(sum(a.far) AS BIGINT) AS error FROM a2 a JOIN k ON a.row = k.row GROUP BY k.row, k.vec_id, k.label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) FROM c2) AS codebooks_sha256
+FROM r
+"""
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilsight.llm.ngram_join import Orders, ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), plan=Orders(share=85, words=4))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN w WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s WHERE len(s) > 0),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN c ON s.doc_id = c.a
+"""
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -274,8 +374,20 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_tiff": op9_tiff,
         "op10_mixing": op10_mixing,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_filtering_lloyd": op12_filtering_lloyd,
+        "op13_ngram_join": op13_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_spotsigs": _op2_sql(), "op4_url_filter": OP4_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {
+        "op2_spotsigs": _op2_sql(),
+        "op4_url_filter": OP4_SQL,
+        "op7_near_dedup": OP7_SQL,
+        "op8_line_dedup": OP8_SQL,
+        "op10_mixing": OP10_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op12_filtering_lloyd": _op12_sql(),
+        "op13_ngram_join": OP13_SQL,
+    }
