@@ -1,10 +1,10 @@
 """Fill-in-middle transformation with an index of distinct texts.
 
 Identical texts are found by their content: the SHA-256 and the length of their
-bytes.  Each distinct text goes to one place once, its token boundaries are put
-into an Elias-Fano list once, and its documents' keys come to it; every document
-then selects its two seeded cuts from the list.  Only keys are joined, so a text
-moves once however many documents hold it.
+bytes.  Each distinct text goes to one place once, and its documents' keys come
+to it; there its token boundaries are put into an Elias-Fano list once, and every
+document selects its two seeded cuts from the list.  Only keys are joined, so a
+text moves once however many documents hold it.
 
 An Elias-Fano list of n boundaries up to u takes about n * (2 + log2(u / n)) bits:
 the low bits of each side by side, and a bitmap in which the high bits are
@@ -14,12 +14,13 @@ written in unary.  A cut is one select in the bitmap.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from veilsight.llm.common import checkpoint
 
@@ -71,15 +72,23 @@ def select(listed: bytes, i: int) -> int:
     return ((at - (i - 1)) << low_bits) | int((low.astype(np.int64) << np.arange(low_bits)).sum())
 
 
-@F.pandas_udf(StructType().add("n", LongType()).add("ends", BinaryType()))
-def index_of(text: pd.Series) -> pd.DataFrame:
-    ends = [boundaries(t) for t in text]
-    return pd.DataFrame({"n": [len(e) for e in ends], "ends": [encode(e) for e in ends]})
+@F.pandas_udf(StructType().add("n", LongType()).add("first", IntegerType()).add("second", IntegerType()))
+def cuts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Tokens of a text, and where its document's two seeded cuts are.
 
-
-@F.pandas_udf(StructType().add("first", IntegerType()).add("second", IntegerType()))
-def selected(ends: pd.Series, first: pd.Series, second: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"first": [select(e, i) for e, i in zip(ends, first, strict=True)], "second": [select(e, i) for e, i in zip(ends, second, strict=True)]})
+    Documents of one text come one after another, and the text's list is made
+    for the first of them.
+    """
+    held, listed, n = None, b"", 0
+    for digest, text, h1, h2 in batches:
+        rows = []
+        for own, t, a, b in zip(digest, text, h1, h2, strict=True):
+            if own != held:
+                ends = boundaries(t)
+                held, listed, n = own, encode(ends), len(ends)
+            a, b = sorted((a % (n + 1), b % (n + 1)))
+            rows.append((n, select(listed, a), select(listed, b)))
+        yield pd.DataFrame(rows, columns=["n", "first", "second"])
 
 
 def seeds(key: Column, seed: int) -> list[Column]:
@@ -108,17 +117,20 @@ def restore(output: Column, form: Column) -> Column:
 
 
 def _meet(keys: DataFrame, texts: DataFrame, copies: int) -> DataFrame:
-    """Each row of keys with its text's index; texts of many copies are sent to several tasks."""
-    index = texts.groupBy("digest").agg(F.first("text").alias("text")).select("digest", "text", index_of("text").alias("index"))
+    """Each row of keys with its text, those of one text one after another; texts of many copies are sent to several tasks.
+
+    Distinct texts are made before they move, and keys come to where they are.
+    """
+    distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
     hot = checkpoint(keys.groupBy("digest").agg(F.count("*").alias("rows")).where(F.col("rows") > copies).select("digest", F.ceil(F.col("rows") / copies).alias("parts")))
     n_hot = hot.count()
     if not n_hot:
-        return keys.join(index, "digest")
+        return keys.join(distinct, "digest")
     hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-    rare = keys.join(hot, "digest", "left_anti").join(index, "digest")
+    rare = keys.join(hot, "digest", "left_anti").join(distinct, "digest")
     # keys are read from written files, where a row's number doesn't change
     some = keys.withColumn("row", F.monotonically_increasing_id()).join(hot, "digest").withColumn("part", F.pmod("row", "parts")).drop("row", "parts")
-    each = index.join(hot, "digest").select("digest", "text", "index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    each = distinct.join(hot, "digest").select("digest", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     return rare.unionByName(some.join(each, ["digest", "part"]).drop("part"))
 
 
@@ -136,16 +148,17 @@ def fill_in_middle(df: DataFrame, key: str = "doc_id", text: str = "text", seed:
     digest = F.concat(F.unhex(F.sha2(whole, 256)), F.octet_length(whole).cast("string").cast("binary")).alias("digest")
     others = [df[f"`{c}`"] for c in df.columns if c != text]
     record = F.struct(*others) if others else F.struct(F.lit(None).alias("none"))
-    keys = checkpoint(df.select(record.alias("record"), digest, *seeds(df[f"`{key}`"], seed)))
+    keys = checkpoint(df.select(record.alias("record"), digest))
     rows = _meet(keys, df.select(digest, whole.alias("text")), copies)
-    n = F.col("index.n")
+    rows = rows.select("*", *seeds(F.col(f"record.`{key}`"), seed))
+    rows = rows.withColumn("cut", cuts("digest", "text", "h1", "h2"))
+    n = F.col("cut.n")
     marked = F.lit(False)
     for mark in (PREFIX, SUFFIX, MIDDLE):
         marked = marked | F.contains("text", F.lit(mark))
     plain = (n == 0) | marked | (F.col("h3") % 100 >= CUT_SHARE)
     form = F.when(plain, "plain").when(F.col("h4") % 100 < SUFFIX_FIRST_SHARE, "spm").otherwise("psm")
-    a, b = F.col("h1") % (n + 1), F.col("h2") % (n + 1)
-    rows = rows.select("record", "text", n.alias("n"), form.alias("form"), selected("index.ends", F.least(a, b), F.greatest(a, b)).alias("cut"))
+    rows = rows.select("record", "text", n.alias("n"), form.alias("form"), "cut")
     first, second = F.col("cut.first"), F.col("cut.second")
     prefix, middle = F.substr("text", F.lit(1), first), F.substr("text", first + 1, second - first)
     suffix = F.substr("text", second + 1)
