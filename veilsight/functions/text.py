@@ -201,12 +201,12 @@ def content_word(word: Column, pos: Column, min_chars: int = 3, prefix: str = "N
     return F.rlike(word, F.lit("^[A-Za-z]+$")) & (F.length(word) >= min_chars) & F.startswith(pos, F.lit(prefix)) & ~word.isin(*STOPWORDS)
 
 
-_BASE = r"(?:D:\S+ )?(?:J:\S+ )*(?:N:\S+ )+"
 def morphemes(c: Column) -> Column:
     """The words of a text as structs of token and pos, by the default tags."""
     return F.transform(words(c), lambda w: F.struct(w.alias("token"), part_of_speech(w).alias("pos")))
 
 
+_BASE = r"(?:D:\S+ )?(?:J:\S+ )*(?:N:\S+ )+"
 GRAMMARS = {"base": _BASE, "pp1": f"{_BASE}(?:I:\\S+ {_BASE})?", "chain": f"{_BASE}(?:I:\\S+ {_BASE})*"}
 
 
@@ -214,15 +214,35 @@ def _letter(pos: Column) -> Column:
     return F.when(F.startswith(pos, F.lit("NN")), "N").when(F.startswith(pos, F.lit("JJ")), "J").when(pos == "DT", "D").when(pos == "IN", "I").otherwise("O")
 
 
+def tagged(c: Column, tagger=None) -> Column:
+    """The words of a text as `tag:word `, one after another, by the default tags or by those that tagger gives.
+
+    The default tags are put in by a pattern a tag over the whole text, in
+    the order in which `tag` tries them; a word that has one is met by no later
+    pattern.
+    """
+    if tagger is not None:
+        letters = F.transform(tagger(c), lambda m: F.concat(_letter(m["pos"]), F.lit(":"), F.lower(m["token"])))
+        return F.concat(F.array_join(letters, " "), F.lit(" "))
+    out = F.concat(F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " ")), F.lit(" "))
+    for mark, listed in (("D", DETERMINERS), ("I", PREPOSITION_TAGS), ("O", STOPWORDS)):
+        out = F.regexp_replace(out, rf"(?<!\S)({'|'.join(listed)}) ", f"{mark}:$1 ")
+    # longer than four letters
+    out = F.regexp_replace(out, rf"(?<!\S)((?=[a-z]{{5}})[a-z]*(?:{'|'.join(ADJECTIVE_ENDS)})) ", "J:$1 ")
+    return F.regexp_replace(out, r"(?<!\S)([a-z]+) ", "N:$1 ")
+
+
+def segments(c: Column, grammar: str = "base", tagger=None) -> Column:
+    """A text's noun phrases and the words between them, in their order, each as words with spaces."""
+    cut = F.regexp_replace(tagged(c, tagger), rf"({GRAMMARS[grammar]}|\S+ )", "$1\x1f")
+    words_alone = F.regexp_replace(cut, "(?<![^ \x1f])[DIJNO]:", "")
+    return F.split(F.regexp_replace(words_alone, " ?\x1f?$", ""), " \x1f")
+
+
 def noun_phrases(c: Column, grammar: str = "base", tagger=None) -> Column:
     """Noun phrases of a text, by a chunk grammar over the default tags, or those that tagger gives: a function from the text column to structs of token and pos."""
-    if tagger is None:
-        letters = F.transform(words(c), lambda w: F.concat(tag(w), F.lit(":"), w))
-    else:
-        letters = F.transform(tagger(c), lambda m: F.concat(_letter(m["pos"]), F.lit(":"), F.lower(m["token"])))
-    tagged = F.concat(F.array_join(letters, " "), F.lit(" "))
-    found = F.regexp_extract_all(tagged, F.lit(GRAMMARS[grammar]), F.lit(0))
-    return F.transform(found, lambda p: F.trim(F.regexp_replace(p, r"[DIJN]:", "")))
+    found = F.regexp_extract_all(tagged(c, tagger), F.lit(GRAMMARS[grammar]), F.lit(0))
+    return F.transform(found, lambda p: F.trim(F.regexp_replace(p, r"(?<!\S)[DIJN]:", "")))
 
 
 def lemma(word: Column) -> Column:
@@ -237,8 +257,16 @@ def lemma(word: Column) -> Column:
 
 def normalize_phrase(c: Column, lemmatize: bool = True) -> Column:
     """Lower case, without articles, each word its lemma."""
-    kept = F.filter(F.split(F.trim(F.lower(c)), r"\s+"), lambda w: (w != "") & ~w.isin(*DETERMINERS))
-    return F.array_join(F.transform(kept, lemma) if lemmatize else kept, " ")
+    kept = F.regexp_replace(F.lower(c), rf"(?<!\S)(?:{'|'.join(DETERMINERS)})(?!\S)", " ")
+    kept = F.trim(F.regexp_replace(kept, r"\s+", " "))
+    return lemmas(kept) if lemmatize else kept
+
+
+def lemmas(c: Column) -> Column:
+    """Words with single spaces, each its lemma: the rules of `lemma` as patterns over the whole."""
+    c = F.regexp_replace(c, r"(?<=\S[^aeiou\s])ies(?=\s|$)", "y")
+    c = F.regexp_replace(c, r"(?<=ss|x|z|ch|sh)es(?=\s|$)", "")
+    return F.regexp_replace(c, r"(?<=\S\S[^su\s])s(?=\s|$)", "")
 
 
 def longest_phrase(phrases: Column, word: Column) -> Column:

@@ -37,7 +37,7 @@ def unit_sets(detail: DataFrame, units: tuple[str, ...] = UNITS) -> DataFrame:
 def set_probabilities(sets: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
     """unit, terms, set_size, cnt and probability = cnt / sets of the unit, the empty set included; tiers and their counts if given."""
     counted = sets.groupBy("unit", "terms").agg(F.count("*").alias("cnt"))
-    totals = sets.groupBy("unit").agg(F.count("*").alias("total"))  # three rows
+    totals = sets.groupBy("unit").agg(F.count("*").alias("total"))  # a row a unit
     out = counted.join(F.broadcast(totals), "unit")
     out = out.select("unit", "terms", F.size("terms").alias("set_size"), "cnt", (F.col("cnt") / F.col("total")).alias("probability"))
     if tiers is None:
@@ -73,7 +73,7 @@ def pair_counts(sets: DataFrame, min_count: int = 2) -> DataFrame:
     totals = sets.groupBy("unit").agg(F.count("*").alias("n"))
     out = co.join(term.select("unit", F.col("t").alias("a"), F.col("c").alias("count_a")), ["unit", "a"])
     out = out.join(term.select("unit", F.col("t").alias("b"), F.col("c").alias("count_b")), ["unit", "b"])
-    return out.join(F.broadcast(totals), "unit")  # three rows
+    return out.join(F.broadcast(totals), "unit")  # a row a unit
 
 
 def pair_associations(pairs: DataFrame) -> DataFrame:
@@ -84,15 +84,12 @@ def pair_associations(pairs: DataFrame) -> DataFrame:
 
 
 def significant_pairs(pairs: DataFrame, q: float = 0.05, tiers: DataFrame | None = None) -> DataFrame:
-    """Positive pairs of q_value at most q (all pairs if q is 0 or less); q over the pairs of each unit."""
+    """Positive pairs of q_value at most q (all pairs if q is 0 or less); q over the pairs of each unit, of whatever units there are."""
     scored = checkpoint(pair_associations(pairs))
     tails = scored.select("g2").distinct().withColumn("tail", stats.chi2_tail("g2"))
     scored = scored.join(tails, "g2")
     scored = scored.withColumn("p_one", F.when(F.col("positive"), F.col("tail") / 2).otherwise(1 - F.col("tail") / 2))
-    out = None
-    for unit in UNITS:
-        one = bh(scored.where(F.col("unit") == unit), "p_one", "q_value")
-        out = one if out is None else out.unionByName(one)
+    out = bh(scored, "p_one", "q_value", by=["unit"])
     out = out.where(F.col("positive") & (F.col("q_value") <= q)) if q > 0 else out
     out = out.select("unit", F.col("a").alias("phrase_a"), F.col("b").alias("phrase_b"), "co_count", "count_a", "count_b", "probability", F.round("pmi", 4).alias("pmi"), F.round("g2", 4).alias("g2"), F.round("q_value", 6).alias("q_value"))
     if tiers is not None:

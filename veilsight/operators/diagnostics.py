@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,22 +60,44 @@ def frequency_bins(phrases: DataFrame, edges: tuple[int, ...] = FREQ_EDGES) -> D
     return grid.join(n, "lo", "left").crossJoin(whole).select("lo", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * 100.0 / F.col("_all")).alias("percent")).orderBy("lo")  # one row
 
 
+def _nearest_above(grid: tuple[int, ...], nearest: int):
+    """Of each part of the rows: how many are above each k, and the nearest of them in a heap of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, above, heaps = 0, dict.fromkeys(grid, 0), {k: pa.table({"freq": pa.array([], pa.int64()), "phrase": pa.array([], pa.string())}) for k in grid}
+        for batch in batches:
+            rows = pa.table({"freq": batch.column(1), "phrase": batch.column(0)})
+            every += rows.num_rows
+            for k in grid:
+                over = rows.filter(pc.greater(rows["freq"], k))
+                above[k] += over.num_rows
+                held = pa.concat_tables([heaps[k], over])
+                heaps[k] = held.take(pc.select_k_unstable(held, nearest, sort_keys=[("freq", "ascending"), ("phrase", "descending")])) if held.num_rows > nearest else held
+        for k in grid:
+            near = pa.array([heaps[k].to_pylist()], pa.list_(pa.struct([("freq", pa.int64()), ("phrase", pa.string())])))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([every], pa.int64()), pa.array([above[k]], pa.int64()), near], ["k", "every", "dropped", "near"])
+
+    return run
+
+
 def frequency_grid(phrases: DataFrame, grid: tuple[int, ...] = FREQ_GRID, nearest: int = 6) -> DataFrame:
-    """k, dropped (phrases of a frequency above k), percent, and the dropped ones nearest to k, largest first."""
-    aggs = []
-    for k in grid:
-        above = F.col("freq") > k
-        aggs += [F.count_if(above).alias(f"n{k}")]
-    counts = phrases.agg(F.count("*").alias("_all"), *aggs)
-    rows = F.array(*[F.struct(F.lit(int(k)).cast("long").alias("k"), F.col(f"n{k}").alias("dropped")) for k in grid])
-    table = counts.select("_all", F.explode(rows).alias("r")).select("r.k", "r.dropped", (F.col("r.dropped") * 100.0 / F.col("_all")).alias("percent"))
-    near = None
-    for k in grid:
-        # the least frequent above k; of equals those last in the listing by falling frequency
-        low = phrases.where(F.col("freq") > k).orderBy("freq", F.desc("phrase")).limit(nearest)
-        one = low.agg(F.sort_array(F.collect_list(F.struct("freq", "phrase")), asc=False).alias("x")).select(F.lit(int(k)).cast("long").alias("k"), F.array_join(F.transform("x", lambda p: F.concat(p["phrase"], F.lit("("), p["freq"].cast("string"), F.lit(")"))), ", ").alias("nearest"))
-        near = one if near is None else near.unionByName(one)
-    return table.join(near, "k", "left").orderBy(F.desc("k"))
+    """k, dropped (phrases of a frequency above k), percent, and the dropped ones nearest to k, largest first.
+
+    Phrases are read once: each part counts and keeps its nearest few for every
+    k, and a few rows a part are put together.  Of equal frequencies the last
+    by name is the nearest, and named first.
+    """
+    kept = "k long, every long, dropped long, near array<struct<freq:long,phrase:string>>"
+    parts = phrases.select(F.col("phrase").cast("string"), F.col("freq").cast("long")).mapInArrow(_nearest_above(tuple(int(k) for k in grid), nearest), kept)
+    sums = parts.groupBy("k").agg(F.sum("every").alias("every"), F.sum("dropped").alias("dropped"), F.flatten(F.collect_list("near")).alias("near"))
+
+    def order(a: Column, b: Column) -> Column:
+        low = (a["freq"] < b["freq"]) | ((a["freq"] == b["freq"]) & (a["phrase"] > b["phrase"]))
+        return F.when(low, -1).when((a["freq"] == b["freq"]) & (a["phrase"] == b["phrase"]), 0).otherwise(1)
+
+    first = F.sort_array(F.slice(F.array_sort("near", order), 1, nearest), asc=False)
+    named = F.array_join(F.transform(first, lambda p: F.concat(p["phrase"], F.lit("("), p["freq"].cast("string"), F.lit(")"))), ", ")
+    return sums.select("k", "dropped", (F.col("dropped") * 100.0 / F.greatest(F.lit(1), "every")).alias("percent"), named.alias("nearest")).orderBy(F.desc("k"))
 
 
 def with_record_rate(phrases: DataFrame, terms: DataFrame, n: DataFrame) -> DataFrame:

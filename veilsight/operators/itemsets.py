@@ -1,4 +1,4 @@
-"""Frequent combinations of attributes by Apriori, a join a level."""
+"""Frequent combinations of attributes, grown by the prefixes that their sets have."""
 
 from __future__ import annotations
 
@@ -7,8 +7,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilsight.operators.ranking import running
 from veilsight.session import checkpoint
 
+#: Items and combinations are broadcast up to so many, which are counted first.
+BROADCAST_COMBOS = 100_000
+
 
 def weighted_sets(sets: DataFrame) -> DataFrame:
     """Distinct non-empty sets (terms) with cnt, the records that have them."""
@@ -27,41 +31,46 @@ def item_support(weighted: DataFrame) -> DataFrame:
 def frequent_itemsets(weighted: DataFrame, min_count: int, max_size: int = 0) -> DataFrame:
     """combo, size, support_count of every combination in min_count records at least, up to max_size terms (0: any).
 
-    Candidates of a size join frequent combinations that share all terms but
-    the last; those with an infrequent part are dropped before they are
-    counted against the sets, each set's terms first cut to frequent ones.
+    Terms are numbered from the most frequent one on, and each set becomes the
+    numbers of its frequent terms, in that order.  A combination owns the
+    prefixes that its sets have before its first term, equal ones together with
+    the sum of their records; putting a term of a prefix in front makes the
+    combinations of the next size, whose prefixes are what stands before that term.
+    So the more sets a term is in, the shorter and the more alike its prefixes
+    are, no candidate is made that no set has, and equal prefixes fall
+    together before they move.
     """
-    items = checkpoint(item_support(weighted).where(F.col("support_count") >= min_count))
-    level = items.select(F.array("term").alias("combo"), F.lit(1).alias("size"), "support_count")
-    found = level
-    frequent = items.select("term")
-    cut = weighted.select("terms", "cnt", F.explode("terms").alias("term")).join(frequent, "term", "left_semi").groupBy("terms", "cnt").agg(F.array_sort(F.collect_list("term")).alias("kept"))
-    cut = checkpoint(cut.groupBy("kept").agg(F.sum("cnt").alias("cnt")))
-    size = 1
+    weighted = checkpoint(weighted.groupBy("terms").agg(F.sum("cnt").alias("cnt")))
+    items = item_support(weighted).where(F.col("support_count") >= min_count)
+    items = checkpoint(running(items, [F.desc("support_count"), F.col("term").asc()], {"at": F.lit(1)}))
+    n_items = items.count()
+    near = F.broadcast(items) if n_items <= BROADCAST_COMBOS else items
+    flat = weighted.withColumn("set", F.xxhash64("terms")).select("set", "terms", "cnt", F.explode("terms").alias("term")).join(near.select("term", "at"), "term")
+    sets = flat.groupBy("set", "terms").agg(F.first("cnt").alias("cnt"), F.array_sort(F.collect_list("at")).alias("numbers"))
+    sets = sets.groupBy("numbers").agg(F.sum("cnt").alias("cnt"))
+    # combinations stand as numbers, the last term first, with the prefix before it
+    grown = sets.select(F.array().cast("array<bigint>").alias("combo"), F.col("numbers").alias("prefix"), "cnt")
+    found, size = None, 0
     while True:
         size += 1
-        if max_size and size > max_size:
-            return found
-        level = checkpoint(level)
-        a = level.select(F.slice("combo", 1, size - 2).alias("head"), F.element_at("combo", -1).alias("x"))
-        b = a.select("head", F.col("x").alias("y"))
-        joined = a.join(b, "head").where("x < y").select(F.concat("head", F.array("x", "y")).alias("combo"))
-        if size > 2:
-            # every part that leaves one of the head's terms out must be frequent; joining made sure of the other two
-            parts = joined.select("combo", F.explode(F.sequence(F.lit(1), F.lit(size - 2))).alias("i"))
-            parts = parts.select("combo", F.concat(F.slice("combo", F.lit(1), F.col("i") - 1), F.slice("combo", F.col("i") + 1, F.lit(size))).alias("part"))
-            known = level.select(F.col("combo").alias("part"))
-            joined = parts.join(known, "part").groupBy("combo").agg(F.count("*").alias("n")).where(F.col("n") == size - 2).select("combo")
-        # a set is met through the candidates' first two terms
-        pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("kept") - 1), lambda i: F.transform(F.slice("kept", i + 1, F.size("kept")), lambda y: F.struct(F.element_at("kept", i).alias("p"), y.alias("q")))))
-        wide = cut.where(F.size("kept") >= size).select("kept", "cnt", F.explode(pairs).alias("pq")).select("kept", "cnt", "pq.p", "pq.q")
-        keyed = joined.select("combo", F.element_at("combo", 1).alias("p"), F.element_at("combo", 2).alias("q"))
-        counted = wide.join(keyed, ["p", "q"])
-        counted = counted if size == 2 else counted.where(F.size(F.array_intersect("combo", "kept")) == size)
-        level = checkpoint(counted.groupBy("combo").agg(F.sum("cnt").alias("support_count")).where(F.col("support_count") >= min_count).select("combo", F.lit(size).alias("size"), "support_count"))
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
+        step = grown.select("combo", F.posexplode("prefix").alias("i", "x"), "prefix", "cnt")
+        step = step.select(F.concat(F.array("x"), "combo").alias("combo"), F.slice("prefix", F.lit(1), F.col("i")).alias("prefix"), "cnt")
+        step = checkpoint(step.groupBy("combo", "prefix").agg(F.sum("cnt").alias("cnt")))
+        level = checkpoint(step.groupBy("combo").agg(F.sum("cnt").alias("support_count")).where(F.col("support_count") >= min_count))
+        n_level = level.count()
+        if not n_level:
+            break
+        one = level.select("combo", F.lit(size).alias("size"), "support_count")
+        found = one if found is None else found.unionByName(one)
+        if size == max_size:
+            break
+        kept = level.select("combo")
+        grown = step.where(F.size("prefix") > 0).join(F.broadcast(kept) if n_level <= BROADCAST_COMBOS else kept, "combo", "left_semi")
+    if found is None:
+        return weighted.limit(0).select(F.col("terms").alias("combo"), F.lit(0).alias("size"), F.col("cnt").alias("support_count"))
+    named = found.withColumn("id", F.xxhash64("combo")).select("id", "combo", "size", "support_count", F.explode("combo").alias("at"))
+    named = named.join(near.select("at", "term"), "at").groupBy("id", "combo", "size", "support_count").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return named.select(F.col("terms").alias("combo"), "size", "support_count")
 
 
 def combinations(weighted: DataFrame, min_size: int = 3, max_size: int = 0, min_support: float = 0.001) -> DataFrame:

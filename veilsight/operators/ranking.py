@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,20 +16,31 @@ ONE_TASK_ROWS = 200_000
 BIN_ROWS, BROADCAST_STRATA = 4096, 100_000
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column], mins: dict[str, Column] | None = None) -> DataFrame:
-    """df with running sums and minima over an order that leaves no ties.
+def _beside(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """df with the facts of its group, nulls together; facts are counted, and broadcast within the bound."""
+    named = facts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[c for c in facts.columns if c not in by])
+    near = F.broadcast(named) if named.count() <= BROADCAST_STRATA else named
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    return df.join(near, functools.reduce(lambda x, y: x & y, same)).drop(*[f"_by{i}" for i in range(len(by))])
 
-    Larger tables are range-partitioned; each part runs by itself and starts
-    from what the parts before it came to, a row a part.
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], mins: dict[str, Column] | None = None, by: list[str] | None = None) -> DataFrame:
+    """df with running sums and minima over an order that leaves no ties, in each group of the columns by.
+
+    Larger tables are range-partitioned by group and order; each part runs by
+    itself and starts from what the parts before it came to in the group, a row
+    a part and group.  So all groups take one pass, however many and however
+    large they are.
     """
-    mins = mins or {}
+    mins, by = mins or {}, by or []
     df = df.select("*", *[v.alias(f"_{k}") for k, v in {**sums, **mins}.items()])
     small = df.limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS
     if small:
         df = df.withColumn("_part", F.lit(0))
     else:
-        df = checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    upto = (Window.orderBy(*order) if small else Window.partitionBy("_part").orderBy(*order)).rowsBetween(Window.unboundedPreceding, 0)
+        df = checkpoint(df.repartitionByRange(*[F.col(c).asc() for c in by], *order).withColumn("_part", F.spark_partition_id()))
+    groups = by if small else ["_part", *by]
+    upto = (Window.partitionBy(*groups) if groups else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.select(
         *[c for c in df.columns if not c.startswith("_") or c == "_part"],
         *[F.sum(f"_{k}").over(upto).alias(k) for k in sums],
@@ -36,10 +48,10 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], mins: d
     )
     if small:
         return out.drop("_part")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = df.groupBy("_part").agg(*[F.sum(f"_{k}").alias(k) for k in sums], *[F.min(f"_{k}").alias(k) for k in mins])
-    parts = parts.select("_part", *[F.sum(k).over(before).alias(f"_{k}") for k in sums], *[F.min(k).over(before).alias(f"_{k}") for k in mins])
-    out = out.join(F.broadcast(parts), "_part")
+    before = (Window.partitionBy(*by) if by else Window).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = df.groupBy("_part", *by).agg(*[F.sum(f"_{k}").alias(k) for k in sums], *[F.min(f"_{k}").alias(k) for k in mins])
+    parts = checkpoint(parts.select("_part", *by, *[F.sum(k).over(before).alias(f"_{k}") for k in sums], *[F.min(k).over(before).alias(f"_{k}") for k in mins]))
+    out = _beside(out, parts, groups)
     for k in sums:
         out = out.withColumn(k, F.col(k) + F.coalesce(F.col(f"_{k}"), F.lit(0)))
     for k in mins:
@@ -55,20 +67,26 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(ranked, df[column].eqNullSafe(ranked["_v"])).drop("_v")
 
 
-def bh(df: DataFrame, p: str = "p_value", out: str = "q_value") -> DataFrame:
-    """df with Benjamini-Hochberg q of column p over all its rows (null p: null q, and not counted).
+def bh(df: DataFrame, p: str = "p_value", out: str = "q_value", by: list[str] | None = None) -> DataFrame:
+    """df with Benjamini-Hochberg q of column p over all its rows, or over those of each group of the columns by (null p: null q, and not counted).
 
-    q depends on p alone, so only distinct p are ordered: first upwards to
-    count, then downwards for the least.  df is computed once.
+    q depends on group and p alone, so only distinct ones are ordered: first
+    upwards to count, then downwards for the least.  All groups are ordered
+    together.  df is computed once.
     """
+    by = by or []
     df = checkpoint(df)
-    values = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("n"))
-    counted = running(values, [F.col(p).asc()], {"upto": F.col("n")})
-    total = values.agg(F.sum("n").alias("m"))
-    raw = counted.crossJoin(F.broadcast(total)).withColumn("raw", F.col(p) * F.col("m") / F.col("upto"))  # one row
-    best = running(raw, [F.col(p).desc()], {}, {"least": F.col("raw")})
-    best = best.select(F.col(p).alias("_p"), F.least(F.lit(1.0), "least").alias(out))
-    return df.join(best, df[p] == best["_p"], "left").drop("_p")
+    values = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("n"))
+    counted = running(values, [F.col(p).asc()], {"upto": F.col("n")}, by=by)
+    total = values.groupBy(*by).agg(F.sum("n").alias("m"))
+    if by:
+        raw = _beside(counted, checkpoint(total), by)
+    else:
+        raw = counted.crossJoin(F.broadcast(total))  # one row
+    best = running(raw.withColumn("raw", F.col(p) * F.col("m") / F.col("upto")), [F.col(p).desc()], {}, {"least": F.col("raw")}, by)
+    best = best.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col(p).alias("_p"), F.least(F.lit(1.0), "least").alias(out))
+    same = [F.col(p) == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]]
+    return df.join(best, functools.reduce(lambda x, y: x & y, same), "left").drop("_p", *[f"_by{i}" for i in range(len(by))])
 
 
 def take_lowest(df: DataFrame, rank: str, caps: DataFrame | int, stratum: Column | None = None, tie: list[str] | None = None) -> DataFrame:

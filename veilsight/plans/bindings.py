@@ -37,7 +37,10 @@ def basket_spans(spark: SparkSession, sf_dir: str, term: str = "p_brand") -> Dat
     return rows.withColumn("clause", name)
 
 
-whole_spans = basket_spans
+def basket_texts(spark: SparkSession, sf_dir: str, term: str = "p_brand") -> DataFrame:
+    """basket_detail with text: the orders of a year and status are a text of their field."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clause_pos"), F.concat(F.year("o_orderdate").cast("string"), F.col("o_orderstatus")).alias("text"))
+    return basket_detail(spark, sf_dir, term).join(orders, "clause_pos")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from veilsight.functions import stats, text
 from veilsight.operators import annotation, cooccurrence, diagnostics, evaluation, itemsets, phrases, ranking, risk, sampling, tokens
 from veilsight.plans import bindings, commands, sql
 from veilsight.session import checkpoint
+from veilsight.sources import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,24 +108,25 @@ def or_ci_threshold_scan(s, d):
     return tokens.frequency_scan(cells).select("k", "tokens", F.round("rate", 6).alias("rate"), "recommended")
 
 
-def _vocabulary(s, d, most):
-    """Tokens of a middle frequency, or of any from 3 on if most is 0: the sample's words carry no significance of their own."""
-    return tokens.token_counts(tokens.clause_tokens(bindings.text_clauses(s, d))).where(f"freq_profile BETWEEN 3 AND {most}" if most else "freq_profile >= 3").select("token")
+def _vocabulary(clauses):
+    """Tokens of a frequency from 3 on: the sample's words carry no significance of their own."""
+    return tokens.token_counts(tokens.clause_tokens(clauses.where("label = 'PROFILE'"))).where("freq_profile >= 3").select("token")
 
 
-def _found(s, d, most):
-    """Clauses with their phrases, once for all that reads them."""
-    return phrases.matches(bindings.text_clauses(s, d).where("label = 'PROFILE'"), _vocabulary(s, d, most))
+def _found(s, d):
+    """Clauses with their phrases; clauses are split once for vocabulary and phrases."""
+    clauses = checkpoint(bindings.text_clauses(s, d).where("label = 'PROFILE'"))
+    return phrases.matches(clauses, _vocabulary(clauses))
 
 
 @query(sql.PHRASES + "SELECT phrase, CAST(count(*) AS BIGINT) AS freq, CAST(count(DISTINCT (uuid, field, clause_pos)) AS BIGINT) AS clause_freq FROM found GROUP BY phrase")
-def phrase_freq(s, d, most=40):
-    return phrases.phrase_frequencies(_found(s, d, most)).select("phrase", "freq", "clause_freq")
+def phrase_freq(s, d):
+    return phrases.phrase_frequencies(_found(s, d)).select("phrase", "freq", "clause_freq")
 
 
 @query(sql.PHRASES + "SELECT phrase, CAST(count(*) AS BIGINT) AS freq FROM found GROUP BY phrase HAVING count(*) BETWEEN 3 AND 20 AND len(string_split(phrase, ' ')) >= 2")
-def phrase_bandpass(s, d, most=40):
-    return phrases.band(phrases.phrase_frequencies(_found(s, d, most)).select("phrase", "freq"), 3, 20, multiword=True)
+def phrase_bandpass(s, d):
+    return phrases.band(phrases.phrase_frequencies(_found(s, d)).select("phrase", "freq"), 3, 20, multiword=True)
 
 
 @query(
@@ -135,9 +137,9 @@ h AS (SELECT phrase, count(*) AS freq, max((uuid, field, clause_pos, token)) AS
 SELECT h.phrase, CAST(freq AS BIGINT) AS freq, last[4] AS head_token, max(clause) FILTER (rn = 1) AS example_clause_1, max(clause) FILTER (rn = 2) AS example_clause_2, max(clause) FILTER (rn = 3) AS example_clause_3
 FROM h JOIN r USING (phrase) GROUP BY h.phrase, freq, last"""
 )
-def phrase_examples_top3(s, d, most=40):
+def phrase_examples_top3(s, d):
     none = s.createDataFrame([], "token string, alpha_tier string")
-    return phrases.phrase_table(_found(s, d, most), none).select("phrase", "freq", "head_token", "example_clause_1", "example_clause_2", "example_clause_3")
+    return phrases.phrase_table(_found(s, d), none).select("phrase", "freq", "head_token", "example_clause_1", "example_clause_2", "example_clause_3")
 
 
 @query(sql.CLAUSES + ", v(token) AS (VALUES ('tion'), ('ing'), ('ther'), ('and')) SELECT token, CAST(count(*) AS BIGINT) AS n FROM cl JOIN v ON contains(lower(clause), token) GROUP BY token")
@@ -146,6 +148,14 @@ def token_substring_theta_join(s, d):
     return phrases.substring_matches(bindings.text_clauses(s, d), vocabulary).groupBy("token").agg(F.count("*").alias("n"))
 
 
+@query(sql.TOKENS + ", v AS (SELECT token FROM tok WHERE label = 'PROFILE' GROUP BY token HAVING count(*) >= 3) SELECT token, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT uuid) AS BIGINT) AS n_records FROM cl JOIN v ON contains(lower(clause), token) GROUP BY token")
+def token_containment(s, d):
+    """The counted vocabulary against every clause, by containment."""
+    clauses = checkpoint(bindings.text_clauses(s, d))
+    found = phrases.substring_matches(clauses.select("uuid", "clause"), _vocabulary(clauses))
+    return found.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("uuid").alias("n_records"))
+
+
 @query(
     sql.PHRASES
     + f"""
@@ -154,8 +164,8 @@ sd AS (SELECT x AS f, y > 0 AS hit FROM h WHERE x > 0 UNION ALL SELECT y, x > 0
 t AS (SELECT k, count(f) AS phrases, avg(hit::INT) AS recall FROM range(1, 31) r(k) LEFT JOIN sd ON f >= k GROUP BY k)
 SELECT k, CAST(phrases AS BIGINT) AS phrases, round(recall, 6) AS recall, CAST(k = coalesce((SELECT min(k) FROM t WHERE recall >= 0.5), 30) AS INTEGER) AS recommended FROM t"""
 )
-def twofold_recall(s, d, most=40):
-    return phrases.twofold_recall(_found(s, d, most)).select("k", "phrases", F.round("recall", 6).alias("recall"), "recommended")
+def twofold_recall(s, d):
+    return phrases.twofold_recall(_found(s, d)).select("k", "phrases", F.round("recall", 6).alias("recall"), "recommended")
 
 
 @query(sql.BH + f"SELECT token, {sql.lemma('token')} AS lemma FROM bh")
@@ -206,10 +216,17 @@ def pair_pmi_g2(s, d):
     return cooccurrence.pair_associations(_pairs(s, d)).select("unit", "a", "b", F.round("pmi", 6).alias("pmi"), F.round("g2", 5).alias("g2"), "positive")
 
 
-@query()
+@query(sql.PAIRS + sql.FDR)
 def pair_fdr(s, d):
     sets = checkpoint(cooccurrence.unit_sets(bindings.basket_detail(s, d)))
-    return cooccurrence.significant_pairs(cooccurrence.pair_counts(sets, 2), 0.05)
+    return cooccurrence.significant_pairs(cooccurrence.pair_counts(sets, 2), 0.05).withColumn("probability", F.round("probability", 8))
+
+
+@query(sql.TEXT_PAIRS + sql.FDR)
+def pair_fdr_text(s, d):
+    """Pairs of clauses and of texts, each with its own false-discovery control."""
+    sets = checkpoint(cooccurrence.unit_sets(bindings.basket_texts(s, d), ("clause", "text")))
+    return cooccurrence.significant_pairs(cooccurrence.pair_counts(sets, 2), 0.05).withColumn("probability", F.round("probability", 8))
 
 
 # ---- itemsets ---------------------------------------------------------------
@@ -219,14 +236,17 @@ def _weighted(s, d):
     return itemsets.weighted_sets(cooccurrence.unit_sets(bindings.basket_detail(s, d, "p_type"), ("field",)))
 
 
-@query(sql.basket("p_type") + sql.ITEMSETS + "SELECT combo, size, support_count FROM items")
-def itemsets_apriori(s, d, max_size=3):
-    return joined(itemsets.frequent_itemsets(_weighted(s, d), 5, max_size), "combo")
+_ITEMSETS = "WITH RECURSIVE" + sql.basket("p_type").removeprefix("WITH") + sql.ITEMSETS
 
 
-@query(sql.basket("p_type") + sql.ITEMSETS + "SELECT combo, size, support_count, round(100.0 * support_count / (SELECT sum(cnt) FROM ws), 6) AS support_pct FROM items WHERE size = 3")
-def itemset_support_pct(s, d, max_size=3):
-    found = itemsets.combinations(_weighted(s, d), 3, max_size, 5.0)
+@query(_ITEMSETS + "SELECT combo, size, support_count FROM items")
+def itemsets_apriori(s, d):
+    return joined(itemsets.frequent_itemsets(_weighted(s, d), 5), "combo")
+
+
+@query(_ITEMSETS + "SELECT combo, size, support_count, round(100.0 * support_count / (SELECT sum(cnt) FROM ws), 6) AS support_pct FROM items WHERE size >= 3")
+def itemset_support_pct(s, d):
+    found = itemsets.combinations(_weighted(s, d), 3, 0, 5.0)
     return joined(found, "combo").withColumn("support_pct", F.round("support_pct", 6))
 
 
@@ -261,44 +281,44 @@ def risk_meta(s, d):
     return risk.risk_meta(bindings.basket_detail(s, d))
 
 
-def _spans(s, d, spans):
-    return risk.dedupe_spans(risk.join_spans(spans(s, d), bindings.basket_detail(s, d)))
+def _spans(s, d):
+    return risk.dedupe_spans(risk.join_spans(bindings.basket_spans(s, d), bindings.basket_detail(s, d)))
 
 
 @query(sql.SPANS + "SELECT text, label, qi_json, size, freq FROM spans")
-def span_dedupe(s, d, spans=bindings.basket_spans):
-    return _spans(s, d, spans).drop("qi")
+def span_dedupe(s, d):
+    return _spans(s, d).drop("qi")
 
 
 @query(sql.SPANS + "SELECT text, label, qi_json, CAST(coalesce(record_count, 0) AS BIGINT) AS support FROM spans LEFT JOIN rec USING (qi)")
-def span_support_join(s, d, spans=bindings.basket_spans):
+def span_support_join(s, d):
     sets = risk.set_records(bindings.basket_detail(s, d)).select(F.col("terms").alias("qi"), "record_count")
-    return _spans(s, d, spans).join(sets, "qi", "left").select("text", "label", "qi_json", F.coalesce("record_count", F.lit(0)).cast("long").alias("support"))
+    return _spans(s, d).join(sets, "qi", "left").select("text", "label", "qi_json", F.coalesce("record_count", F.lit(0)).cast("long").alias("support"))
 
 
-def _scored(s, d, spans):
+def _scored(s, d):
     detail = bindings.basket_detail(s, d)
-    return risk.score_spans(_spans(s, d, spans), risk.set_records(detail), risk.term_records(detail), risk.records(detail))
+    return risk.score_spans(_spans(s, d), risk.set_records(detail), risk.term_records(detail), risk.records(detail))
 
 
 @query(sql.SCORES + "SELECT text, provenance, support, y_risk FROM scored")
-def y_risk(s, d, spans=bindings.basket_spans):
-    return _scored(s, d, spans).select("text", "provenance", "support", "y_risk")
+def y_risk(s, d):
+    return _scored(s, d).select("text", "provenance", "support", "y_risk")
 
 
 @query(sql.SCORES + "SELECT text, y_bits, y_bits_capped, min_constituent_df FROM scored")
-def y_bits(s, d, spans=bindings.basket_spans):
-    return _scored(s, d, spans).select("text", "y_bits", "y_bits_capped", "min_constituent_df")
+def y_bits(s, d):
+    return _scored(s, d).select("text", "y_bits", "y_bits_capped", "min_constituent_df")
 
 
 @query(sql.SCORES + "SELECT text, provenance, y_combined FROM scored")
-def y_combined(s, d, spans=bindings.basket_spans):
-    return _scored(s, d, spans).select("text", "provenance", "y_combined")
+def y_combined(s, d):
+    return _scored(s, d).select("text", "provenance", "y_combined")
 
 
 @query(sql.SCORES + "SELECT max(y_bits) FILTER (provenance = 'PROFILE') AS ceiling_bits, max(y_combined) FILTER (provenance = 'PROFILE') AS ceiling_combined FROM scored")
-def pii_ceiling(s, d, spans=bindings.basket_spans):
-    return risk.ceilings(_scored(s, d, spans))
+def pii_ceiling(s, d):
+    return risk.ceilings(_scored(s, d))
 
 
 @query(
@@ -313,14 +333,14 @@ def reid_features(s, d):
 
 
 @query(sql.SCORES + f", k AS (SELECT text, {sql.SPLIT_KEY} AS split_key FROM scored) SELECT text, split_key, CASE WHEN {sql.mod1000('split_key')} < 200 THEN 'test' ELSE 'train' END AS split FROM k")
-def md5_group_split(s, d, spans=bindings.basket_spans):
-    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d, spans))
+def md5_group_split(s, d):
+    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d))
     return rows.select("text", "split_key", stats.split_of(F.col("split_key")).alias("split"))
 
 
 @query(sql.SCORES + sql.LDS + "SELECT text, round(w, 6) AS lds_weight FROM lds")
-def lds_weights(s, d, spans=bindings.basket_spans):
-    return risk.lds_weights(checkpoint(_scored(s, d, spans).select("text", "y_risk"))).select("text", F.round("lds_weight", 6).alias("lds_weight"))
+def lds_weights(s, d):
+    return risk.lds_weights(checkpoint(_scored(s, d).select("text", "y_risk"))).select("text", F.round("lds_weight", 6).alias("lds_weight"))
 
 
 @query(
@@ -331,14 +351,19 @@ z AS (SELECT *, split = 'train' AND provenance = 'PROFILE' AND support = 1 AS on
 r AS (SELECT *, row_number() OVER (PARTITION BY one ORDER BY {sql.draw(42, 'text')}, text) AS rn FROM z)
 SELECT text, provenance, split FROM r WHERE NOT one OR rn <= 100"""
 )
-def rebalance_caps(s, d, spans=bindings.basket_spans):
-    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d, spans)).withColumn("split", stats.split_of(F.col("split_key")))
+def rebalance_caps(s, d):
+    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d)).withColumn("split", stats.split_of(F.col("split_key")))
     return sampling.rebalance(checkpoint(rows), max_support1=100).select("text", "provenance", "split")
 
 
-@query()
+@query(
+    sql.SCORES
+    + f"""
+, q AS (SELECT text, y_risk, ntile(10) OVER (ORDER BY y_risk, text) AS bin FROM scored), m AS (SELECT min(n) AS per_bin FROM (SELECT count(*) AS n FROM q GROUP BY bin)),
+r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY {sql.draw(42, 'text')}, text) AS rn FROM q) SELECT text, y_risk FROM r, m WHERE rn <= per_bin"""
+)
 def bin_equal_sample(s, d):
-    rows = checkpoint(_scored(s, d, bindings.whole_spans).select("text", "y_risk"))
+    rows = checkpoint(_scored(s, d).select("text", "y_risk"))
     return sampling.bin_equal(rows, "y_risk", 10, ["text"])
 
 
@@ -348,8 +373,8 @@ def none_anchors(s, d):
 
 
 @query(sql.SCORES + f", r AS (SELECT text, row_number() OVER (ORDER BY -ln({sql.draw(42, 'text')}) / (1 + y_risk), text) AS rn FROM scored) SELECT text FROM r WHERE rn <= 200")
-def weighted_sample(s, d, spans=bindings.basket_spans):
-    return sampling.weighted(checkpoint(_scored(s, d, spans).select("text", (1 + F.col("y_risk")).alias("w"))), 200, "w", ["text"]).select("text")
+def weighted_sample(s, d):
+    return sampling.weighted(checkpoint(_scored(s, d).select("text", (1 + F.col("y_risk")).alias("w"))), 200, "w", ["text"]).select("text")
 
 
 @query(
@@ -371,22 +396,48 @@ def class_weights(s, d):
     return sampling.class_weights(bindings.table(s, d, "customer"), "c_mktsegment")
 
 
-@query()
+@query(
+    sql.SCORES
+    + f", sk AS (SELECT *, {sql.SPLIT_KEY} AS split_key FROM scored), sp AS (SELECT *, CASE WHEN {sql.mod1000('split_key')} < 200 THEN 'test' ELSE 'train' END AS split FROM sk), train AS (SELECT * FROM sp WHERE split = 'train')"
+    + sql.LDS.replace("FROM scored", "FROM train")
+    + """SELECT sp.text, label, qi_json, size, freq, provenance, support, (SELECT n FROM N) AS N, sp.y_risk, y_bits, y_bits_capped, min_constituent_df, y_combined, '' AS tier_strictest, split,
+CASE WHEN split = 'train' THEN round(w, 6) ELSE 1.0::DOUBLE END AS lds_weight FROM sp LEFT JOIN lds ON sp.text = lds.text"""
+)
 def training_spans(s, d):
     """The span training table, end to end."""
     detail = checkpoint(bindings.basket_detail(s, d))
-    return commands.sample_spans(commands.span_join(bindings.whole_spans(s, d), detail), commands.risk_sets(detail)).drop("qi")
+    return commands.sample_spans(commands.span_join(bindings.basket_spans(s, d), detail), commands.risk_sets(detail)).drop("qi")
 
 
-@query()
+@query(
+    sql.basket("p_type")
+    + """, df AS (SELECT term, count(DISTINCT uuid) AS df FROM b GROUP BY term), nn AS (SELECT CAST(count(DISTINCT uuid) AS BIGINT) AS n FROM b),
+fs AS (SELECT uuid, list_sort(list_distinct(list(term))) AS t FROM b GROUP BY uuid, field),
+st AS (SELECT 'phrase' AS unit_type, t, CAST(count(DISTINCT uuid) AS BIGINT) AS support FROM det GROUP BY t UNION ALL SELECT 'field', t, CAST(count(DISTINCT uuid) AS BIGINT) FROM fs GROUP BY t),
+ft AS (SELECT unit_type, t, CAST(max(length(term)) AS INTEGER) AS char_len_max, round(avg(length(term)), 3) AS char_len_mean, round(avg(len(string_split(trim(term), ' '))), 3) AS n_words_mean,
+  CAST(max(CASE WHEN regexp_matches(term, '[0-9]') THEN 1 ELSE 0 END) AS INTEGER) AS has_digit, CAST(min(df) AS BIGINT) AS const_support_min, round(avg(df), 3) AS const_support_mean, min((df, term)) AS rare
+  FROM (SELECT unit_type, t, unnest(t) AS term FROM st) JOIN df USING (term) GROUP BY unit_type, t),
+scored AS (SELECT unit_type || array_to_string(t, '|') AS text, unit_type, array_to_string(t, '|') AS terms, CAST(len(t) AS INTEGER) AS size, support, n, round(log10(n::DOUBLE / support), 6) AS y_risk, rare[2] AS split_key, char_len_max, char_len_mean, n_words_mean, has_digit, const_support_min, const_support_mean
+  FROM st JOIN ft USING (unit_type, t), nn)"""
+    + sql.LDS
+    + f"""SELECT 'PROFILE' AS provenance, unit_type, size, terms, support, n AS N, s.y_risk, '' AS tier_strictest, char_len_max, char_len_mean, n_words_mean, has_digit, const_support_min, const_support_mean,
+round(w, 6) AS lds_weight, CASE WHEN {sql.mod1000('split_key')} < 200 THEN 'test' ELSE 'train' END AS split FROM scored s JOIN lds ON s.text = lds.text"""
+)
 def training_sets(s, d):
     """The set training table, end to end."""
     return joined(commands.sample_balanced(commands.risk_sets(bindings.basket_detail(s, d, "p_type"))))
 
 
-@query()
+@query(
+    sql.basket("p_type")
+    + f""", tx AS (SELECT uuid, field, list_sort(list_distinct(list(term))) AS t FROM b GROUP BY uuid, field), st AS (SELECT t, count(*) AS n FROM tx GROUP BY t),
+pr AS (SELECT n, count(*) AS sets, n::DOUBLE / (SELECT count(*) FROM tx) AS p, least(floor(ln(greatest(1.0::DOUBLE, n * count(*))) * 10), n * count(*)) AS cap FROM st GROUP BY n),
+r AS (SELECT uuid, field, n, row_number() OVER (PARTITION BY n ORDER BY {sql.draw(42, 'uuid', 'field')}, uuid, field) AS rn FROM tx JOIN st USING (t))
+SELECT uuid, field, round(((SELECT max(p) FROM pr) - p) / (SELECT max(p) FROM pr), 9) AS y FROM r JOIN pr USING (n) WHERE rn <= cap"""
+)
 def target_dataset(s, d):
-    return sampling.target_rows(bindings.basket_detail(s, d, "p_type").groupBy("uuid", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_terms")))).alias("terms")))
+    out = sampling.target_rows(bindings.basket_detail(s, d, "p_type").groupBy("uuid", "field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matched_terms")))).alias("terms")))
+    return out.withColumn("y", F.round("y", 9))
 
 
 # ---- evaluation --------------------------------------------------------------
@@ -458,9 +509,22 @@ def unicity_auc(s, d):
     return out.select(F.round("auc", 6).alias("auc"), "n_pos")
 
 
-@query()
+@query(
+    sql.PREDICTIONS
+    + """, m AS (SELECT avg(y_true) AS mean, max(y_true) AS top FROM p), bl AS (SELECT 'model' AS model, y_true, y_pred FROM p UNION ALL SELECT 'mean', y_true, mean FROM p, m UNION ALL SELECT 'ymax', y_true, top FROM p, m
+UNION ALL SELECT 'support', y_true, CASE WHEN abs(y_true) <= 1e-8 THEN 0 ELSE log10(pow(10.0::DOUBLE, top) / greatest(1, support)) END FROM p, m),
+sm AS (SELECT model, y_true, y_pred, unnest(list_filter([CASE WHEN abs(y_true) <= 1e-8 THEN 'zero' END, CASE WHEN y_true > 0 AND (y_true < 1 OR y_true < top) THEN CASE WHEN y_true < 1 THEN 'below one' ELSE floor(y_true)::VARCHAR END END,
+  CASE WHEN abs(y_true - top) <= 1e-8 + 1e-5 * abs(top) THEN 'top' END], lambda x: x IS NOT NULL)) AS stratum FROM bl, m),
+ps AS (SELECT model, stratum, avg(abs(y_true - y_pred)) AS mae, sqrt(avg((y_true - y_pred) ** 2)) AS rmse FROM sm GROUP BY ALL),
+ma AS (SELECT model, avg(mae) AS macro_mae, avg(rmse) AS macro_rmse, CAST(count(*) AS BIGINT) AS strata FROM ps GROUP BY model),
+rk AS (SELECT model, y_true, y_pred, rank() OVER (PARTITION BY model ORDER BY y_true) + (count(*) OVER (PARTITION BY model, y_true) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY model ORDER BY y_pred) + (count(*) OVER (PARTITION BY model, y_pred) - 1) / 2.0 AS ry, abs(y_true - top) <= 1e-8 + 1e-5 * abs(top) AS pos FROM bl, m),
+er AS (SELECT model, avg(abs(y_true - y_pred)) AS mae, sqrt(avg((y_true - y_pred) ** 2)) AS rmse, CAST(count(*) AS BIGINT) AS n, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS spearman,
+  (sum(ry) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)) AS auc FROM rk GROUP BY model)
+SELECT model, round(mae, 6) AS mae, round(rmse, 6) AS rmse, n, round(macro_mae, 6) AS macro_mae, round(macro_rmse, 6) AS macro_rmse, strata, round(spearman, 6) AS spearman, round(auc, 6) AS auc FROM er JOIN ma USING (model)"""
+)
 def eval_report(s, d):
-    return evaluation.report(bindings.predictions(s, d))
+    out = evaluation.report(bindings.predictions(s, d))
+    return out.select("model", "n", "strata", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "macro_mae", "macro_rmse", "spearman", "auc")])
 
 
 # ---- diagnostics -------------------------------------------------------------
@@ -474,14 +538,14 @@ def percentiles(s, d):
 @query(sql.SCORES + """, e AS (SELECT greatest(6.0::DOUBLE, ceil(max(y_combined) / 2) * 2) AS top FROM scored),
 l AS (SELECT CASE WHEN y_combined < 6 THEN floor(y_combined * 2) / 2 WHEN floor((y_combined - 6) / 2) * 2 + 6 >= top AND top > 6 THEN top - 2 ELSE floor((y_combined - 6) / 2) * 2 + 6 END AS lo FROM scored, e)
 SELECT CAST(lo AS DOUBLE) AS lo, CAST(lo + CASE WHEN lo < 6 THEN 0.5 ELSE 2 END AS DOUBLE) AS hi, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY lo""")
-def hist_targets(s, d, spans=bindings.basket_spans):
-    return diagnostics.target_bins(checkpoint(_scored(s, d, spans).select("y_combined")))
+def hist_targets(s, d):
+    return diagnostics.target_bins(checkpoint(_scored(s, d).select("y_combined")))
 
 
 @query(sql.SCORES + sql.LDS + """, h AS (SELECT greatest(0.5::DOUBLE, ceil(y_risk * 2) / 2) AS hi, count(*) AS n, sum(w) AS w FROM lds GROUP BY 1)
 SELECT hi, CAST(n AS BIGINT) AS n, round(100.0 * n / sum(n) OVER (), 5) AS n_percent, round(100.0 * w / sum(w) OVER (), 5) AS weight_percent FROM h""")
-def hist_weighted(s, d, spans=bindings.basket_spans):
-    out = diagnostics.weighted_bins(risk.lds_weights(checkpoint(_scored(s, d, spans).select("text", "y_risk"))))
+def hist_weighted(s, d):
+    out = diagnostics.weighted_bins(risk.lds_weights(checkpoint(_scored(s, d).select("text", "y_risk"))))
     return out.select("hi", "n", F.round("n_percent", 5).alias("n_percent"), F.round("weight_percent", 5).alias("weight_percent"))
 
 
@@ -520,26 +584,26 @@ def rate_buckets(s, d):
     + """, q AS (SELECT 'all' AS part, size FROM scored WHERE provenance = 'PROFILE' UNION ALL SELECT 'support1', size FROM scored WHERE provenance = 'PROFILE' AND support = 1 UNION ALL SELECT 'support2', size FROM scored WHERE provenance = 'PROFILE' AND support >= 2)
 SELECT part, CAST(size AS INTEGER) AS size, CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY part), 6) AS percent FROM q GROUP BY part, size"""
 )
-def support1_decomposition(s, d, spans=bindings.basket_spans):
-    out = diagnostics.support_sizes(_scored(s, d, spans))
+def support1_decomposition(s, d):
+    out = diagnostics.support_sizes(_scored(s, d))
     return out.withColumn("percent", F.round("percent", 6))
 
 
 @query(sql.SCORES + ", r AS (SELECT min_constituent_df AS m FROM scored WHERE provenance = 'PROFILE' AND support = 1) SELECT CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (m < k) AS BIGINT) AS affected, round(100.0 * count(*) FILTER (m < k) / greatest(1, count(*)), 6) AS percent FROM (VALUES (3), (5), (10), (20), (50)) g(k), r GROUP BY k")
-def support1_grid(s, d, spans=bindings.basket_spans):
-    rare = diagnostics.support1_rarest(_scored(s, d, spans), risk.term_records(bindings.basket_detail(s, d)))
+def support1_grid(s, d):
+    rare = diagnostics.support1_rarest(_scored(s, d), risk.term_records(bindings.basket_detail(s, d)))
     return diagnostics.support1_grid(rare).withColumn("percent", F.round("percent", 6))
 
 
 @query(sql.SCORES + ", v AS (SELECT support, count(*) AS n FROM scored WHERE provenance = 'PROFILE' GROUP BY support) SELECT support, CAST(n AS BIGINT) AS n, round(100.0 * n / (SELECT sum(n) FROM v), 6) AS percent FROM v ORDER BY n DESC, support LIMIT 8")
-def support_topk(s, d, spans=bindings.basket_spans):
-    out = diagnostics.value_shares(_scored(s, d, spans).where("provenance = 'PROFILE'"), "support").limit(8)
+def support_topk(s, d):
+    out = diagnostics.value_shares(_scored(s, d).where("provenance = 'PROFILE'"), "support").limit(8)
     return out.withColumn("percent", F.round("percent", 6))
 
 
 @query(sql.SCORES + ", v AS (SELECT provenance, count(*) AS n FROM scored GROUP BY 1) SELECT provenance, CAST(n AS BIGINT) AS n, round(100.0 * n / (SELECT sum(n) FROM v), 6) AS percent FROM v")
-def provenance_shares(s, d, spans=bindings.basket_spans):
-    return diagnostics.value_shares(_scored(s, d, spans), "provenance").withColumn("percent", F.round("percent", 6))
+def provenance_shares(s, d):
+    return diagnostics.value_shares(_scored(s, d), "provenance").withColumn("percent", F.round("percent", 6))
 
 
 @query(
@@ -557,6 +621,13 @@ def heaps_fit(s, d):
     return out.select(F.round("beta", 6).alias("beta"), F.round("k", 5).alias("k"), F.round("estimate", 2).alias("estimate"))
 
 
+@query("WITH o AS (SELECT row_number() OVER () AS place, l_returnflag AS flag FROM lineitem), c AS (SELECT *, CASE WHEN flag IS DISTINCT FROM lag(flag) OVER (ORDER BY place) THEN 1 ELSE 0 END AS new FROM o), r AS (SELECT flag, sum(new) OVER (ORDER BY place) AS run FROM c), n AS (SELECT flag, run, count(*) AS n FROM r GROUP BY ALL) SELECT flag, CAST(count(*) AS BIGINT) AS runs, CAST(max(n) AS BIGINT) AS longest FROM n GROUP BY flag")
+def consecutive_runs(s, d):
+    """Runs of equal return flags in the order in which the files hold the lines."""
+    placed = runs.runs_of(bindings.table(s, d, "lineitem").select(F.col("l_returnflag").alias("flag")), "flag")
+    return placed.groupBy("flag", "run").agg(F.count("*").alias("n")).groupBy("flag").agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
+
+
 # ---- annotation ---------------------------------------------------------------
 
 
@@ -629,27 +700,3 @@ def bio_tags(s, d):
     spans = F.array(F.struct(F.split(F.lit("of the"), " ").alias("piece"), F.lit("PROFILE").alias("label")), F.struct(F.split(F.lit("to"), " ").alias("piece"), F.lit("PII").alias("label")))
     rows = bindings.table(s, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", annotation.bio_tags(toks, spans).alias("tags"))
     return rows.select("conv_id", "turn", F.size("tags").alias("n_tokens"), F.size(F.filter("tags", lambda t: t == "B-PROFILE")).alias("n_profile"), F.size(F.filter("tags", lambda t: t == "B-PII")).alias("n_pii"), annotation.entity_vote(F.col("tags"), F.lit(1), F.size("tags")).alias("vote"))
-
-
-# ---- without the bounds of the SQL above ----------------------------------------
-
-
-def _whole(f: Query, oracle: str, **options) -> None:
-    """Registers f as NAME_whole, with options that leave out a bound that f shares with its SQL."""
-    name = f"{f.__name__}_whole"
-    QUERIES[name] = lambda s, d: f(s, d, **options)
-    ORACLES[name] = oracle
-
-
-for _f in (
-    span_dedupe, span_support_join, y_risk, y_bits, y_combined, pii_ceiling, md5_group_split, lds_weights, rebalance_caps, weighted_sample,
-    hist_targets, hist_weighted, support1_decomposition, support1_grid, support_topk, provenance_shares,
-):
-    _whole(_f, ORACLES[_f.__name__].replace(sql.SPAN_NAME, sql.WHOLE_SPAN_NAME), spans=bindings.whole_spans)
-
-for _f, _where in ((itemsets_apriori, ""), (itemset_support_pct, " WHERE size >= 3")):
-    _columns = ORACLES[_f.__name__].rpartition("SELECT combo")[2].partition(" WHERE ")[0]
-    _whole(_f, "WITH RECURSIVE" + sql.basket("p_type").removeprefix("WITH") + sql.WHOLE_ITEMSETS + "SELECT combo" + _columns + _where, max_size=0)
-
-for _f in (phrase_freq, phrase_bandpass, phrase_examples_top3, twofold_recall):
-    _whole(_f, ORACLES[_f.__name__].replace("HAVING count(*) BETWEEN 3 AND 40)", "HAVING count(*) >= 3)"), most=0)

@@ -83,7 +83,7 @@ bh AS (SELECT token, freq_profile, freq_none, p, CASE WHEN p IS NOT NULL THEN le
 
 _TAG = f"CASE WHEN w IN {listed(DETERMINERS)} THEN 'D' WHEN w IN {listed(PREPOSITION_TAGS)} THEN 'I' WHEN w IN {listed(STOPWORDS)} THEN 'O' WHEN {_ADJ.replace('token', 'w')} THEN 'J' ELSE 'N' END"
 #: found: uuid, field, clause_pos, clause, token, phrase
-PHRASES = TOKENS + f""", voc AS (SELECT token FROM tok WHERE label = 'PROFILE' GROUP BY token HAVING count(*) BETWEEN 3 AND 40),
+PHRASES = TOKENS + f""", voc AS (SELECT token FROM tok WHERE label = 'PROFILE' GROUP BY token HAVING count(*) >= 3),
 np0 AS (SELECT uuid, field, clause_pos, clause, regexp_extract_all(lower(clause), '[a-z]+') AS ws FROM cl WHERE label = 'PROFILE'),
 np1 AS (SELECT *, regexp_extract_all(array_to_string(list_transform(ws, lambda w: ({_TAG}) || ':' || w), ' ') || ' ', '(?:D:\\S+ )?(?:J:\\S+ )*(?:N:\\S+ )+') AS raw FROM np0),
 np2 AS (SELECT *, list_transform(raw, lambda p: trim(regexp_replace(p, '[DIJN]:', '', 'g'))) AS nps FROM np1),
@@ -114,17 +114,33 @@ def set_records(grain: str) -> str:
     return f", s AS (SELECT uuid, list_sort(list_distinct(list(term))) AS t FROM b GROUP BY {_UNIT[grain]}) SELECT array_to_string(t, '|') AS terms, CAST(len(t) AS INTEGER) AS set_size, CAST(count(DISTINCT uuid) AS BIGINT) AS record_count, round(count(DISTINCT uuid)::DOUBLE / (SELECT count(DISTINCT uuid) FROM b), 8) AS probability FROM s GROUP BY t"
 
 
-PAIRS = basket("p_brand") + SETS + """, e AS (SELECT row_number() OVER () AS sid, unit, t FROM sets), x AS (SELECT sid, unit, unnest(t) AS term FROM e),
+_CO = """, e AS (SELECT row_number() OVER () AS sid, unit, t FROM sets), x AS (SELECT sid, unit, unnest(t) AS term FROM e),
 co AS (SELECT l.unit, l.term AS a, r.term AS b, count(*) AS co_count FROM x l JOIN x r ON l.sid = r.sid AND l.term < r.term GROUP BY ALL HAVING count(*) >= 2),
 tc AS (SELECT unit, term, count(*) AS c FROM x GROUP BY ALL), nu AS (SELECT unit, count(*) AS n FROM sets GROUP BY unit),
 pairs AS (SELECT co.unit, a, co.b, CAST(co_count AS BIGINT) AS co_count, CAST(ta.c AS BIGINT) AS count_a, CAST(tb.c AS BIGINT) AS count_b, CAST(n AS BIGINT) AS n
   FROM co JOIN tc ta ON ta.unit = co.unit AND ta.term = a JOIN tc tb ON tb.unit = co.unit AND tb.term = co.b JOIN nu ON nu.unit = co.unit)
 """
-ITEMSETS = """, s AS (SELECT list_sort(list_distinct(list(term))) AS t FROM b GROUP BY uuid, field), ws AS (SELECT row_number() OVER () AS sid, t, count(*) AS cnt FROM s GROUP BY t),
+PAIRS = basket("p_brand") + SETS + _CO
+#: The same at clause and text grain, a text being the orders of a year and status.
+TEXT_PAIRS = basket("p_brand") + """, y AS (SELECT o_orderkey AS clause_pos, year(o_orderdate) || o_orderstatus AS text FROM orders),
+sets AS (SELECT 'clause' AS unit, list_sort(list_distinct(list(term))) AS t FROM b GROUP BY uuid, field, clause_pos
+  UNION ALL SELECT 'text', list_sort(list_distinct(list(term))) FROM b JOIN y USING (clause_pos) GROUP BY uuid, field, text)
+""" + _CO
+#: erfc(x) to some 1e-13: a series of positive terms; beyond 6 it is below 1e-16.
+_ERFC = "CASE WHEN x > 6 THEN 0 WHEN x <= 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln(x) + n * ln(4.0::DOUBLE) + lgamma(n + 1) - lgamma(2 * n + 2)))) END"
+#: fdr: pairs with g2, positive, pmi and q of their unit
+FDR = f""", g AS (SELECT *, {g2('co_count', 'count_a - co_count', 'count_b - co_count', 'n - count_a - count_b + co_count')} AS g2, co_count > count_a::DOUBLE * count_b / n AS positive FROM pairs),
+tl AS (SELECT *, {_ERFC} AS tail FROM (SELECT *, sqrt(greatest(g2, 0) / 2) AS x FROM g)), pv AS (SELECT *, CASE WHEN positive THEN tail / 2 ELSE 1 - tail / 2 END AS p FROM tl),
+qv AS (SELECT *, p * count(*) OVER (PARTITION BY unit) / count(*) OVER (PARTITION BY unit ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM pv),
+fdr AS (SELECT *, least(1.0::DOUBLE, min(v) OVER (PARTITION BY unit ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM qv)
+SELECT unit, a AS phrase_a, b AS phrase_b, co_count, count_a, count_b, round(co_count::DOUBLE / n, 8) AS probability, round(log2(co_count::DOUBLE * n / (count_a::DOUBLE * count_b)), 4) AS pmi,
+  round(g2, 4) AS g2, round(q, 6) AS q_value FROM fdr WHERE positive AND q <= 0.05
+"""
+#: items of any size: every subset of every distinct set, grown by its next term.  For a WITH RECURSIVE.
+ITEMSETS = """, s AS (SELECT list_sort(list_distinct(list(term))) AS t FROM b GROUP BY uuid, field), ws AS (SELECT row_number() OVER (ORDER BY t) AS sid, t, count(*) AS cnt FROM s GROUP BY t),
 x AS (SELECT sid, cnt, unnest(t) AS i FROM ws),
-items AS (SELECT i AS combo, 1 AS size, CAST(sum(cnt) AS BIGINT) AS support_count FROM x GROUP BY i HAVING sum(cnt) >= 5
-  UNION ALL SELECT p.i || '|' || q.i, 2, CAST(sum(p.cnt) AS BIGINT) FROM x p JOIN x q ON p.sid = q.sid AND p.i < q.i GROUP BY p.i, q.i HAVING sum(p.cnt) >= 5
-  UNION ALL SELECT p.i || '|' || q.i || '|' || r.i, 3, CAST(sum(p.cnt) AS BIGINT) FROM x p JOIN x q ON p.sid = q.sid AND p.i < q.i JOIN x r ON r.sid = q.sid AND q.i < r.i GROUP BY p.i, q.i, r.i HAVING sum(p.cnt) >= 5)
+sub AS (SELECT sid, cnt, i AS combo, i AS last, 1 AS size FROM x UNION ALL SELECT sub.sid, sub.cnt, combo || '|' || i, i, size + 1 FROM sub JOIN x ON sub.sid = x.sid AND i > last),
+items AS (SELECT combo, size, CAST(sum(cnt) AS BIGINT) AS support_count FROM sub GROUP BY combo, size HAVING sum(cnt) >= 5)
 """
 #: spans: text, label, qi, qi_json, size, freq; rec: qi, record_count
 SPANS = basket("p_brand") + """, o AS (SELECT clause_pos, uuid, max(label) AS label, CASE WHEN clause_pos % 4 = 0 THEN 'customer ' || uuid ELSE 'order ' || clause_pos END AS text FROM b GROUP BY clause_pos, uuid),
@@ -168,13 +184,3 @@ RANKS = """, r AS (SELECT y_true, rank() OVER (ORDER BY y_true) + (count(*) OVER
 FREQS = "WITH f AS (SELECT CAST(l_partkey AS VARCHAR) AS phrase, count(*) AS freq FROM lineitem GROUP BY 1) "
 FREQ_BINS = "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b})" for a, b in zip(FREQ_EDGES[:-1], FREQ_EDGES[1:], strict=True)) + ") v(lo, hi)"
 
-
-#: How SPANS names a span.
-SPAN_NAME = WHOLE_SPAN_NAME = "CASE WHEN clause_pos % 4 = 0 THEN 'customer ' || uuid ELSE 'order ' || clause_pos END"
-
-#: items of any size: every subset of every distinct set, grown by its next term.  For a WITH RECURSIVE.
-WHOLE_ITEMSETS = """, s AS (SELECT list_sort(list_distinct(list(term))) AS t FROM b GROUP BY uuid, field), ws AS (SELECT row_number() OVER (ORDER BY t) AS sid, t, count(*) AS cnt FROM s GROUP BY t),
-x AS (SELECT sid, cnt, unnest(t) AS i FROM ws),
-sub AS (SELECT sid, cnt, i AS combo, i AS last, 1 AS size FROM x UNION ALL SELECT sub.sid, sub.cnt, combo || '|' || i, i, size + 1 FROM sub JOIN x ON sub.sid = x.sid AND i > last),
-items AS (SELECT combo, size, CAST(sum(cnt) AS BIGINT) AS support_count FROM sub GROUP BY combo, size HAVING sum(cnt) >= 5)
-"""
