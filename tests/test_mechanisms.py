@@ -260,3 +260,43 @@ def test_a_batch_does_not_read_what_others_wrote(spark, tmp_path):
     label_all(spark, tmp_path, "ck")
     assert resume.earlier(spark, str(tmp_path / "out"), resume.run_name(str(tmp_path / "ck"))) is None
     assert resume.earlier(spark, str(tmp_path / "out"), "another").count() == 15
+
+
+# ---- clauses
+
+
+def plain_clauses(t):
+    norm = lambda x: re.sub(r"\s+", " ", re.sub(r"[\s,;:.\-]+$", "", re.sub(r"^[\s,;:.\-]+", "", x)))
+    out = []
+    for s in filter(None, map(norm, re.split(r"(?:\r?\n)+|[.!?;]+", t))):
+        parts = [s]
+        if len(s.split()) > 18:
+            found = [x for x in map(norm, re.split(rf"(?i)\s*(?:,\s*)?(?:{text.CONJUNCTIONS})\s+", s)) if x]
+            parts = found if len(found) > 1 else [s]
+        out += parts
+    seen, kept = set(), []
+    for p in out:
+        if p.casefold() not in seen:
+            seen.add(p.casefold())
+            kept.append(p)
+    return kept
+
+
+def test_clauses(spark):
+    rnd = random.Random(12)
+    words = ["and", "But", "band", "since", "I", "WHEN", "played", "the", "Straße", "STRASSE", "x", "of", "because", "a-b"]
+    marks = [" ", " ", " ", " ", " ", ", ", ". ", " - ", "\n", "\r\n", "! ", "; ", " , ", ": ", "...", "\t", " -; "]
+    texts = ["".join(rnd.choice(words) + rnd.choice(marks) for _ in range(rnd.randint(0, 90))) for _ in range(400)] + ["", " ;.", "and and", "\n" * 30_000 + "x y" + " " * 30_000 + "z" + "-" * 30_000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.rule_clauses(F.col("t")).alias("c")).collect()
+    for r in got:
+        assert r["c"] == plain_clauses(texts[r["i"]]), texts[r["i"]][:200]
+
+
+def test_case_is_folded_as_in_full(spark):
+    letters = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000 and not 0xFDD0 <= i < 0xFDF0 and chr(i).casefold() != chr(i)]
+    rows = [(c, c.casefold()) for c in letters] + [("ı", "ı"), ("ΟΔΟΣ", "οδοσ"), ("οδος", "οδοσ"), ("ﬁ", "fi"), ("Straße", "strasse"), ("ẞ", "ss"), ("Iı", "iı")]
+    df = spark.createDataFrame(rows, "c string, folded string")
+    # two texts are equal when folded just where full folding says so
+    bad = df.select("c", text.fold(F.col("c")).alias("a"), text.fold(F.col("folded")).alias("b")).where("a <> b").collect()
+    assert not bad, bad
+    assert spark.createDataFrame([("I", "ı")], "a string, b string").where(text.fold(F.col("a")) == text.fold(F.col("b"))).count() == 0

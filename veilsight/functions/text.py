@@ -14,11 +14,14 @@ from pyspark.sql.functions import arrow_udf
 
 from veilsight.config import LONG_SENTENCE_WORDS, MIN_CLAUSE_WORDS, NOT_TEXT
 
-#: Fixed patterns of the clause rules.
-SENTENCE_END = r"(?:\r?\n)+|[.!?;]+"
-CONJUNCTION = r"(?i)\s*(?:,\s*)?(?:and|but|while|although|though|whereas|however|because|since|when|after|before)\s+"
-CONJUNCTION_WORD = r"(?i)\s+(?:,\s*)?(?:and|but|while|although|though|whereas|however|because|since|when|after|before)\s+"
-EDGE_START, EDGE_END = r"^[\s,;:.\-]+", r"[\s,;:.\-]+$"
+#: Fixed patterns of the clause rules: what ends a sentence, what is no part of a clause's ends, words that begin another clause.
+SENTENCE_END = r"[\n.!?;]+"
+EDGE = r"\s,;:.\-"
+CONJUNCTIONS = "and|but|while|although|though|whereas|however|because|since|when|after|before"
+#: Characters that no text has, between parts and for a letter set aside.
+MARK, ASIDE = "\ufdd0", "\ufdd1"
+#: Fixed: signs that are upper case already, and the letters that they fold to.
+SIGNS, LETTERS = "\u03f4\u1e9e\u2126\u212a\u212b", "\u03b8\u00df\u03c9\u006b\u00e5"
 CLAUSE_MARKS_JA = "[。、]+"
 
 #: Fixed word lists of the default tagger.
@@ -38,7 +41,12 @@ ADJECTIVE_ENDS = ("able", "ible", "al", "ful", "ic", "ive", "less", "ous", "ish"
 
 def normalize_clause(c: Column) -> Column:
     """Without blanks and marks at the ends, and with single spaces."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, EDGE_START, ""), EDGE_END, ""), r"\s+", " ")
+    return F.regexp_replace(_stripped(c), r"\s+", " ")
+
+
+def _stripped(c: Column) -> Column:
+    # a run is tried from its first character only, so that long ones take time in proportion
+    return F.regexp_replace(c, f"^[{EDGE}{MARK}]++|(?<![{EDGE}{MARK}])[{EDGE}{MARK}]++$", "")
 
 
 def word_count(c: Column) -> Column:
@@ -50,27 +58,52 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fold(c: Column) -> Column:
+    """Case folded away, as equal texts but for case have it: upper case, which spells ligatures, ß and final sigmas out.
+
+    Upper case leaves some signs apart from the letters they stand for, and
+    takes the dotless i for an i; these are told apart before.
+    """
+    named = F.translate(F.replace(c, F.lit("\u0130"), F.lit("i\u0307")), SIGNS + "ı", LETTERS + ASIDE)
+    return F.when(F.octet_length(c) == F.char_length(c), F.upper(c)).otherwise(F.upper(named))
+
+
 def dedupe(array: Column) -> Column:
     """The first of the strings that are equal but for case, in their order; nulls left out.
 
-    ß is ss, as in upper case.  Sorting brings equal ones together, so
-    that long arrays take little more than their length.
+    Where all differ, as most often, they are compared by one list of their
+    folded forms; else sorting brings equal ones together, so that long arrays
+    take little more than their length.
     """
-    named = F.transform(array, lambda x, i: F.struct(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")).alias("low"), i.alias("i"), x.alias("x")))
-    alike = F.array_sort(F.filter(named, lambda s: s["x"].isNotNull()))
-    firsts = let(alike, lambda a: F.filter(a, lambda s, i: (i == 0) | (s["low"] != F.get(a, i - 1)["low"])))
-    return F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
+
+    def firsts_of(given: Column) -> Column:
+        named = F.transform(given, lambda x, i: F.struct(fold(x).alias("low"), i.alias("i"), x.alias("x")))
+        firsts = let(F.array_sort(named), lambda a: F.filter(a, lambda s, i: (i == 0) | (s["low"] != F.get(a, i - 1)["low"])))
+        return F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
+
+    def whole(given: Column) -> Column:
+        low = F.split(fold(F.array_join(given, MARK)), MARK)
+        return F.when((F.size(low) == F.size(given)) & (F.size(F.array_distinct(low)) == F.size(low)), given).otherwise(firsts_of(given))
+
+    return let(F.array_compact(array), whole)
 
 
 def split_long(c: Column, word_boundary: bool = False) -> Column:
     """Parts between conjunctions, repeats and all.  Without word_boundary a conjunction may also end a longer word, as in b/and played."""
-    parts = F.filter(F.transform(F.split(c, CONJUNCTION_WORD if word_boundary else CONJUNCTION, -1), normalize_clause), lambda x: x != "")
-    return let(parts, lambda p: F.when(F.size(p) <= 1, F.array(c)).otherwise(p))
+    apart = r"(?<=\s|\s,)" if word_boundary else ""
+    cut = _stripped(F.regexp_replace(c, rf"(?i)(?:\G|(?<![{EDGE}]))[{EDGE}]*+{apart}(?:{CONJUNCTIONS})\s[{EDGE}]*+", MARK))
+    return F.when(F.contains(cut, F.lit(MARK)), F.split(cut, f"{MARK}+")).otherwise(F.array(c))
 
 
 def rule_clauses(text: Column, word_boundary: bool = False) -> Column:
-    """Sentences, the long ones split at conjunctions; repeats left out."""
-    sentences = F.filter(F.transform(F.split(text, SENTENCE_END, -1), normalize_clause), lambda x: x != "")
+    """Sentences, the long ones split at conjunctions; repeats left out.
+
+    Ends are marked and tidied over the whole text at once, so that only long
+    sentences are looked at one by one.
+    """
+    cut = F.regexp_replace(text, SENTENCE_END, MARK)
+    cut = F.regexp_replace(cut, f"(?<![{EDGE}])[{EDGE}]*+{MARK}[{EDGE}{MARK}]*+", MARK)
+    sentences = F.filter(F.split(normalize_clause(cut), MARK), lambda s: s != "")
     parts = F.transform(sentences, lambda s: F.when(word_count(s) > LONG_SENTENCE_WORDS, split_long(s, word_boundary)).otherwise(F.array(s)))
     return dedupe(F.flatten(parts))
 

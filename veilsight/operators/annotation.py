@@ -120,15 +120,21 @@ def entity_vote(tags: Column, first: Column, length: Column) -> Column:
     return F.coalesce(let(F.transform(part, lambda t: F.substring(t, F.lit(3), F.length(t))), most), F.lit("NONE"))
 
 
-def candidate_labels(annotations: DataFrame, predictions: DataFrame) -> DataFrame:
+def candidate_labels(annotations: DataFrame, predictions: DataFrame, order: str | None = None) -> DataFrame:
     """text, candidate, y_true and y_pred: each annotated candidate with the label its tokens' predicted tags vote for.
 
     annotations has text, candidate, label and piece, the candidate's tokens;
-    predictions has text, tokens and tags, one row a text (the last of several
-    by tokens).  Candidates of texts without a prediction are left out; one
-    that does not stand in its text is NONE.
+    predictions has text, tokens and tags, and counts the last of several by
+    the column that order names; without one a text must have one row.
+    Candidates of texts without a prediction are left out; one that does not
+    stand in its text is NONE.
     """
-    one = predictions.groupBy("text").agg(F.max(F.struct("tokens", "tags")).alias("_p"))
+    made = F.struct("tokens", "tags")
+    if order is None:
+        several = F.assert_true(F.count("*") == 1, F.lit("a text has several predictions: name the column that orders them"))
+        one = predictions.groupBy("text").agg(F.first(made).alias("_p"), several.alias("_one")).where("_one IS NULL").drop("_one")
+    else:
+        one = predictions.groupBy("text").agg(F.max_by(made, order).alias("_p"))
     met = annotations.join(one, "text").withColumn("_at", find_all(F.col("_p.tokens"), F.col("piece")))
     tags = F.flatten(F.transform("_at", lambda i: F.slice(F.col("_p.tags"), i, F.size("piece"))))
     voted = F.when(F.size("_at") > 0, entity_vote(tags, F.lit(1), F.greatest(F.lit(1), F.size(tags)))).otherwise(F.lit("NONE"))

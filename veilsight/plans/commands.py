@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilsight.config import MAX_PHRASE_FREQ, MIN_PHRASE_FREQ, NP_GRAMMAR
+from veilsight.functions import text
 from veilsight.operators import cooccurrence as co
-from veilsight.operators import itemsets, phrases, risk, sampling, tokens
+from veilsight.operators import annotation, evaluation, itemsets, phrases, risk, sampling, tokens
 from veilsight.session import checkpoint
+from veilsight.sources import sinks
 
 
 @dataclass
@@ -36,6 +38,32 @@ def method_b(clauses: DataFrame, candidates: DataFrame, grammar: str = NP_GRAMMA
     return phrases.phrase_table(found, tokens.token_tiers(candidates))
 
 
+def dictionary(clauses: DataFrame, lists: DataFrame | None = None, columns: tuple[str, ...] = (), tagger=text.morphemes, keep=text.content_word, min_profile: int = 1, alpha: float = 0.05) -> DataFrame:
+    """The dictionary run: morphemes of labelled clauses that the G test finds more often in PROFILE ones, the strongest first.
+
+    lists, a second source, has text or list columns, the named ones of which
+    count as PROFILE texts.  tagger is a function from a text column to structs
+    of token and pos, keep tells which of them count; margins are of tokens.
+    """
+    found = checkpoint(tokens.token_counts(tokens.clause_tokens(clauses, tagger, keep)))
+    totals = found.agg(F.coalesce(F.sum("freq_profile"), F.lit(0)).alias("n_profile"), F.coalesce(F.sum("freq_none"), F.lit(0)).alias("n_none"))
+    if lists is not None:
+        found, totals = tokens.augment_profile(found, totals, lists, columns, tagger, keep)
+    return tokens.morphemes(found, totals, min_profile, alpha)
+
+
+def write_method_a(made: tuple[DataFrame, DataFrame], folder: str) -> None:
+    """Token statistics and the significant ones as CSV, in their orders."""
+    sinks.csv(tokens.in_order(made[0]), f"{folder}/token_stats")
+    sinks.csv(made[1], f"{folder}/significant")
+
+
+def candidate_report(annotations: DataFrame, predictions: DataFrame, labels: tuple[str, ...], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of annotated candidates: counts of every two labels, and precision, recall and F1."""
+    met = checkpoint(annotation.candidate_labels(annotations, predictions, order))
+    return evaluation.confusion(met, labels), evaluation.f1_report(met)
+
+
 def resolve_min_freq(value: int | str, stats: DataFrame) -> int:
     """A number, or for "auto" the one the odds ratios' intervals recommend."""
     if str(value).strip().lower() != "auto":

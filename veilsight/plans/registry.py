@@ -665,6 +665,20 @@ def morpheme_gtest(s, d):
     return out.select("token", "count_profile", "count_none", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("llr_g", 5).alias("llr_g"))
 
 
+@query(
+    sql.TOKENS
+    + f"""
+, nm AS (SELECT label, token FROM tok UNION ALL SELECT 'PROFILE', token FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS token FROM part) WHERE length(token) >= 3 AND {sql._NOUN}),
+n AS (SELECT count(*) FILTER (label = 'PROFILE') AS np, count(*) FILTER (label = 'NONE') AS nn FROM nm), g AS (SELECT token, count(*) FILTER (label = 'PROFILE') AS a, count(*) FILTER (label = 'NONE') AS c FROM nm GROUP BY token),
+q AS (SELECT token, a, np - a AS b, c, nn - c AS d, np, nn FROM g, n WHERE a >= 5), r AS (SELECT *, {sql.g2('a', 'b', 'c', 'd')} AS llr, ((a + .5) * (d + .5)) / ((b + .5) * (c + .5)) AS odds FROM q)
+SELECT token, CAST(a AS BIGINT) AS count_profile, CAST(c AS BIGINT) AS count_none, round(a::DOUBLE / np, 9) AS rate_profile, round(odds, 6) AS odds_ratio, round(llr, 5) AS llr_g FROM r WHERE a::DOUBLE / np > c::DOUBLE / nn AND odds > 1 AND llr > 3.841458820694124"""
+)
+def dictionary_run(s, d):
+    """The dictionary command from end to end, the parts' names being its second source."""
+    out = commands.dictionary(bindings.text_clauses(s, d), bindings.table(s, d, "part"), ("p_name",), min_profile=5)
+    return out.select("token", "count_profile", "count_none", F.round("rate_profile", 9).alias("rate_profile"), F.round("odds_ratio", 6).alias("odds_ratio"), F.round("llr_g", 5).alias("llr_g"))
+
+
 @query(
     """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity / 10.0 AS a, l_discount * 30 AS b, l_tax * 40 AS c FROM lineitem), e AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb, exp(c - greatest(a, b, c)) AS ec FROM x)
 SELECT l_orderkey, l_linenumber, CASE WHEN a >= b AND a >= c THEN 'NONE' WHEN b >= c THEN 'PII' ELSE 'PROFILE' END AS label, round(greatest(ea, eb, ec) / (ea + eb + ec), 8) AS score FROM e"""
@@ -700,3 +714,21 @@ def bio_tags(s, d):
     spans = F.array(F.struct(F.split(F.lit("of the"), " ").alias("piece"), F.lit("PROFILE").alias("label")), F.struct(F.split(F.lit("to"), " ").alias("piece"), F.lit("PII").alias("label")))
     rows = bindings.table(s, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", annotation.bio_tags(toks, spans).alias("tags"))
     return rows.select("conv_id", "turn", F.size("tags").alias("n_tokens"), F.size(F.filter("tags", lambda t: t == "B-PROFILE")).alias("n_profile"), F.size(F.filter("tags", lambda t: t == "B-PII")).alias("n_pii"), annotation.entity_vote(F.col("tags"), F.lit(1), F.size("tags")).alias("vote"))
+
+
+@query(
+    r"WITH t AS (SELECT string_split_regex(lower(text), '\s+') AS w FROM conversations WHERE text IS NOT NULL),"
+    " c AS (SELECT list_contains(w, 'to') AS has_to, len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0 AS has_of FROM t),"
+    " p AS (SELECT 'PII' AS y, CASE WHEN has_to THEN 'PII' ELSE 'NONE' END AS p FROM c UNION ALL SELECT 'PROFILE', CASE WHEN has_of THEN 'PROFILE' ELSE 'NONE' END FROM c UNION ALL SELECT 'NONE', 'NONE' FROM c),"
+    " l(x) AS (VALUES ('NONE'), ('PII'), ('PROFILE')) SELECT a.x AS true_label, b.x AS pred_label, CAST((SELECT count(*) FROM p WHERE y = a.x AND p.p = b.x) AS BIGINT) AS n FROM l a, l b"
+)
+def candidate_confusion(s, d):
+    """Annotated candidates of every turn against the votes of predicted tags, of which the later of two counts."""
+    turns = bindings.table(s, d, "conversations").where("text IS NOT NULL").select(F.monotonically_increasing_id().alias("text"), F.split(F.lower("text"), r"\s+").alias("tokens"))
+    turns = checkpoint(turns)
+    given = F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(y).alias("label")) for c, y in (("to", "PII"), ("of the", "PROFILE"), ("in", "NONE"))])
+    annotated = turns.select("text", F.explode(given).alias("g")).select("text", "g.candidate", "g.label", F.split("g.candidate", " ").alias("piece"))
+    tag = lambda w: F.when(w == "to", "B-PII").when(w == "of", "B-PROFILE").otherwise("O")
+    first = turns.select("text", "tokens", F.transform("tokens", lambda w: F.lit("B-PII")).alias("tags"), F.lit(1).alias("at"))
+    told = first.unionByName(turns.select("text", "tokens", F.transform("tokens", tag).alias("tags"), F.lit(2).alias("at")))
+    return commands.candidate_report(annotated, told, ("NONE", "PII", "PROFILE"), "at")[0]

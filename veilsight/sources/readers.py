@@ -109,12 +109,15 @@ def sampled(rows: DataFrame, key: str, max_rows: int = 0, share: float = 1.0, se
     return bernoulli(rows.orderBy(key).limit(max_rows) if max_rows else rows, share, F.col(key), seed)
 
 
-def unite(*sources: DataFrame) -> DataFrame:
-    """All rows of sources with the columns they share."""
-    shared = [c for c in sources[0].columns if all(c in s.columns for s in sources)]
-    out = sources[0].select(*shared)
+def unite(*sources: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """All rows of sources that have the same columns, or the named columns of sources that have more."""
+    named = list(columns or sources[0].columns)
+    for s in sources:
+        if columns is None and set(s.columns) != set(named) or not set(named) <= set(s.columns):
+            raise ValueError(f"sources differ in columns {sorted(set(s.columns) ^ set(named))}: name those to keep")
+    out = sources[0].select(*named)
     for s in sources[1:]:
-        out = out.unionByName(s.select(*shared))
+        out = out.unionByName(s.select(*named))
     return out
 
 
