@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilsight.functions import stats, text
-from veilsight.operators import annotation, cooccurrence, diagnostics, evaluation, itemsets, phrases, ranking, risk, sampling, tokens
+from veilsight.operators import annotation, cooccurrence, diagnostics, evaluation, itemsets, phrases, ranking, risk, sampling, tagging, tokens
 from veilsight.plans import bindings, commands, sql
 from veilsight.session import checkpoint
 from veilsight.sources import runs
@@ -732,3 +732,13 @@ def candidate_confusion(s, d):
     first = turns.select("text", "tokens", F.transform("tokens", lambda w: F.lit("B-PII")).alias("tags"), F.lit(1).alias("at"))
     told = first.unionByName(turns.select("text", "tokens", F.transform("tokens", tag).alias("tags"), F.lit(2).alias("at")))
     return commands.candidate_report(annotated, told, ("NONE", "PII", "PROFILE"), "at")[0]
+
+
+@query()
+def tagger_agreement(s, d):
+    """The hidden Markov tagger, fitted on four fifths of the clauses as the word lists tag them, against the lists on the others."""
+    clauses = checkpoint(bindings.text_clauses(s, d).select(F.concat_ws(":", "uuid", "field", "clause_pos").alias("sentence"), "clause"))
+    tagged = clauses.select("sentence", F.posexplode(text.words(F.col("clause"))).alias("place", "token"))
+    tagged = checkpoint(tagged.withColumn("pos", text.part_of_speech(F.col("token"))))
+    apart = stats.draw(42, F.col("sentence")) < 0.2
+    return tagging.agreement(tagged.where(apart), tagging.fit(tagged.where(~apart)))
