@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from veilsight.functions import stats, text
 from veilsight.operators import annotation, cooccurrence, diagnostics, evaluation, itemsets, phrases, ranking, risk, sampling, tagging, tokens
 from veilsight.plans import bindings, commands, sql
-from veilsight.session import checkpoint
-from veilsight.sources import runs
+from veilsight.session import checkpoint, new_folder
+from veilsight.sources import readers, runs, sinks
+from veilsight.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -742,3 +743,97 @@ def tagger_agreement(s, d):
     tagged = checkpoint(tagged.withColumn("pos", text.part_of_speech(F.col("token"))))
     apart = stats.draw(42, F.col("sentence")) < 0.2
     return tagging.agreement(tagged.where(apart), tagging.fit(tagged.where(~apart)))
+
+
+# ---- commands, sinks and streams from end to end ---------------------------------
+
+
+@query(sql.BH + "SELECT token, freq_profile, freq_none, round(q, 6) AS q_value, CASE WHEN q <= 0.01 THEN '0.01' WHEN q <= 0.05 THEN '0.05' WHEN q <= 0.10 THEN '0.10' END AS alpha_tier FROM bh WHERE q <= 0.9")
+def method_a_command(s, d):
+    return commands.method_a(bindings.text_clauses(s, d), 0.9)[1].select("token", "freq_profile", "freq_none", F.round("q_value", 6).alias("q_value"), "alpha_tier")
+
+
+def _candidates(clauses):
+    return checkpoint(_vocabulary(clauses).withColumn("alpha_tier", F.lit("0.05")))
+
+
+@query(
+    sql.PHRASES
+    + """, h AS (SELECT phrase, count(*) AS freq, max((uuid, field, clause_pos, token))[4] AS head_token, array_to_string(list_sort(list_distinct(list(token))), '|') AS source_tokens FROM found WHERE phrase <> '' GROUP BY phrase)"""
+    + f", tk AS (SELECT list(t) AS ts FROM (SELECT token AS t FROM voc UNION SELECT {sql.lemma('token')} FROM voc))"
+    + " SELECT phrase, CAST(freq AS BIGINT) AS freq, head_token, source_tokens, CASE WHEN list_has_any(string_split(phrase, ' '), ts) THEN '0.05' END AS alpha_tier FROM h, tk"
+)
+def method_b_command(s, d):
+    clauses = checkpoint(bindings.text_clauses(s, d))
+    return commands.method_b(clauses, _candidates(clauses)).select("phrase", "freq", "head_token", "source_tokens", "alpha_tier")
+
+
+@query(
+    sql.PHRASES
+    + """, ds AS (SELECT uuid, field, clause_pos, list_sort(list_distinct(list(phrase))) AS t FROM found WHERE phrase <> '' GROUP BY uuid, field, clause_pos),
+cs AS (SELECT c.uuid, coalesce(t, CAST([] AS VARCHAR[])) AS t FROM cl c LEFT JOIN ds USING (uuid, field, clause_pos) WHERE label = 'PROFILE'), us AS (SELECT uuid, list_sort(list_distinct(flatten(list(t)))) AS t FROM cs GROUP BY uuid)
+SELECT 'clause' AS unit, array_to_string(t, '|') AS terms, CAST(count(*) AS BIGINT) AS cnt, round(count(*)::DOUBLE / (SELECT count(*) FROM cs), 9) AS probability FROM cs GROUP BY t
+UNION ALL SELECT 'uuid', array_to_string(t, '|'), CAST(count(*) AS BIGINT), round(count(*)::DOUBLE / (SELECT count(*) FROM us), 9) FROM us GROUP BY t"""
+)
+def cooccurrence_command(s, d):
+    clauses = checkpoint(bindings.text_clauses(s, d).where("label = 'PROFILE'"))
+    made = commands.cooccurrence(clauses, _candidates(clauses), units=("clause", "uuid"), pairs=False)
+    return joined(made.sets).select("unit", "terms", "cnt", F.round("probability", 9).alias("probability"))
+
+
+_GROWTH = """WITH u AS (SELECT o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS o, p_type FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+st AS (SELECT o, list_sort(list_distinct(list(p_type))) AS t FROM u GROUP BY o), e AS (SELECT o, unnest(t) AS x FROM st),
+x AS (SELECT 'terms' AS kind, o, x FROM e UNION ALL SELECT 'sets', o, array_to_string(t, '|') FROM st UNION ALL SELECT 'pairs', a.o, a.x || '|' || b.x FROM e a JOIN e b ON a.o = b.o AND a.x < b.x),
+f AS (SELECT kind, x, min(o) AS first FROM x GROUP BY ALL), l AS (SELECT kind, max(o) + 1 AS n FROM x GROUP BY kind),
+g AS (SELECT DISTINCT kind, CAST(floor(n * i / 10.0) AS BIGINT) AS n FROM l, range(1, 11) r(i)), pt AS (SELECT g.kind, g.n, count(*) AS seen FROM g JOIN f ON f.kind = g.kind AND first < g.n WHERE g.n > 0 GROUP BY g.kind, g.n)
+SELECT kind, round(regr_slope(ln(seen), ln(n)), 6) AS beta, round(exp(regr_intercept(ln(seen), ln(n))), 5) AS k FROM pt GROUP BY kind"""
+
+
+@query(_GROWTH)
+def benchmark_command(s, d):
+    """Growth of distinct terms, sets and pairs with the records."""
+    detail = checkpoint(bindings.basket_detail(s, d, "p_type"))
+    ordinal = ranking.running(detail.select("uuid").distinct(), [F.col("uuid").asc()], {"n": F.lit(1)}).withColumn("n", F.col("n") - 1)
+    out = commands.benchmark(detail, 1_000_000, checkpoint(ordinal))
+    return out.select("kind", F.round("beta", 6).alias("beta"), F.round("k", 5).alias("k"))
+
+
+@query(sql.basket("p_type") + sql.set_probability("field"))
+def sets_through_csv(s, d):
+    """Set probabilities written as CSV in their order and read back."""
+    made = cooccurrence.set_probabilities(cooccurrence.unit_sets(bindings.basket_detail(s, d, "p_type"), ("field",)))
+    at = new_folder(s, "sets-csv")
+    sinks.csv(sinks.ordered_sets(made.select("terms", "set_size", "cnt", F.round("probability", 8).alias("probability"))), at)
+    back = readers.csv(s, at, "terms_json string, set_size int, cnt long, probability double")
+    return joined(back.withColumn("terms", F.from_json("terms_json", "array<string>"))).select("terms", "set_size", "cnt", "probability")
+
+
+@query(sql.basket("p_type") + "SELECT uuid, CAST(count(*) AS BIGINT) AS clauses, CAST(sum(len(t)) AS BIGINT) AS terms FROM det GROUP BY uuid")
+def detail_through_json(s, d):
+    """The detail table appended as JSON lines, in two goes, and read back by its schema."""
+    at = new_folder(s, "detail-json")
+    made = checkpoint(bindings.basket_detail(s, d, "p_type"))
+    for part in (0, 1):
+        sinks.append_json(made.where(F.col("clause_pos") % 2 == part), at)
+    back = s.read.schema("uuid long, field string, clause_pos long, matched_terms array<string>").json(at)
+    return back.groupBy("uuid").agg(F.count("*").alias("clauses"), F.sum(F.size("matched_terms")).alias("terms"))
+
+
+@query(sql.SCORES + "SELECT provenance, CAST(count(*) AS BIGINT) AS n, CAST(sum(support) AS BIGINT) AS support, CAST(sum(size) AS BIGINT) AS size, CAST(sum(freq) AS BIGINT) AS freq, round(avg(y_risk), 4) AS y_risk FROM scored GROUP BY provenance")
+def samples_through_parquet(s, d):
+    """Risk samples in their columns and types as Parquet by provenance, and read back."""
+    at = new_folder(s, "samples")
+    rows = _scored(s, d).withColumn("split", F.lit("train")).withColumn("lds_weight", F.lit(1.0))
+    sinks.parquet(sinks.typed(sinks.samples(rows)), at, by=("provenance",))
+    back = s.read.parquet(at)
+    return back.groupBy("provenance").agg(F.count("*").alias("n"), F.sum("support").alias("support"), F.sum("size").alias("size"), F.sum("freq").alias("freq"), F.round(F.avg(F.col("y_risk").cast("double")), 4).alias("y_risk"))
+
+
+@query("SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 'PII' ELSE 'NONE' END AS label FROM orders")
+def label_stream(s, d):
+    """Every customer's first order labelled by a stream, once, with keys kept as state."""
+    at = new_folder(s, "labelled")
+    step = lambda rows: rows.select("o_custkey", F.when(F.col("o_custkey") % 3 == 0, "PII").otherwise("NONE").alias("label"))
+    # a pattern, as the table may be one file
+    resume.label_stream(s, f"{d}/orders.parque[t]", "o_orderkey long, o_custkey long", ["o_custkey"], step, at, new_folder(s, "labelling")).awaitTermination()
+    return s.read.parquet(at).select("o_custkey", "label")

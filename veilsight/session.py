@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,23 @@ def counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, Observation]
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in counts.items()]), seen
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df read back from the folder that spark.checkpoint.dir names (a temporary one only where it is unset and all tasks run in this process)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names (a temporary one only where it is unset and all tasks run in this process)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilsight-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df read back from the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
