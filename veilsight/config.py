@@ -15,9 +15,9 @@ NOT_TEXT = (
 LABELS = ("NONE", "PII", "PROFILE")
 TIERS = ("0.01", "0.05", "0.10")
 ALPHA = 0.05
-MIN_CLAUSE_WORDS = 3
-#: Sentences of more words are split at conjunctions too.
-LONG_SENTENCE_WORDS = 18
+#: Fixed: the least words of a clause, and the words beyond which a sentence is split at conjunctions too.
+MIN_CLAUSE_WORDS, LONG_SENTENCE_WORDS = 3, 18
+#: Fixed: defaults of the phrase commands.
 NP_GRAMMAR = "base"
 MIN_PHRASE_FREQ, MAX_PHRASE_FREQ = 3, 0
 #: Fixed: edges and grids of the diagnostics.
@@ -26,4 +26,5 @@ FREQ_GRID = (500_000, 300_000, 200_000, 100_000, 50_000, 30_000, 20_000, 10_000,
 SUPPORT1_GRID = (3, 5, 10, 20, 50)
 RATE_EDGES = ((50, 101), (30, 50), (20, 30), (10, 20), (5, 10), (1, 5), (0, 1))
 RARE_EDGES = ((1, 1), (2, 2), (3, 4), (5, 9), (10, 49), (50, 1_000_000_000))
+#: Fixed: words that count as prepositions in the diagnostics.
 PREPOSITIONS = ("of", "at", "in", "from", "for", "with", "on", "to", "by", "as", "near", "about", "into", "over", "under")

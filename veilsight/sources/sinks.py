@@ -49,8 +49,11 @@ def ordered_sets(df: DataFrame, count: str = "cnt") -> DataFrame:
     return df.orderBy(F.desc(count), json_key(F.col("terms")))
 
 
+#: Fixed: the columns of a risk sample, in order.
+SAMPLE_COLUMNS = (
+    "provenance", "text", "qi_json", "size", "support", "N", "y_risk", "y_bits", "y_bits_capped", "min_constituent_df", "y_combined", "lds_weight", "split", "tier_strictest", "freq",
+)
+
+
 def samples(df: DataFrame) -> DataFrame:
-    """The 15 columns of a risk sample, in order."""
-    return df.select(
-        "provenance", "text", "qi_json", "size", "support", "N", "y_risk", "y_bits", "y_bits_capped", "min_constituent_df", "y_combined", "lds_weight", "split", "tier_strictest", "freq"
-    )
+    return df.select(*SAMPLE_COLUMNS)
