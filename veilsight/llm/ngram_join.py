@@ -1,16 +1,15 @@
 """Jaccard join of word n-grams with several global orders.
 
-Under one global order of all tokens, two sets that are alike enough share a
-token among the first of each (their prefixes), and they share so many of these
-that what is left beyond the prefixes can make up the rest.  This holds under
-every order, so a candidate has to pass it under all of several orders before
-it is verified.  The first order is asked of all documents; the others only of
-those that it leaves.
-
-Each order puts tokens first that are rare in the corpus and among equally rare
-ones goes by a hash of its own.  How common a token is comes from a table of
-counters of fixed size, filled by all documents; an order may be any, so the
-counters' collisions cost candidates but lose none.
+Under a global order of all tokens, two sets that are alike enough share so many
+tokens among the first of each (their prefixes) that what is left beyond the
+prefixes can make up the rest.  This holds under every order, so a candidate has
+to pass it under all of several orders before it is verified.  Each order puts
+common tokens last and goes by a hash of its own among the others.
+
+First comes what one document can tell by itself: of a set that links to
+any other, a known number of tokens of a longer prefix, and then 85 (share)
+per cent of all, stand in other documents too.  Few documents of a corpus have
+that, and only their whole sets are made, ordered and compared.
 
 A token that stands in the prefixes of many documents is a hub.  No pairs are
 made of its documents: those that hubs join under an order share a label, and
@@ -29,18 +28,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilsight.llm.common import checkpoint
+from veilsight.llm.common import Scratch, checkpoint
 from veilsight.llm.near_dedup import Plan, _link_components, _link_giants, components, mix, shingles
 
-#: Counters, the counters of a row as they move, and tokens counted at a time.
-SLOTS, BLOCK, CHUNK = 1 << 22, 1 << 14, 1 << 20
-#: Bits of a rank below its class.
-CLASS_AT = np.uint64(58)
 #: Narrow tables are broadcast up to so many rows, which are counted first.
 BROADCAST_ROWS = 200_000
 
@@ -63,127 +59,194 @@ def prefix_size(n: np.ndarray, share: int) -> np.ndarray:
     return n - -(-n * share // 100) + 1
 
 
-def slot(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens) >> np.uint64(64 - 22)).astype(np.int64)
+def surplus(n: np.ndarray, share: int) -> np.ndarray:
+    """Tokens by which a set's longer prefix is longer than one without any in common with the other's may be.
 
+    Two sets that reach share have as many in common in their longer
+    prefixes as the smaller surplus: of the set whose prefix ends first, what
+    lies beyond is so much short of share.
+    """
+    return np.maximum(1, n * (100 - share) // 100)
 
-def ranks(tokens: np.ndarray, turn: int, classes: np.ndarray) -> np.ndarray:
-    """Places of tokens in an order: the class of their counter, then a hash that each turn draws anew."""
-    drawn = mix(tokens + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return (classes[slot(tokens)].astype(np.uint64) << CLASS_AT) | (drawn >> np.uint64(6))
 
+@dataclass(frozen=True)
+class Common:
+    """The most common tokens, sorted, and their classes from 1: one more for each doubling of their documents."""
 
-def _counters(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, n = np.zeros(SLOTS, np.int64), [], 0
-        for batch in batches:
-            for t in batch.column(0):
-                held.append(slot(shingles(t.as_py(), words)))
-                n += len(held[-1])
-                if n >= CHUNK:
-                    table += np.bincount(np.concatenate(held), minlength=SLOTS)
-                    held, n = [], 0
-        if n:
-            table += np.bincount(np.concatenate(held), minlength=SLOTS)
-        # counters beyond 16 bits in one task are as common as any
-        small = np.minimum(table, 65535).astype(np.uint16).reshape(-1, BLOCK)
-        at = np.flatnonzero(small.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([small[i].tobytes() for i in at], pa.binary())], ["block", "counts"])
+    tokens: np.ndarray
+    classes: np.ndarray
 
-    return run
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.tokens):
+            return np.zeros(len(tokens), np.uint64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.classes[at], np.uint64(0))
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks, which come one after another."""
-    block, total = None, None
+def ranks(tokens: np.ndarray, turn: int, common: Common | None = None) -> np.ndarray:
+    """Places of tokens in an order: their class, then a hash that each turn draws anew; they name the tokens too."""
+    drawn = mix(tokens + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(6)
+    return drawn if common is None else drawn | (common.of(tokens) << np.uint64(58))
 
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype(np.uint32).tobytes()], pa.binary())], ["block", "counts"])
 
-    for batch in batches:
-        for b, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b != block:
-                if block is not None:
-                    yield row()
-                block, total = b, np.zeros(BLOCK, np.int64)
-            total = np.minimum(total + np.frombuffer(counts, np.uint16), (1 << 32) - 1)
-    if block is not None:
-        yield row()
-
-
-def token_classes(texts: DataFrame, words: int) -> np.ndarray:
-    """The class of each counter: 0 up to about twice the mean, one more for each doubling.  A table of fixed size."""
-    blocks = texts.select("text").mapInArrow(_counters(words), "block int, counts binary")
-    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_add_up, "block int, counts binary").collect()
-    table = np.zeros((SLOTS // BLOCK, BLOCK), np.uint32)
-    for r in found:
-        table[r.block] = np.frombuffer(r.counts, np.uint32)
-    table = table.ravel()
-    level = 2 * table.mean() + 8
-    return np.clip(np.floor(np.log2(np.maximum(table / level, 1))), 0, 30).astype(np.uint8)
-
-
-def _prefixes(plan: Orders, classes: Broadcast):
-    """Rows' sizes, identities and prefixes under the first order."""
+def first(placed: np.ndarray, size: int) -> np.ndarray:
+    """The first so many of a set's places, in order."""
+    size = min(size, len(placed))
+    return np.sort(np.partition(placed, size - 1)[:size])
+
+
+def _identities(plan: Orders):
+    """Rows' sizes and identities, and the longer prefixes under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, first, second, prefix = [], [], [], []
+            size, one, two, prefix = [], [], [], []
             for t in batch.column(2):
                 tokens = shingles(t.as_py(), plan.words)
-                size.append(len(tokens))
-                if len(tokens):
+                n = len(tokens)
+                size.append(n)
+                if n:
                     digest = xxhash.xxh3_128_digest(tokens.tobytes())
-                    first.append(int.from_bytes(digest[:8], "little", signed=True))
-                    second.append(int.from_bytes(digest[8:], "little", signed=True))
-                    prefix.append(_first(ranks(tokens, 1, classes.value), plan.share).tobytes())
+                    one.append(int.from_bytes(digest[:8], "little", signed=True))
+                    two.append(int.from_bytes(digest[8:], "little", signed=True))
+                    prefix.append(first(ranks(tokens, 1), int(prefix_size(n, plan.share) - 1 + surplus(n, plan.share))).tobytes())
                 else:
-                    for column in (first, second, prefix):
+                    for column in (one, two, prefix):
                         column.append(None)
-            columns = [pa.array(size, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["key", "text_hash", "n", "h1", "h2", "prefix"])
+            columns = [pa.array(c, pa.int64()) for c in (size, one, two)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(prefix, pa.binary())], ["key", "text_hash", "n", "h1", "h2", "prefix"])
 
     return run
 
 
-def _first(placed: np.ndarray, share: int) -> np.ndarray:
-    p = int(prefix_size(np.int64(len(placed)), share))
-    return np.sort(np.partition(placed, p - 1)[:p])
+SENT = "token long, cid long, n long"
 
 
-POSTING = "turn int, rank long, cid long, n long, last long"
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens on their way to where all documents' tokens meet.
 
+    A token that several documents of a batch have goes once, with their
+    number and no document; each document's number of such tokens goes along under
+    the document's name.
+    """
+    for batch in batches:
+        kept = batch.filter(batch.column(0).is_valid())
+        if not kept.num_rows:
+            continue
+        cid = kept.column(0).to_numpy()
+        sets = [np.frombuffer(t, np.uint64) for t in kept.column(1).to_pylist()]
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        tokens, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        alone = n[at] == 1
+        here = np.bincount(of[~alone], minlength=len(sets))
+        single, known, told = tokens[at[alone]].view(np.int64), tokens[n > 1].view(np.int64), np.flatnonzero(here)
+        token = pa.array(np.concatenate([single, known, cid[told]]))
+        document = pa.concat_arrays([pa.array(cid[of[alone]]), pa.nulls(len(known), pa.int64()), pa.array(cid[told])])
+        number = pa.concat_arrays([pa.nulls(len(single), pa.int64()), pa.array(n[n > 1].astype(np.int64)), pa.array(here[told].astype(np.int64))])
+        yield pa.RecordBatch.from_arrays([token, document, number], ["token", "cid", "n"])
+
+
+def _meet(many: int):
+    """Documents with how many of their tokens others have, and tokens of more than many documents, from tokens in their order.
+
+    A token has a row a batch of its sender's at most, so what is kept of one from batch
+    to batch is a few numbers: its documents so far, and the one document if there is no more.
+    """
 
-def _posting_rows(turn: list[int], cid: list[int], n: list[int], prefixes: list[np.ndarray]) -> pa.RecordBatch:
-    at = np.repeat(np.arange(len(cid)), [len(p) for p in prefixes])
-    rank = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
-    last = np.array([p[-1] for p in prefixes], np.uint64)
-    columns = [np.array(turn, np.int32)[at], rank.view(np.int64), np.array(cid, np.int64)[at], np.array(n, np.int64)[at], last.view(np.int64)[at]]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["turn", "rank", "cid", "n", "last"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, so_far, lone = None, 0, None
 
+        def rows(cid: np.ndarray, n: np.ndarray, token: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+            documents, common = [pa.array(x.astype(np.int64)) for x in (cid, n)], [pa.array(x.astype(np.int64)) for x in (token, df)]
+            columns = [pa.concat_arrays([x, pa.nulls(len(token), pa.int64())]) for x in documents] + [pa.concat_arrays([pa.nulls(len(cid), pa.int64()), x]) for x in common]
+            return pa.RecordBatch.from_arrays(columns, ["cid", "n", "token", "df"])
+
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            told = pc.and_(batch.column(1).is_valid(), batch.column(2).is_valid())
+            own = batch.filter(told)
+            yield rows(own.column(1).to_numpy(), own.column(2).to_numpy(), none, none)
+            own = batch.filter(pc.invert(told))
+            if not own.num_rows:
+                continue
+            token, named = own.column(0).to_numpy(), own.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cid, n = own.column(1).fill_null(0).to_numpy(), own.column(2).fill_null(1).to_numpy()
+            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            df = np.add.reduceat(n, starts)
+            goes_on = last == token[0]
+            ended = (none, none) if goes_on or so_far <= many else (np.array([last]), np.array([so_far]))
+            if goes_on:
+                df[0] += so_far
+            met = np.repeat(df, np.diff(np.append(starts, len(token)))) > 1
+            found = cid[met & named]
+            if goes_on and lone is not None:
+                found = np.append(found, lone)
+            found, times = np.unique(found, return_counts=True)
+            # the last token may go on in the next batch
+            last, so_far = int(token[-1]), int(df[-1])
+            lone = int(cid[-1]) if so_far == 1 and named[-1] else None
+            over = np.flatnonzero(df[:-1] > many)
+            yield rows(found, times, np.append(token[starts[over]], ended[0]), np.append(df[over], ended[1]))
+        if so_far > many:
+            yield rows(none, none, np.array([last]), np.array([so_far]))
+
+    return run
 
-def _first_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 512):
-            cid, n, prefix = (c.to_pylist() for c in batch.slice(i, 512).columns)
-            yield _posting_rows([1] * len(cid), cid, n, [np.frombuffer(p, np.uint64) for p in prefix])
 
+def shared_tokens(sets: DataFrame, many: int) -> DataFrame:
+    """Rows cid, n: of a document, so many tokens of its set that others have too (to be added up); and token, df: tokens that more than many documents have.
+
+    What a task knows of already isn't sent again for each document, so a
+    token of a third of all documents goes once a batch.
+    """
+    sent = sets.select("cid", "tokens").mapInArrow(_send, SENT).repartition("token").sortWithinPartitions("token")
+    return sent.mapInArrow(_meet(many), "cid long, n long, token long, df long")
+
+
+def _shared(met: DataFrame) -> DataFrame:
+    return met.where("cid IS NOT NULL").groupBy("cid").agg(F.sum("n").alias("shared"))
+
+
+def common_tokens(met: DataFrame, many: int, most: int = BROADCAST_ROWS) -> Common:
+    """The most common of the tokens that more than many documents have, so many at most."""
+    top = met.where("token IS NOT NULL").select("token", "df").orderBy(F.desc("df"), "token").limit(most).toPandas()
+    order = np.argsort(top["token"].to_numpy(np.int64).view(np.uint64))
+    df = top["df"].to_numpy(np.int64)[order]
+    classes = np.minimum(np.floor(np.log2(np.maximum(df / many, 1))) + 1, 30).astype(np.uint64)
+    return Common(top["token"].to_numpy(np.int64).view(np.uint64)[order], classes)
+
+
+POSTING = "turn int, rank long, cid long"
+
+
+def _prefixes(plan: Orders, common: Broadcast):
+    """A set's size, prefix and the rank that ends it, under each order."""
 
-def _later_postings(plan: Orders, classes: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows: tuple[list, ...] = ([], [], [], [])
-                for cid, raw in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
-                    tokens = np.frombuffer(raw, np.uint64)
-                    for turn in range(2, plan.orders + 1):
-                        for column, v in zip(rows, (turn, cid, len(tokens), _first(ranks(tokens, turn, classes.value), plan.share)), strict=True):
-                            column.append(v)
-                yield _posting_rows(*rows)
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for cid, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = np.frombuffer(raw, np.uint64)
+                for turn in range(1, plan.orders + 1):
+                    own = first(ranks(tokens, turn, common.value), int(prefix_size(len(tokens), plan.share)))
+                    for column, v in zip(rows, (turn, cid, len(tokens), int(own[-1]), own.tobytes()), strict=True):
+                        column.append(v)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["turn", "cid", "n", "last", "prefix"])
 
     return run
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            turn, cid, prefix = batch.slice(i, 512).columns
+            sets = [np.frombuffer(p, np.uint64) for p in prefix.to_pylist()]
+            at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            columns = [turn.to_numpy()[at], np.concatenate(sets).view(np.int64), cid.to_numpy()[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["turn", "rank", "cid"])
+
+
 def _pairs(share: int, most: int = 1 << 18):
     """Pairs in each list, and how many tokens of their prefixes they have to share."""
     corner: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -223,25 +286,27 @@ def _pairs(share: int, most: int = 1 << 18):
     return run
 
 
-def _filter(postings: DataFrame, plan: Orders) -> tuple[DataFrame, DataFrame]:
-    """Of some orders: pairs turn, a, b that pass by short lists, and turn, cid, label of documents that hubs join."""
-    held = checkpoint(postings.groupBy("turn", "rank").agg(F.count("*").alias("df")).where("df > 1"))
-    n_held, n_hubs = held.agg(F.count("*"), F.count_if(F.col("df") > plan.hub)).first()
-    small = held.where(F.col("df") <= plan.hub).select("turn", "rank")
-    small = F.broadcast(small) if n_held - n_hubs <= BROADCAST_ROWS else small
+def _filter(postings: DataFrame, facts: DataFrame, plan: Orders) -> tuple[DataFrame, DataFrame]:
+    """Pairs turn, a, b that pass an order by short lists, and turn, cid, label of documents that hubs join.
+
+    facts has turn, cid, n and last, the rank that ends the prefix.
+    """
+    held = checkpoint(postings.groupBy("rank").agg(F.count("*").alias("df")).where("df > 1"))
+    matched = checkpoint(postings.join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, "rank"))
+    listed = matched.where(F.col("df") <= plan.hub).select("turn", "rank", "cid").join(facts, ["turn", "cid"])
     # a list has plan.hub members at most
-    lists = postings.join(small, ["turn", "rank"]).groupBy("turn", "rank").agg(F.collect_list(F.struct("cid", "n", "last")).alias("members"))
+    lists = listed.groupBy("rank").agg(F.first("turn").alias("turn"), F.collect_list(F.struct("cid", "n", "last")).alias("members"))
     pairs = lists.select("turn", "members").mapInArrow(_pairs(plan.share), "turn int, a long, b long, need long")
-    pairs = pairs.groupBy("turn", "a", "b").agg(F.count("*").alias("m"), F.max("need").alias("need")).where("m >= need").select("turn", "a", "b")
-    hubs = held.where(F.col("df") > plan.hub).select("turn", "rank")
-    hubs = F.broadcast(hubs) if n_hubs <= BROADCAST_ROWS else hubs
+    pairs = checkpoint(pairs.groupBy("turn", "a", "b").agg(F.count("*").alias("m"), F.max("need").alias("need")).where("m >= need").select("turn", "a", "b"))
     # documents with the same hubs are one node, so that a large group moves as few
-    own = postings.join(hubs, ["turn", "rank"]).groupBy("turn", "cid").agg(F.array_sort(F.collect_list("rank")).alias("hubs"))
+    own = matched.where(F.col("df") > plan.hub).groupBy("turn", "cid").agg(F.array_sort(F.collect_list("rank")).alias("hubs"))
     own = checkpoint(own.select("turn", "cid", "hubs", F.xxhash64("turn", "hubs").alias("node")))
+    if own.isEmpty():
+        return pairs, own.select("turn", "cid", F.col("node").alias("label"))
     edges = own.select("turn", "node", "hubs").dropDuplicates(["node"]).select(F.col("node").alias("a"), "turn", F.explode("hubs").alias("hub"))
     joined = components(edges.select("a", F.xxhash64("turn", "hub", F.lit(7)).alias("b")))
     labels = own.select("turn", "cid", "node").join(joined.withColumnRenamed("cid", "node"), "node").select("turn", "cid", F.col("comp").alias("label"))
-    return checkpoint(pairs), checkpoint(labels)
+    return pairs, checkpoint(labels)
 
 
 def _sets(words: int):
@@ -290,23 +355,35 @@ def ngram_components(df: DataFrame, key: str = "doc_id", text: str = "text", pla
     plan = plan or Orders()
     texts = df.select(df[f"`{key}`"].alias("key"), F.xxhash64(df[f"`{text}`"]).alias("text_hash"), df[f"`{text}`"].alias("text"))
     kind = dict(texts.dtypes)["key"]
-    classes = df.sparkSession.sparkContext.broadcast(token_classes(texts, plan.words))
-    seen = checkpoint(texts.mapInArrow(_prefixes(plan, classes), f"key {kind}, text_hash long, n long, h1 long, h2 long, prefix binary"))
+    scratch = Scratch(df.sparkSession)
+    wide = scratch.keep(texts.mapInArrow(_identities(plan), f"key {kind}, text_hash long, n long, h1 long, h2 long, prefix binary"))
+    seen = checkpoint(wide.drop("prefix"))
     least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("least")
-    reps = seen.where("n > 0").groupBy("h1", "h2").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    reps = checkpoint(reps.select(F.col("h1").alias("cid"), F.col("least.key").alias("first"), F.col("least.text_hash").alias("first_hash"), "n", "prefix"))
-    pairs, labels = _filter(reps.select("cid", "n", "prefix").mapInArrow(_first_postings, POSTING), plan)
-
-    left = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(labels.select("cid")).distinct()
-    wanted = checkpoint(reps.join(left, "cid").select("cid", "first", "first_hash"))
+    reps = seen.where("n > 0").groupBy("h1", "h2").agg(least, F.first("n").alias("n"))
+    reps = checkpoint(reps.select(F.col("h1").alias("cid"), F.col("least.key").alias("first"), F.col("least.text_hash").alias("first_hash"), "n"))
+
+    # the smallest set that a set may link to has the smaller surplus
+    other = F.ceil(F.col("n") * plan.share / 100)
+    enough = F.greatest(F.lit(1), F.floor(other * (100 - plan.share) / 100))
+    hopeful = _shared(shared_tokens(wide.select(F.col("h1").alias("cid"), F.col("prefix").alias("tokens")), plan.hub))
+    wanted = checkpoint(reps.join(hopeful, "cid").where(F.col("shared") >= enough).select("cid", "first", "first_hash"))
+    scratch.clear()
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     same = texts["key"].eqNullSafe(near["first"]) & (texts["text_hash"] == near["first_hash"])
     sets = texts.join(near, same).select("cid", "text").mapInArrow(_sets(plan.words), "cid long, tokens binary")
-    sets = checkpoint(sets.dropDuplicates(["cid"]))
-
-    if plan.orders > 1:
-        more, further = _filter(sets.mapInArrow(_later_postings(plan, classes), POSTING), plan)
-        pairs, labels = pairs.unionByName(more), labels.unionByName(further)
+    # rows that are alike in key and text give their set more than once
+    twice = not seen.where("n > 0").groupBy("key", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+    sets = scratch.keep(sets.dropDuplicates(["cid"]) if twice else sets)
+    met = scratch.keep(shared_tokens(sets, plan.hub))
+    common = df.sparkSession.sparkContext.broadcast(common_tokens(met, plan.hub))
+    covered = checkpoint(_shared(met).join(reps.select("cid", "n"), "cid").where(100 * F.col("shared") >= plan.share * F.col("n")).select("cid"))
+    sets = checkpoint(sets.join(F.broadcast(covered) if covered.count() <= BROADCAST_ROWS else covered, "cid").select("cid", "tokens"))
+    scratch.clear()
+
+    prefixes = scratch.keep(sets.mapInArrow(_prefixes(plan, common), "turn int, cid long, n long, last long, prefix binary"))
+    facts = checkpoint(prefixes.drop("prefix"))
+    pairs, labels = _filter(prefixes.select("turn", "cid", "prefix").mapInArrow(_postings, POSTING), facts, plan)
+    scratch.clear()
     comps = components(_intersect(pairs, labels, plan.orders))
     rows = checkpoint(sets.join(comps, "cid").select("comp", "cid", "tokens"))
     held = checkpoint(rows.groupBy("comp").agg(F.count("*").alias("docs"), F.sum(F.octet_length("tokens") / 8).alias("tokens")))
