@@ -16,7 +16,7 @@ from veilsight.config import LONG_SENTENCE_WORDS, MIN_CLAUSE_WORDS, NOT_TEXT
 
 #: Fixed patterns of the clause rules: what ends a sentence, what is no part of a clause's ends, words that begin another clause.
 SENTENCE_END = r"[\n.!?;]+"
-EDGE = r"\s,;:.\-"
+EDGES = " \t\n\x0b\f\r,;:.-"
 CONJUNCTIONS = "and|but|while|although|though|whereas|however|because|since|when|after|before"
 #: Characters that no text has, between parts and for a letter set aside.
 MARK, ASIDE = "\ufdd0", "\ufdd1"
@@ -41,12 +41,12 @@ ADJECTIVE_ENDS = ("able", "ible", "al", "ful", "ic", "ive", "less", "ous", "ish"
 
 def normalize_clause(c: Column) -> Column:
     """Without blanks and marks at the ends, and with single spaces."""
-    return F.regexp_replace(_stripped(c), r"\s+", " ")
+    return single_spaced(F.btrim(c, F.lit(EDGES)))
 
 
-def _stripped(c: Column) -> Column:
-    # a run is tried from its first character only, so that long ones take time in proportion
-    return F.regexp_replace(c, f"^[{EDGE}{MARK}]++|(?<![{EDGE}{MARK}])[{EDGE}{MARK}]++$", "")
+def single_spaced(c: Column) -> Column:
+    # single spaces stay as they are, so nothing is put in for them
+    return F.regexp_replace(c, r"[\t\n\x0B\f\r]\s*|\s{2,}", " ")
 
 
 def word_count(c: Column) -> Column:
@@ -88,29 +88,31 @@ def dedupe(array: Column) -> Column:
     return let(F.array_compact(array), whole)
 
 
+def _tidy(parts: Column) -> Column:
+    return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(EDGES))), lambda x: x != "")
+
+
+def _spaced_words(c: Column) -> Column:
+    """Words of a text with single spaces."""
+    return F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit(""))) + 1
+
+
 def split_long(c: Column, word_boundary: bool = False) -> Column:
-    """Parts between conjunctions, repeats and all.  Without word_boundary a conjunction may also end a longer word, as in b/and played."""
+    """Parts of a tidy sentence between conjunctions, repeats and all.  Without word_boundary a conjunction may also end a longer word, as in b/and played."""
     apart = r"(?<=\s|\s,)" if word_boundary else ""
-    cut = _stripped(F.regexp_replace(c, rf"(?i)(?:\G|(?<![{EDGE}]))[{EDGE}]*+{apart}(?:{CONJUNCTIONS})\s[{EDGE}]*+", MARK))
-    return F.when(F.contains(cut, F.lit(MARK)), F.split(cut, f"{MARK}+")).otherwise(F.array(c))
+    return let(_tidy(F.split(c, rf"(?i){apart}(?:{CONJUNCTIONS})\s+", -1)), lambda p: F.when(F.size(p) <= 1, F.array(c)).otherwise(p))
 
 
 def rule_clauses(text: Column, word_boundary: bool = False) -> Column:
-    """Sentences, the long ones split at conjunctions; repeats left out.
-
-    Ends are marked and tidied over the whole text at once, so that only long
-    sentences are looked at one by one.
-    """
-    cut = F.regexp_replace(text, SENTENCE_END, MARK)
-    cut = F.regexp_replace(cut, f"(?<![{EDGE}])[{EDGE}]*+{MARK}[{EDGE}{MARK}]*+", MARK)
-    sentences = F.filter(F.split(normalize_clause(cut), MARK), lambda s: s != "")
-    parts = F.transform(sentences, lambda s: F.when(word_count(s) > LONG_SENTENCE_WORDS, split_long(s, word_boundary)).otherwise(F.array(s)))
+    """Sentences, the long ones split at conjunctions; repeats left out."""
+    cut = single_spaced(F.regexp_replace(text, SENTENCE_END, MARK))
+    parts = F.transform(_tidy(F.split(cut, MARK, -1)), lambda s: F.when(_spaced_words(s) > LONG_SENTENCE_WORDS, split_long(s, word_boundary)).otherwise(F.array(s)))
     return dedupe(F.flatten(parts))
 
 
 def keep_long_enough(clauses: Column, words: int = MIN_CLAUSE_WORDS) -> Column:
-    """Clauses of so many words at least; all of them if none is."""
-    enough = lambda a: F.filter(a, lambda c: word_count(c) >= words)
+    """Clauses, with single spaces, of so many words at least; all of them if none is."""
+    enough = lambda a: F.filter(a, lambda c: _spaced_words(c) >= words)
     return let(clauses, lambda a: let(enough(a), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(a)))
 
 
