@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -14,6 +15,9 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Narrow rows that a file of a scratch table holds at least, and the files that small tables have.
+FILE_ROWS, FEWEST_FILES = 20_000, 16
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,6 +84,22 @@ def number_copies(rows: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     return single.unionByName(unfolded)
 
 
+def give_back() -> None:
+    """In a worker: returns to the system what its earlier tasks have left unused.
+
+    Workers serve stage after stage, and their allocators keep what they have freed.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc's own
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -97,10 +117,11 @@ class Scratch:
         ensure_checkpoint_dir(spark)
         self.spark, self.folder, self.n = spark, f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df as a written table; rows, about how many it has if known, keeps small ones in few files."""
         self.n += 1
         at = f"{self.folder}/{self.n}"
-        df.write.parquet(at)
+        (df if rows is None else df.coalesce(max(FEWEST_FILES, rows // FILE_ROWS))).write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def clear(self) -> None:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilsight.llm.common import Scratch, checkpoint
+from veilsight.llm.common import Scratch, checkpoint, give_back
 
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Coordinates of the bits, of which the first are the tokens that trees branch by.
@@ -40,6 +40,8 @@ SHIFTS = _GEN.integers(0, 1 << 32, BITS, dtype=np.uint32)
 CHUNK = 512
 #: Tables of narrow rows are broadcast up to so many rows, which are counted first.
 BROADCAST_ROWS = 200_000
+#: Links, two numbers each, that one task joins up at most.
+LOCAL_LINKS = 200_000
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,7 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             size, first, second, drawn, bits = [], [], [], [], []
             for t in batch.column(2):
@@ -261,24 +264,25 @@ def candidate_links(reps: DataFrame, plan: Plan) -> DataFrame:
     nodes = keep(reps.select("cid", "sketch").mapInArrow(_roots(plan.trees, plan.second), "path long, cid long, held long"))
     links, place = None, F.xxhash64("cid", "path")
     for level in range(1, plan.levels + 1):
+        n_nodes = nodes.count()
         counts = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min(place).alias("least"), (F.min("held") != F.max("held")).alias("apart"))
-        counts = keep(counts.where("n > 1 AND apart").drop("apart"))
+        counts = keep(counts.where("n > 1 AND apart").drop("apart"), n_nodes)
         n_small, n_large = counts.agg(F.count_if(F.col("n") <= plan.node), F.count_if(F.col("n") > plan.node)).first()
-        small = keep(_with(nodes, counts.where(F.col("n") <= plan.node).select("path"), "path", n_small))
+        small = keep(_with(nodes, counts.where(F.col("n") <= plan.node).select("path"), "path", n_small), n_nodes)
         members = sketched(small, small.count(), "bits").groupBy("path").agg(F.collect_list(F.struct("cid", "bits", "held")).alias("members")).select("members")
         found = members.mapInArrow(_compare_nodes(plan.agree), "a long, b long")
         if n_large:
-            large = keep(_with(nodes, counts.where(F.col("n") > plan.node).select("path", "least"), "path", n_large))
+            large = keep(_with(nodes, counts.where(F.col("n") > plan.node).select("path", "least"), "path", n_large), n_nodes)
             # the row with the least hash is the pivot
             pivots = sketched(large.where(place == F.col("least")).select("path", "cid"), n_large, "bits")
-            pivots = keep(pivots.select("path", F.col("cid").alias("pivot"), F.col("bits").alias("pivot_bits")))
+            pivots = keep(pivots.select("path", F.col("cid").alias("pivot"), F.col("bits").alias("pivot_bits")), n_large)
             judged = _with(sketched(large, large.count(), "sketch", "bits"), pivots, "path", n_large)
-            nodes = keep(judged.select("path", "cid", "held", "pivot", "sketch", "bits", "pivot_bits").mapInArrow(_descend(plan), "path long, cid long, held long"))
+            nodes = keep(judged.select("path", "cid", "held", "pivot", "sketch", "bits", "pivot_bits").mapInArrow(_descend(plan), "path long, cid long, held long"), 2 * n_nodes)
             found = found.unionByName(nodes.where("path IS NULL").select(F.col("held").alias("a"), F.col("cid").alias("b")))
             nodes = nodes.where("path IS NOT NULL")
             if level == plan.levels:  # what is still large is not lost: all of a node become its pivot's candidates
                 found = found.unionByName(judged.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-        found = keep(found.distinct())
+        found = keep(found.distinct(), n_nodes)
         links = found if links is None else links.unionByName(found)
         if not n_large:
             break
@@ -287,15 +291,33 @@ def candidate_links(reps: DataFrame, plan: Plan) -> DataFrame:
     return links
 
 
-def components(links: DataFrame) -> DataFrame:
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [np.stack([batch.column(i).to_numpy() for i in range(2)]) for batch in batches if batch.num_rows]
+    if ends:
+        names, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+        left, right = at.reshape(2, -1).tolist()
+        joined = Union(len(names))
+        for a, b in zip(left, right, strict=True):
+            joined.join(a, b)
+        # names are sorted, so the least place is the least name
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[[joined.find(i) for i in range(len(names))]])], ["cid", "comp"])
+
+
+def components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """cid and comp, the least cid that links a, b reach; a row for each cid with a link.
 
-    Labels fall to the least of the neighbours' and then to their label's own
-    label, so that long chains take few rounds.
+    Links are counted; up to local_links narrow ones are joined up in one task.
+    Beyond, labels fall to the least of the neighbours' and then to their
+    label's own label, so that long chains take few rounds.
     """
     scratch = Scratch(links.sparkSession)
     keep = scratch.keep
-    both = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    links = keep(links.select("a", "b"))
+    if links.count() <= local_links:
+        found = checkpoint(links.repartition(1).mapInArrow(_join_up, "cid long, comp long"))
+        scratch.clear()
+        return found
+    both = keep(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = keep(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.min("a"), F.min("b")).alias("comp")))
     while True:
         heard = both.join(labels.select(F.col("cid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("near"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilsight.llm.common import checkpoint
+from veilsight.llm.common import checkpoint, give_back
 
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
@@ -247,6 +247,7 @@ def tokenize(df: DataFrame, tokenizer: str, text: str = "text", capacity: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        give_back()
         if tokenizer not in _IDS:  # a worker's words serve its later tasks too
             _IDS[tokenizer] = Ids(tokenizer)
         ids_of = _IDS[tokenizer].of
