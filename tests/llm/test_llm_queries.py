@@ -1,10 +1,12 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
 import os
+from collections import Counter
 
 import pytest
 from conftest import SF, compare
 
+import corpus_pipeline
 from veilsight.llm import queries, stages
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no sample tables here")
@@ -32,3 +34,20 @@ def test_pipeline_stages(spark):
     assert packed.where("piece = 0").count() == mixed.count()
     for x in (clean, lines, near, mixed):
         x.unpersist()
+
+
+def test_the_pipeline_runs_its_stages_one_after_another(spark, tmp_path):
+    got = corpus_pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    facts = ("doc_id", "piece", "start", "length", "ids_crc32")
+    want = Counter(tuple(r) for r in docs.select(*facts).collect())
+    assert Counter(tuple(r) for r in got.select(*facts).collect()) == want and want
+    # sequences hold 2048 tokens at most, laid end to end
+    ends = {}
+    for r in got.orderBy("sequence_id", "offset").collect():
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 2048
