@@ -300,3 +300,16 @@ def test_case_is_folded_as_in_full(spark):
     bad = df.select("c", text.fold(F.col("c")).alias("a"), text.fold(F.col("folded")).alias("b")).where("a <> b").collect()
     assert not bad, bad
     assert spark.createDataFrame([("I", "ı")], "a string, b string").where(text.fold(F.col("a")) == text.fold(F.col("b"))).count() == 0
+
+
+def test_clauses_are_folded_as_columns_are(spark):
+    rnd = random.Random(8)
+    letters = ["ß", "SS", "ﬁ", "FI", "İ", "i̇", "ı", "I", "Ω", "Ω", "ς", "σ", "K", "k", "Å", "å", "ẞ", "ϴ", "θ", "a", "A", "é", "É", "\x1c", "\x85"]
+    rows = [(["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 3))) for _ in range(12)],) for _ in range(300)]
+    got = spark.createDataFrame(rows, "w array<string>").select("w", text.rule_clauses(F.array_join("w", ".")).alias("c"), text.dedupe(F.col("w")).alias("d")).collect()
+    assert [r["c"] for r in got] == [r["d"] for r in got]
+
+
+def test_a_clause_is_split_in_one_pass(spark):
+    plan = spark.range(1).select(text.RuleSplitter().split(F.lit("a b c")).alias("c"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from typing import Protocol
@@ -23,6 +24,10 @@ MARK, ASIDE = "\ufdd0", "\ufdd1"
 #: Fixed: signs that are upper case already, and the letters that they fold to.
 SIGNS, LETTERS = "\u03f4\u1e9e\u2126\u212a\u212b", "\u03b8\u00df\u03c9\u006b\u00e5"
 CLAUSE_MARKS_JA = "[。、]+"
+#: The same for one text in Python: blanks and case are those of ASCII, as in Spark's patterns.
+_SENTENCE_END, _BLANKS = re.compile(SENTENCE_END), re.compile(r"[\t\n\x0B\f\r]\s*|\s{2,}", re.A)
+_CONJUNCTION = [re.compile(rf"{apart}(?:{CONJUNCTIONS})\s+", re.A | re.I) for apart in ("", r"(?:(?<=\s)|(?<=\s,))")]
+_APART, _RARE = str.maketrans(SIGNS + "ı", LETTERS + ASIDE), re.compile(f"[{SIGNS}\u0130ı]")
 
 #: Fixed word lists of the default tagger.
 DETERMINERS = ("a", "an", "the")
@@ -88,32 +93,44 @@ def dedupe(array: Column) -> Column:
     return let(F.array_compact(array), whole)
 
 
-def _tidy(parts: Column) -> Column:
-    return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(EDGES))), lambda x: x != "")
+def _folded(t: str) -> str:
+    """`fold` of one text."""
+    return t.upper() if t.isascii() or not _RARE.search(t) else t.replace("\u0130", "i\u0307").translate(_APART).upper()
 
 
-def _spaced_words(c: Column) -> Column:
-    """Words of a text with single spaces."""
-    return F.char_length(c) - F.char_length(F.replace(c, F.lit(" "), F.lit(""))) + 1
+def _tidy(parts: list[str]) -> list[str]:
+    return [x for p in parts if (x := p.strip(EDGES))]
 
 
-def split_long(c: Column, word_boundary: bool = False) -> Column:
-    """Parts of a tidy sentence between conjunctions, repeats and all.  Without word_boundary a conjunction may also end a longer word, as in b/and played."""
-    apart = r"(?<=\s|\s,)" if word_boundary else ""
-    return let(_tidy(F.split(c, rf"(?i){apart}(?:{CONJUNCTIONS})\s+", -1)), lambda p: F.when(F.size(p) <= 1, F.array(c)).otherwise(p))
+def clauses_of(t: str | None, word_boundary: bool = False, words: int = 0) -> list[str] | None:
+    """Clauses of one text: sentences, the long ones split at conjunctions; the first of those that are equal but for case.
 
+    Without word_boundary a conjunction may also end a longer word, as in
+    b/and played.  Clauses of fewer words than given are left out, unless all are.
+    """
+    if t is None:
+        return None
+    found: dict[str, str] = {}
+    for s in _tidy(_BLANKS.sub(" ", _SENTENCE_END.sub(MARK, t)).split(MARK)):
+        parts = _tidy(_CONJUNCTION[word_boundary].split(s)) if s.count(" ") >= LONG_SENTENCE_WORDS else []
+        for x in parts if len(parts) > 1 else [s]:
+            found.setdefault(_folded(x), x)
+    out = list(found.values())
+    return [x for x in out if x.count(" ") + 1 >= words] or out
 
-def rule_clauses(text: Column, word_boundary: bool = False) -> Column:
-    """Sentences, the long ones split at conjunctions; repeats left out."""
-    cut = single_spaced(F.regexp_replace(text, SENTENCE_END, MARK))
-    parts = F.transform(_tidy(F.split(cut, MARK, -1)), lambda s: F.when(_spaced_words(s) > LONG_SENTENCE_WORDS, split_long(s, word_boundary)).otherwise(F.array(s)))
-    return dedupe(F.flatten(parts))
 
+def _clauses(c: Column, word_boundary: bool, words: int) -> Column:
+    @arrow_udf("array<string>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([clauses_of(t, word_boundary, words) for t in column.to_pylist()], pa.list_(pa.string()))
+
+    return run(c)
 
-def keep_long_enough(clauses: Column, words: int = MIN_CLAUSE_WORDS) -> Column:
-    """Clauses, with single spaces, of so many words at least; all of them if none is."""
-    enough = lambda a: F.filter(a, lambda c: _spaced_words(c) >= words)
-    return let(clauses, lambda a: let(enough(a), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(a)))
+
+def rule_clauses(text: Column, word_boundary: bool = False) -> Column:
+    """Sentences, the long ones split at conjunctions; repeats left out."""
+    return _clauses(text, word_boundary, 0)
 
 
 class ClauseSplitter(Protocol):
@@ -127,7 +144,7 @@ class RuleSplitter:
         self.word_boundary = word_boundary
 
     def split(self, text: Column) -> Column:
-        return keep_long_enough(rule_clauses(text, self.word_boundary))
+        return _clauses(text, self.word_boundary, MIN_CLAUSE_WORDS)
 
 
 class MarkSplitter:
