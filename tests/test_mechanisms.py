@@ -7,11 +7,12 @@ from collections import Counter
 from itertools import combinations, groupby
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from veilsight.functions import stats, text
 from veilsight.operators import cooccurrence, diagnostics, itemsets, phrases, ranking
-from veilsight.plans import commands
+from veilsight.plans import bindings, commands, registry
 from veilsight.sources import runs
 from veilsight.streaming import resume
 
@@ -322,3 +323,27 @@ def test_a_segment_is_made_a_phrase_once(spark):
     # the patterns of segments and of phrases stand once in the plan
     assert plan.count("ies(?=") == 1 and plan.count("(?<![^ \x1f])[DIJNO]:") == 1
     assert sorted((r["token"], r["phrase"]) for r in found.collect()) == [("nurse", "senior nurse"), ("the", "senior nurse")]
+
+
+# ---- orders and their lines
+
+
+def test_orders_are_gathered_as_their_lines_are(spark, tmp_path):
+    d = str(tmp_path)
+    lines = [(o, p, f) for o in range(1, 40) for p, f in ((o % 7, "R"), (o % 5, "N"), (o % 5, "A"), (99, "R"), (None, "R"))] + [(None, 1, "A"), (777, 1, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{d}/lineitem.parquet")
+    # an order listed twice alike, one under two customers, one without customer, one without lines
+    orders = [(o, o % 6, "12"[o % 2]) for o in range(1, 38)] + [(3, 3, "2"), (4, 5, "1"), (38, None, None), (None, 1, "1"), (500, 1, "1"), (777, 2, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{d}/orders.parquet")
+    parts = [(p, None if p == 2 else f"b{p % 3}") for p in range(7)] + [(1, "b9")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(f"{d}/part.parquet")
+    rows = bindings.basket(spark, d).groupBy("uuid", "field", "clause_pos").agg(F.array_sort(F.collect_set("term")).alias("matched_terms"), F.max("label").alias("label"))
+    assert sorted(map(repr, bindings.basket_orders(spark, d).collect())) == sorted(map(repr, rows.collect()))
+
+
+@pytest.mark.parametrize("name", ["y_bits", "rebalance_caps", "training_spans", "samples_through_parquet", "risk_term_records", "target_dataset"])
+def test_lines_are_read_once(spark, monkeypatch, name):
+    read, own = Counter(), bindings.table
+    monkeypatch.setattr(bindings, "table", lambda s, d, t: read.update([t]) or own(s, d, t))
+    scans = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
+    assert read["lineitem"] == 1 and scans == 0

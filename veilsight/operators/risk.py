@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilsight.functions import stats
 from veilsight.functions.text import json_key
 from veilsight.operators.cooccurrence import phrase_tiers
+from veilsight.session import written
 
 
 def set_records(detail: DataFrame, grain: str = "clause") -> DataFrame:
@@ -39,9 +40,11 @@ def term_records(detail: DataFrame, tiers: DataFrame | None = None) -> DataFrame
     return out.join(known, "term", "left").select("term", F.coalesce("tier", F.lit("")).alias("tier"), "record_count", "probability")
 
 
-def risk_meta(detail: DataFrame) -> DataFrame:
-    """One row: records, clauses, and distinct clause sets, field sets and terms."""
-    clause, field, terms = set_records(detail), set_records(detail, "field"), term_records(detail)
+def risk_meta(detail: DataFrame, clause: DataFrame | None = None, field: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """One row: records, clauses, and distinct clause sets, field sets and terms; their tables may be given."""
+    clause = set_records(detail) if clause is None else clause
+    field = set_records(detail, "field") if field is None else field
+    terms = term_records(detail) if terms is None else terms
     base = detail.agg(F.count_distinct("uuid").alias("N"), F.count("*").alias("n_lines"))
     counts = [x.agg(F.count("*").alias(n)) for x, n in ((clause, "n_phrase_sets"), (field, "n_field_sets"), (terms, "n_terms"))]
     for c in counts:
@@ -85,18 +88,19 @@ def score_spans(spans: DataFrame, sets: DataFrame, terms: DataFrame, n: DataFram
     the largest scores of the PROFILE ones.
     """
     kept = spans.where("label = 'NONE' OR size > 0").withColumn("provenance", F.when(F.col("label").isin("NONE", "PII"), F.col("label")).otherwise("PROFILE"))
-    kept = kept.join(sets.select(F.col("terms").alias("qi"), F.col("record_count").alias("_s")), "qi", "left")
-    support = F.when((F.col("label") == "PROFILE") & (F.coalesce("_s", F.lit(0)) == 0), 1).otherwise(F.coalesce("_s", F.lit(0)))
-    kept = kept.withColumn("support", support.cast("long")).crossJoin(F.broadcast(n))  # one row
     log_n = F.log10(F.col("N").cast("double"))
-    # scores of a set are made once a distinct set
-    flat = kept.where("size > 0").select("qi").distinct().select("qi", F.explode("qi").alias("term")).join(terms.select("term", F.col("record_count").alias("df"), "tier"), "term", "left")
+    # what a set has is found once a distinct set, and meets the spans in one join
+    each = kept.select("qi").distinct()
+    flat = each.select("qi", F.explode("qi").alias("term")).join(terms.select("term", F.col("record_count").alias("df"), "tier"), "term", "left")
     bits = flat.crossJoin(F.broadcast(n)).groupBy("qi").agg(  # one row
         F.sum(log_n - F.log10(F.greatest(F.lit(1), F.coalesce("df", F.lit(1))).cast("double"))).alias("_bits"),
         F.min(F.greatest(F.lit(1), F.coalesce("df", F.lit(1)))).cast("long").alias("_min"),
         F.min(F.when(F.col("tier") != "", F.col("tier"))).alias("_tier"),
     )
-    out = kept.join(bits, "qi", "left")
+    each = each.join(bits, "qi", "left").join(sets.select(F.col("terms").alias("qi"), F.col("record_count").alias("_s")), "qi", "left")
+    kept = kept.join(each, "qi", "left")
+    support = F.when((F.col("label") == "PROFILE") & (F.coalesce("_s", F.lit(0)) == 0), 1).otherwise(F.coalesce("_s", F.lit(0)))
+    out = kept.withColumn("support", support.cast("long")).crossJoin(F.broadcast(n))  # one row
     none = F.col("provenance") == "NONE"
     raw = F.when(none, 0.0).otherwise(F.coalesce("_bits", F.lit(0.0)))
     risk = F.when(none, 0.0).otherwise(stats.y_risk(F.col("support"), F.col("N")))
@@ -109,7 +113,8 @@ def score_spans(spans: DataFrame, sets: DataFrame, terms: DataFrame, n: DataFram
         F.round(F.when(none, 0.0).when(F.col("support") >= 2, risk).otherwise(F.greatest(log_n, raw)), 6).alias("y_combined"),
         F.coalesce("_tier", F.lit("")).alias("tier_strictest"),
     )
-    return raise_to_ceiling(out).drop("_s", "_bits", "_min", "_tier")
+    # the ceilings and the rows that they raise are two readings of the scores
+    return raise_to_ceiling(written(out.drop("_s", "_bits", "_min", "_tier")))
 
 
 def ceilings(scored: DataFrame) -> DataFrame:

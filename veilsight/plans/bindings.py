@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from veilsight.functions.text import RuleSplitter
 
+#: Lines that a task gathers to orders, about, however many there are in all.
+TASK_LINES = 250_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,17 +25,37 @@ def basket(spark: SparkSession, sf_dir: str, term: str = "p_brand") -> DataFrame
     return rows.select(F.col("o_custkey").alias("uuid"), F.col("o_orderpriority").alias("field"), F.col("l_orderkey").alias("clause_pos"), F.col(term).alias("term"), label.alias("label"))
 
 
+def basket_orders(spark: SparkSession, sf_dir: str, term: str = "p_brand") -> DataFrame:
+    """uuid, field, clause_pos, matched_terms (sorted) and label (the largest) of each order: `basket` by order.
+
+    Lines are gathered by order before they meet the orders, so that they move once more
+    and without the orders' columns, in as many parts as keep a part's size.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+    parts = table(spark, sf_dir, "part").select("p_partkey", term)
+    label = F.when(F.col("l_returnflag") == "R", "PII").when(F.col("l_returnflag") == "A", "PROFILE").otherwise("NONE")
+    n = max(spark.sparkContext.defaultParallelism, lines.count() // TASK_LINES)
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("clause_pos"), F.col(term).alias("term"), label.alias("label"))
+    gathered = rows.repartition(n, "clause_pos").groupBy("clause_pos").agg(F.array_sort(F.collect_set("term")).alias("matched_terms"), F.max("label").alias("label"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uuid"), F.col("o_orderpriority").alias("field"), F.col("o_orderkey").alias("clause_pos"))
+    # an order that is listed twice alike is one
+    orders = orders.repartition(n, "clause_pos").dropDuplicates()
+    return orders.join(gathered, "clause_pos").select("uuid", "field", "clause_pos", "matched_terms", "label")
+
+
 def basket_detail(spark: SparkSession, sf_dir: str, term: str = "p_brand") -> DataFrame:
     """The detail table: an order's sorted set of terms."""
-    return basket(spark, sf_dir, term).groupBy("uuid", "field", "clause_pos").agg(F.array_sort(F.collect_set("term")).alias("matched_terms"))
+    return basket_orders(spark, sf_dir, term).drop("label")
 
 
 def basket_spans(spark: SparkSession, sf_dir: str, term: str = "p_brand") -> DataFrame:
-    """uuid, field, clause_pos, clause, label: an order as a span with its largest label.
+    """uuid, field, clause_pos, clause, label: an order as a span with its largest label."""
+    return spans_of(basket_orders(spark, sf_dir, term))
 
-    Its name is the order's, and for every fourth order the customer's, so that some repeat.
-    """
-    rows = basket(spark, sf_dir, term).groupBy("uuid", "field", "clause_pos").agg(F.max("label").alias("label"))
+
+def spans_of(orders: DataFrame) -> DataFrame:
+    """Orders as spans: a span's name is the order's, and for every fourth order the customer's, so that some repeat."""
+    rows = orders.select("uuid", "field", "clause_pos", "label")
     name = F.when(F.col("clause_pos") % 4 == 0, F.concat(F.lit("customer "), F.col("uuid").cast("string"))).otherwise(F.concat(F.lit("order "), F.col("clause_pos").cast("string")))
     return rows.withColumn("clause", name)
 

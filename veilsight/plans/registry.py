@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilsight.functions import stats, text
 from veilsight.operators import annotation, cooccurrence, diagnostics, evaluation, itemsets, phrases, ranking, risk, sampling, tagging, tokens
 from veilsight.plans import bindings, commands, sql
-from veilsight.session import checkpoint, new_folder
+from veilsight.session import checkpoint, written, new_folder
 from veilsight.sources import readers, runs, sinks
 from veilsight.streaming import resume
 
@@ -270,7 +270,7 @@ def _records(df):
 
 @query(sql.basket("p_brand") + "SELECT term, CAST(count(DISTINCT uuid) AS BIGINT) AS record_count, round(count(DISTINCT uuid)::DOUBLE / (SELECT count(DISTINCT uuid) FROM b), 8) AS probability FROM b GROUP BY term")
 def risk_term_records(s, d):
-    return risk.term_records(bindings.basket_detail(s, d)).select("term", "record_count", F.round("probability", 8).alias("probability"))
+    return risk.term_records(written(bindings.basket_detail(s, d))).select("term", "record_count", F.round("probability", 8).alias("probability"))
 
 
 @query(
@@ -283,7 +283,11 @@ def risk_meta(s, d):
 
 
 def _spans(s, d):
-    return risk.dedupe_spans(risk.join_spans(bindings.basket_spans(s, d), bindings.basket_detail(s, d)))
+    return _spans_of(written(bindings.basket_orders(s, d)))
+
+
+def _spans_of(orders):
+    return risk.dedupe_spans(risk.join_spans(bindings.spans_of(orders), orders.drop("label")))
 
 
 @query(sql.SPANS + "SELECT text, label, qi_json, size, freq FROM spans")
@@ -293,13 +297,21 @@ def span_dedupe(s, d):
 
 @query(sql.SPANS + "SELECT text, label, qi_json, CAST(coalesce(record_count, 0) AS BIGINT) AS support FROM spans LEFT JOIN rec USING (qi)")
 def span_support_join(s, d):
-    sets = risk.set_records(bindings.basket_detail(s, d)).select(F.col("terms").alias("qi"), "record_count")
-    return _spans(s, d).join(sets, "qi", "left").select("text", "label", "qi_json", F.coalesce("record_count", F.lit(0)).cast("long").alias("support"))
+    orders = written(bindings.basket_orders(s, d))
+    sets = risk.set_records(orders.drop("label")).select(F.col("terms").alias("qi"), "record_count")
+    return _spans_of(orders).join(sets, "qi", "left").select("text", "label", "qi_json", F.coalesce("record_count", F.lit(0)).cast("long").alias("support"))
 
 
 def _scored(s, d):
-    detail = bindings.basket_detail(s, d)
-    return risk.score_spans(_spans(s, d), risk.set_records(detail), risk.term_records(detail), risk.records(detail))
+    return _scored_and_terms(s, d)[0]
+
+
+def _scored_and_terms(s, d):
+    """Scored spans and the terms' records; the orders are gathered once for both."""
+    orders = written(bindings.basket_orders(s, d))
+    detail = orders.drop("label")
+    terms = checkpoint(risk.term_records(detail))
+    return risk.score_spans(written(_spans_of(orders)), risk.set_records(detail), terms, checkpoint(risk.records(detail))), terms
 
 
 @query(sql.SCORES + "SELECT text, provenance, support, y_risk FROM scored")
@@ -329,13 +341,14 @@ SELECT array_to_string(t, '|') AS terms, CAST(max(length(term)) AS INTEGER) AS c
 CAST(max(CASE WHEN regexp_matches(term, '[0-9]') THEN 1 ELSE 0 END) AS INTEGER) AS has_digit, CAST(min(df) AS BIGINT) AS const_support_min, round(avg(df), 3) AS const_support_mean FROM fl JOIN df USING (term) GROUP BY t"""
 )
 def reid_features(s, d):
-    detail = bindings.basket_detail(s, d)
+    detail = written(bindings.basket_detail(s, d))
     return joined(risk.set_features(risk.set_records(detail), risk.term_records(detail)))
 
 
 @query(sql.SCORES + f", k AS (SELECT text, {sql.SPLIT_KEY} AS split_key FROM scored) SELECT text, split_key, CASE WHEN {sql.mod1000('split_key')} < 200 THEN 'test' ELSE 'train' END AS split FROM k")
 def md5_group_split(s, d):
-    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d))
+    scored, terms = _scored_and_terms(s, d)
+    rows = risk.split_key(terms, scored)
     return rows.select("text", "split_key", stats.split_of(F.col("split_key")).alias("split"))
 
 
@@ -353,8 +366,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY one ORDER BY {sql.draw(42, 'text
 SELECT text, provenance, split FROM r WHERE NOT one OR rn <= 100"""
 )
 def rebalance_caps(s, d):
-    rows = risk.split_key(risk.term_records(bindings.basket_detail(s, d)), _scored(s, d)).withColumn("split", stats.split_of(F.col("split_key")))
-    return sampling.rebalance(checkpoint(rows), max_support1=100).select("text", "provenance", "split")
+    scored, terms = _scored_and_terms(s, d)
+    rows = risk.split_key(terms, scored.select("text", "provenance", "support", "size", "qi")).withColumn("split", stats.split_of(F.col("split_key")))
+    return sampling.rebalance(written(rows.drop("qi", "split_key")), max_support1=100).select("text", "provenance", "split")
 
 
 @query(
@@ -406,8 +420,9 @@ CASE WHEN split = 'train' THEN round(w, 6) ELSE 1.0::DOUBLE END AS lds_weight FR
 )
 def training_spans(s, d):
     """The span training table, end to end."""
-    detail = checkpoint(bindings.basket_detail(s, d))
-    return commands.sample_spans(commands.span_join(bindings.basket_spans(s, d), detail), commands.risk_sets(detail)).drop("qi")
+    orders = written(bindings.basket_orders(s, d))
+    detail = orders.drop("label")
+    return commands.sample_spans(commands.span_join(bindings.spans_of(orders), detail), commands.risk_sets(detail)).drop("qi")
 
 
 @query(
@@ -592,7 +607,7 @@ def support1_decomposition(s, d):
 
 @query(sql.SCORES + ", r AS (SELECT min_constituent_df AS m FROM scored WHERE provenance = 'PROFILE' AND support = 1) SELECT CAST(k AS INTEGER) AS k, CAST(count(*) FILTER (m < k) AS BIGINT) AS affected, round(100.0 * count(*) FILTER (m < k) / greatest(1, count(*)), 6) AS percent FROM (VALUES (3), (5), (10), (20), (50)) g(k), r GROUP BY k")
 def support1_grid(s, d):
-    rare = diagnostics.support1_rarest(_scored(s, d), risk.term_records(bindings.basket_detail(s, d)))
+    rare = diagnostics.support1_rarest(*_scored_and_terms(s, d))
     return diagnostics.support1_grid(rare).withColumn("percent", F.round("percent", 6))
 
 

@@ -39,6 +39,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read back: for wide rows that several steps read in part."""
+    at = new_folder(df.sparkSession, "written")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df read back from the shared folder."""
     shared_folder(df.sparkSession)
