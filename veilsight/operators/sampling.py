@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilsight.functions import stats
 from veilsight.operators import risk
 from veilsight.operators.ranking import BIN_ROWS, quantile_bins, take_lowest
-from veilsight.session import checkpoint
+from veilsight.session import checkpoint, written
 
 
 def bernoulli(df: DataFrame, share: float, key: Column, seed: int = 42) -> DataFrame:
@@ -145,18 +145,20 @@ def target_rows(texts: DataFrame, seed: int = 42) -> DataFrame:
 
     texts has uuid, field and terms.
     """
+    texts = written(texts)
     sets = texts.groupBy("terms").agg(F.count("*").alias("n"))
     total = texts.agg(F.count("*").alias("total"))
-    by_n = sets.where(F.size("terms") > 0).groupBy("n").agg(F.count("*").alias("sets"))
+    keyed = written(texts.join(sets, "terms").select("uuid", "field", "n", F.size("terms").alias("size"), stats.draw(seed, F.col("uuid"), F.col("field")).alias("_u")))
+    # n rows of each set have the n
+    by_n = checkpoint(keyed.where("size > 0").groupBy("n").agg((F.count("*") / F.col("n")).cast("long").alias("sets")))
     probs = by_n.crossJoin(F.broadcast(total)).withColumn("p", F.col("n") / F.col("total"))  # one row
     caps = probs.withColumn("cap", sample_size(F.col("n").cast("double"), F.col("sets"), F.col("n") * F.col("sets")).cast("long"))
-    keyed = texts.join(sets, "terms").withColumn("_u", stats.draw(seed, F.col("uuid"), F.col("field")))
     key = ["uuid", "field"]
-    positive = take_lowest(keyed.where(F.size("terms") > 0), "_u", caps.select(F.col("n").cast("string").alias("s"), "cap"), F.col("n"), key)
+    positive = take_lowest(keyed.where("size > 0"), "_u", caps.select(F.col("n").cast("string").alias("s"), "cap"), F.col("n"), key)
     top = probs.agg(F.max("p").alias("max_p"))
     positive = positive.join(probs.select("n", "p"), "n").crossJoin(F.broadcast(top)).select("uuid", "field", ((F.col("max_p") - F.col("p")) / F.col("max_p")).alias("y"))  # one row
     wanted = caps.agg(F.coalesce(F.sum("cap"), F.lit(0))).first()[0]
-    negative = take_lowest(keyed.where(F.size("terms") == 0), "_u", int(wanted), tie=key).select("uuid", "field", F.lit(0.0).alias("y"))
+    negative = take_lowest(keyed.where("size = 0"), "_u", int(wanted), tie=key).select("uuid", "field", F.lit(0.0).alias("y"))
     return positive.unionByName(negative)
 
 
