@@ -11,7 +11,7 @@ from veilsight.config import MAX_PHRASE_FREQ, MIN_PHRASE_FREQ, NP_GRAMMAR
 from veilsight.functions import text
 from veilsight.operators import cooccurrence as co
 from veilsight.operators import annotation, evaluation, itemsets, phrases, risk, sampling, tokens
-from veilsight.session import checkpoint
+from veilsight.session import checkpoint, written
 from veilsight.sources import sinks
 
 
@@ -141,8 +141,9 @@ def combos(detail: DataFrame, min_size: int = 3, max_size: int = 0, min_support:
 
 def risk_sets(detail: DataFrame, tiers: DataFrame | None = None) -> dict[str, DataFrame]:
     """Records of clause sets, field sets and terms, and the totals."""
-    detail = checkpoint(detail)
-    return {"clause": risk.set_records(detail), "field": risk.set_records(detail, "field"), "terms": risk.term_records(detail, tiers), "meta": risk.risk_meta(detail)}
+    detail = written(detail)
+    made = {"clause": written(risk.set_records(detail)), "field": written(risk.set_records(detail, "field")), "terms": checkpoint(risk.term_records(detail, tiers))}
+    return made | {"meta": checkpoint(risk.risk_meta(detail, *made.values()))}
 
 
 def span_join(clauses: DataFrame, detail: DataFrame) -> DataFrame:
@@ -151,9 +152,10 @@ def span_join(clauses: DataFrame, detail: DataFrame) -> DataFrame:
 
 def sample_spans(spans: DataFrame, tables: dict[str, DataFrame], **options) -> DataFrame:
     """The span training table: scores, split, rebalancing and weights."""
-    tables = {k: checkpoint(v) for k, v in tables.items()}
-    scored = checkpoint(risk.score_spans(checkpoint(spans), tables["clause"], tables["terms"], risk.known_records(tables["meta"], tables["terms"])))
-    return sampling.train_rows(scored, tables["terms"], **options)
+    # the callers' tables may be plans, of which these are read more than once
+    terms = checkpoint(tables["terms"])
+    scored = risk.score_spans(written(spans), tables["clause"], terms, checkpoint(risk.known_records(tables["meta"], terms)))
+    return sampling.train_rows(scored, terms, **options)
 
 
 def sample_balanced(tables: dict[str, DataFrame], token_stats: DataFrame | None = None, source: str = "phrase-field", detail: DataFrame | None = None, none_share: float = 0.15, min_records: int = 1, max_size: int = 4, combo_min_support: int = 2, seed: int = 42, **options) -> DataFrame:
