@@ -387,3 +387,29 @@ def test_texts_without_anchors_change_their_fingerprint(spark):
     text = " ".join(f"слово{i}" for i in range(200))
     a, b = spark.createDataFrame([(text,), (text[:1000] + " конец других слов" * 30,)], "t string").select(spotsigs.signatures(F.col("t")).alias("s")).collect()
     assert len(a["s"]) > 10 and a["s"] != b["s"]
+
+
+def test_words_in_use_stay_remembered(monkeypatch):
+    import public_tokenizers
+
+    from veilsight.llm import packing
+
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    encoded, whole = [], ids.whole
+    ids.whole = lambda t: encoded.extend(t.split()) or whole(t)
+    texts = [f"always here {' '.join(f'{a}{b}' for b in 'abcdefgh')} don't" for a in "klmnopqrst"]
+    got = [ids.of(t) for t in texts]
+    assert encoded.count("always") == encoded.count("here") == 1
+    assert got == [whole(t) for t in texts]
+
+
+def test_a_stage_drops_what_others_remember(monkeypatch):
+    from veilsight.llm import common, packing, toxicity
+
+    monkeypatch.setitem(packing._IDS, "some", "words")
+    toxicity.disguised("letter")
+    common.give_back("packing")
+    assert "some" in packing._IDS and toxicity.disguised.cache_info().currsize == 0
+    common.give_back("toxicity")
+    assert not packing._IDS

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilsight.llm.common import checkpoint, give_back
+from veilsight.llm.common import FORGET, checkpoint, give_back
 
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, about.
 REMEMBERED = 200_000
 #: Rows that are ranked together, about.
 RANKED_ROWS = 8192
@@ -180,7 +180,7 @@ class Ids:
     LETTERS, DIGITS = "a-zªµºß-öø-ÿĀ-įĲ-ſ", "0-9²³¹¼-¾"
     PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-įĲ-ſ]*")
     #: The tokenizer's own pattern, with its classes as they are among the plain characters.
-    PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
+    PARTS = re.compile(rf"[{LETTERS}]+|[{DIGITS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LETTERS}{DIGITS}]+")
     BLOCK = 1 << 20
 
     def __init__(self, path: str):
@@ -192,7 +192,9 @@ class Ids:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for word, i in vocabulary.items():
             self.ends[i] = word.endswith("</w>")
+        #: Words met since the last turn, and those of the turn before, of which the ones still in use come over.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -201,10 +203,16 @@ class Ids:
         if not self.PLAIN.fullmatch(text):
             return self.whole(text)
         parts = self.PARTS.findall(text.lower())
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        if new := [w for w in set(parts) if w not in known]:
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in set(parts).difference(known):
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        if new:
             raw = self.whole(" ".join(new))
             cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
             if len(cuts) != len(new):
@@ -229,6 +237,7 @@ class Ids:
 
 
 _IDS: dict[str, Ids] = {}
+FORGET["packing"] = _IDS.clear
 
 
 def tokenize(df: DataFrame, tokenizer: str, text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -247,7 +256,7 @@ def tokenize(df: DataFrame, tokenizer: str, text: str = "text", capacity: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        give_back()
+        give_back("packing")
         if tokenizer not in _IDS:  # a worker's words serve its later tasks too
             _IDS[tokenizer] = Ids(tokenizer)
         ids_of = _IDS[tokenizer].of

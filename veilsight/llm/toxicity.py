@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from veilsight.llm.common import give_back
+from veilsight.llm.common import FORGET, give_back
 
 #: Symbols of the character model: a boundary, a to z, the letters ß to ÿ, and one for all other letters.
 BOUNDARY, OTHER, SYMBOLS = 0, 60, 61
@@ -99,7 +99,7 @@ def character_model(df: DataFrame, text: str = "text") -> CharModel:
     """Model from every text of df.  The driver gathers a count a trigram of the symbols, 61 to the third at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back("toxicity")
         total, held, size = np.zeros(SYMBOLS**3, np.int64), [], 0
         for batch in batches:
             for t in batch.column(0):
@@ -157,6 +157,9 @@ def disguised(word: str) -> bool:
     return bool(DOUBLED.search(word)) or not word.isascii() and any(LETTERS[c][1] for c in word)
 
 
+FORGET["toxicity"] = disguised.cache_clear
+
+
 class _Letters(dict):
     """Of each letter seen: its symbol, and what else it may stand for, with symbols and costs."""
 
@@ -390,7 +393,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", max_rows: int
         labelled = labelled.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        give_back("toxicity")
         read, seen = Restorer(chars), {0: Counter(), 1: Counter()}
         for batch in batches:
             for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -436,7 +439,7 @@ def score_texts(df: DataFrame, model: ToxicModel, text: str = "text") -> DataFra
 
     @arrow_udf("struct<score:double,restored:string,n_restored:int>")
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        give_back()
+        give_back("toxicity")
         read = Restorer(model.chars)
         for column in columns:
             out = []
