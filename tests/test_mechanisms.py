@@ -347,3 +347,9 @@ def test_lines_are_read_once(spark, monkeypatch, name):
     monkeypatch.setattr(bindings, "table", lambda s, d, t: read.update([t]) or own(s, d, t))
     scans = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
     assert read["lineitem"] == 1 and scans == 0
+
+
+@pytest.mark.parametrize("name", ["token_contingency_odds", "token_fisher_p", "or_ci_threshold_scan", "morpheme_gtest", "dictionary_run"])
+def test_clauses_are_split_once(spark, name):
+    scans = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("documents.parquet")
+    assert scans == 0  # what is left reads the counts that one pass over the clauses wrote

@@ -73,8 +73,8 @@ def fisher(cells: DataFrame) -> DataFrame:
     return cells.join(tested, ["a", "b", "c", "d"])
 
 
-def token_stats(clauses: DataFrame) -> DataFrame:
-    """Every tested token with p_value, effect_size, q_value and the numbers of tokens and tests.
+def counts_and_totals(clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """token_counts of clauses and their clause_totals.
 
     Clauses are read once: each adds an empty token, whose counts are the totals.
     """
@@ -83,7 +83,12 @@ def token_stats(clauses: DataFrame) -> DataFrame:
     words = words.withColumn("pos", text.part_of_speech(F.col("token"))).where((F.col("token") == "") | text.content_word(F.col("token"), F.col("pos")))
     counts = checkpoint(token_counts(words))
     totals = counts.where("token = ''").agg(F.coalesce(F.sum("freq_profile"), F.lit(0)).alias("n_profile"), F.coalesce(F.sum("freq_none"), F.lit(0)).alias("n_none"))
-    return stats_of(counts.where("token <> ''"), totals)
+    return counts.where("token <> ''"), totals
+
+
+def token_stats(clauses: DataFrame) -> DataFrame:
+    """Every tested token with p_value, effect_size, q_value and the numbers of tokens and tests."""
+    return stats_of(*counts_and_totals(clauses))
 
 
 def stats_of(counts: DataFrame, totals: DataFrame) -> DataFrame:

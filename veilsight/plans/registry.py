@@ -55,15 +55,13 @@ def token_counts_by_label(s, d):
 
 @query(sql.CELLS + "SELECT token, a, b, c, d, round(((a + 0.5) * (d + 0.5)) / ((b + 0.5) * (c + 0.5)), 6) AS odds FROM cells")
 def token_contingency_odds(s, d):
-    c = bindings.text_clauses(s, d)
-    cells = tokens.contingency(tokens.token_counts(tokens.clause_tokens(c)), tokens.clause_totals(c))
+    cells = tokens.contingency(*tokens.counts_and_totals(bindings.text_clauses(s, d)))
     return cells.select("token", "a", "b", "c", "d", F.round(stats.odds_ratio(F.col("a"), F.col("b"), F.col("c"), F.col("d")), 6).alias("odds"))
 
 
 @query(sql.FISHER + "SELECT token, round(p, 6) AS p_value FROM fisher")
 def token_fisher_p(s, d):
-    c = bindings.text_clauses(s, d)
-    cells = tokens.contingency(tokens.token_counts(tokens.clause_tokens(c)), tokens.clause_totals(c))
+    cells = tokens.contingency(*tokens.counts_and_totals(bindings.text_clauses(s, d)))
     return tokens.fisher(cells).select("token", F.round("p_value", 6).alias("p_value"))
 
 
@@ -104,8 +102,7 @@ t AS (SELECT k, count(*) AS tokens, avg(sure::INT) AS rate FROM w, range(1, 31)
 SELECT k, CAST(tokens AS BIGINT) AS tokens, round(rate, 6) AS rate, CAST(k = coalesce((SELECT min(k) FROM t WHERE rate >= 0.95), (SELECT max(k) FROM t)) AS INTEGER) AS recommended FROM t"""
 )
 def or_ci_threshold_scan(s, d):
-    c = bindings.text_clauses(s, d)
-    cells = tokens.contingency(tokens.token_counts(tokens.clause_tokens(c)), tokens.clause_totals(c))
+    cells = tokens.contingency(*tokens.counts_and_totals(bindings.text_clauses(s, d)))
     return tokens.frequency_scan(cells).select("k", "tokens", F.round("rate", 6).alias("rate"), "recommended")
 
 
@@ -675,9 +672,9 @@ q AS (SELECT token, a, np - a AS b, c, nn - c AS d, np, nn FROM g, n WHERE a >=
 SELECT token, CAST(a AS BIGINT) AS count_profile, CAST(c AS BIGINT) AS count_none, round(odds, 6) AS odds_ratio, round(llr, 5) AS llr_g FROM r WHERE a::DOUBLE / np > c::DOUBLE / nn AND odds > 1 AND llr > 3.841458820694124"""
 )
 def morpheme_gtest(s, d):
-    t = tokens.clause_tokens(bindings.text_clauses(s, d))
-    totals = t.agg(F.count_if(F.col("label") == "PROFILE").alias("n_profile"), F.count_if(F.col("label") == "NONE").alias("n_none"))
-    out = tokens.morphemes(tokens.token_counts(t), totals, 5)
+    counts = checkpoint(tokens.token_counts(tokens.clause_tokens(bindings.text_clauses(s, d))))
+    totals = counts.agg(F.coalesce(F.sum("freq_profile"), F.lit(0)).alias("n_profile"), F.coalesce(F.sum("freq_none"), F.lit(0)).alias("n_none"))
+    out = tokens.morphemes(counts, totals, 5)
     return out.select("token", "count_profile", "count_none", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("llr_g", 5).alias("llr_g"))
 
 
