@@ -11,7 +11,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from veilsight.functions import stats, text
-from veilsight.operators import cooccurrence, diagnostics, itemsets, phrases, ranking
+from veilsight.operators import cooccurrence, diagnostics, itemsets, phrases, ranking, tokens
 from veilsight.plans import bindings, commands, registry
 from veilsight.sources import runs
 from veilsight.streaming import resume
@@ -353,3 +353,11 @@ def test_lines_are_read_once(spark, monkeypatch, name):
 def test_clauses_are_split_once(spark, name):
     scans = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("documents.parquet")
     assert scans == 0  # what is left reads the counts that one pass over the clauses wrote
+
+
+def test_default_tags_are_put_to_rows(spark):
+    rows = spark.createDataFrame([("PROFILE", "A careful Walker of the hills, and the walkers' useful maps"), ("NONE", ""), ("PII", "name"), ("NONE", None)], "label string, clause string")
+    made = tokens.clause_tokens(rows, text.morphemes)
+    given = tokens.clause_tokens(rows, lambda c: text.morphemes(c))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, given.collect())) and made.count() > 3
+    assert "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()

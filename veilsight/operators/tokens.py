@@ -18,7 +18,8 @@ def clause_tokens(clauses: DataFrame, tagger=None, keep=text.content_word) -> Da
     as text.PartnerMorphemes is; keep tells by token and pos which ones count.
     """
     labelled = clauses.where(F.col("label").isin("PROFILE", "NONE"))
-    if tagger is None:
+    if tagger is None or tagger is text.morphemes:
+        # the default tags, put to words that stand in rows: compiled, where a lambda over an array is not
         words = labelled.select("label", F.explode(text.words(F.col("clause"))).alias("token")).withColumn("pos", text.part_of_speech(F.col("token")))
     else:
         words = labelled.select("label", F.explode(tagger(F.col("clause"))).alias("_m")).select("label", "_m.token", "_m.pos")
@@ -31,7 +32,8 @@ def augment_profile(counts: DataFrame, totals: DataFrame, rows: DataFrame, colum
     counts has token, pos, freq_profile and freq_none, totals n_profile and n_none.
     """
     texts = rows.select(F.explode(F.concat(*[text.normalize_field(rows, c) for c in columns])).alias("clause"))
-    found = clause_tokens(texts.withColumn("label", F.lit("PROFILE")), tagger, keep).groupBy("token", "pos").agg(F.count("*").alias("freq_profile"), F.lit(0).cast("long").alias("freq_none"))
+    # a row a token, used for the counts and for the totals
+    found = checkpoint(clause_tokens(texts.withColumn("label", F.lit("PROFILE")), tagger, keep).groupBy("token", "pos").agg(F.count("*").alias("freq_profile"), F.lit(0).cast("long").alias("freq_none")))
     both = counts.select("token", "pos", "freq_profile", "freq_none").unionByName(found)
     more = found.agg(F.coalesce(F.sum("freq_profile"), F.lit(0)).alias("_more"))
     out = both.groupBy("token", "pos").agg(F.sum("freq_profile").alias("freq_profile"), F.sum("freq_none").alias("freq_none"))
