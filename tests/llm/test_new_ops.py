@@ -177,6 +177,26 @@ def test_large_groups_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Partitions as they are on data too large to be put into one, for few rows."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_whole_components_meet_in_one_task_after_a_join_that_turns_into_a_broadcast(uncoalesced):
+    spark = uncoalesced
+    sets = [(c, 2 * c + i, np.arange(100 * c + 5 * i, 100 * c + 60 + 5 * i, dtype=np.uint64).tobytes()) for i in range(2) for c in range(40)]
+    rows = near_dedup.checkpoint(spark.createDataFrame(spark.sparkContext.parallelize(sets, 8), "comp long, cid long, tokens binary"))  # of unknown size
+    held = near_dedup.checkpoint(rows.groupBy("comp").agg(F.count("*").alias("docs")))
+    small = rows.join(held.where("docs < 5").select("comp"), "comp")
+    want = sorted((2 * c, 2 * c + 1) for c in range(40))
+    assert sorted((min(r), max(r)) for r in near_dedup.link_whole(small, 80).collect()) == want
+    giants = near_dedup._link_giants(rows, near_dedup.Plan(share=80))
+    assert sorted((min(r), max(r)) for r in giants.collect()) == want
+
+
 def test_documents_that_share_a_passage_alone_are_no_candidates(spark, monkeypatch):
     rnd = random.Random(3)
     passage = [f"p{i}" for i in range(50)]

@@ -424,6 +424,17 @@ def _link_components(share: int):
     return run
 
 
+def link_whole(rows: DataFrame, share: int) -> DataFrame:
+    """Links a, b of components that one task can hold; rows has comp, cid and tokens.
+
+    A component's rows have to come one after another in one task.  After a join by comp,
+    repartition("comp") and its sort are dropped as done already, and then the join may be run
+    as a broadcast, which keeps neither; so rows go by a hash of comp, which no join has dealt by.
+    """
+    dealt = rows.select("comp", "cid", "tokens").repartition(F.xxhash64("comp")).sortWithinPartitions("comp")
+    return dealt.mapInArrow(_link_components(share), "a long, b long")
+
+
 def _stack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sets end to end, their starts and sizes."""
     sizes = np.array([len(r) // 8 for r in rows])
@@ -526,7 +537,7 @@ def _link_giants(sets: DataFrame, plan: Plan, block: int = 512) -> DataFrame:
         held = rest.groupBy("comp").agg(F.count("*").alias("docs"), F.sum(F.octet_length("tokens") / 8).alias("n"))
         is_small = (F.col("docs") <= plan.local_docs) & (F.col("n") <= plan.local_tokens)
         small = rest.join(held.where(is_small), "comp").select("comp", "cid", "tokens")
-        found = small.repartition("comp").sortWithinPartitions("comp").mapInArrow(_link_components(plan.share), "a long, b long")
+        found = link_whole(small, plan.share)
         links = checkpoint(found if links is None else links.unionByName(found))
         large = held.where(~is_small).select("comp", F.col("docs").alias("comp_docs"))
         if large.isEmpty():
@@ -588,7 +599,7 @@ def near_components(df: DataFrame, key: str = "doc_id", text: str = "text", plan
         return texts.join(of, same).select("comp", "cid", "text").mapInArrow(_sets(plan.words), "comp long, cid long, tokens binary")
 
     small = sets(wanted.join(held.where(is_small).select("comp"), "comp"))
-    links = checkpoint(small.repartition("comp").sortWithinPartitions("comp").mapInArrow(_link_components(plan.share), "a long, b long"))
+    links = checkpoint(link_whole(small, plan.share))
     large = wanted.join(held.where(~is_small).select("comp"), "comp")
     if not large.isEmpty():
         links = components(links.unionByName(_link_giants(sets(large).dropDuplicates(["cid"]), plan))).select(F.col("comp").alias("a"), F.col("cid").alias("b"))

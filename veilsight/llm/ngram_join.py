@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilsight.llm.common import Scratch, checkpoint
-from veilsight.llm.near_dedup import Plan, _link_components, _link_giants, components, mix, shingles
+from veilsight.llm.near_dedup import Plan, _link_giants, components, link_whole, mix, shingles
 
 #: Narrow tables are broadcast up to so many rows, which are counted first.
 BROADCAST_ROWS = 200_000
@@ -389,7 +389,7 @@ def ngram_components(df: DataFrame, key: str = "doc_id", text: str = "text", pla
     held = checkpoint(rows.groupBy("comp").agg(F.count("*").alias("docs"), F.sum(F.octet_length("tokens") / 8).alias("tokens")))
     is_small = (F.col("docs") <= plan.local_docs) & (F.col("tokens") <= plan.local_tokens)
     small = rows.join(held.where(is_small).select("comp"), "comp")
-    links = small.repartition("comp").sortWithinPartitions("comp").mapInArrow(_link_components(plan.share), "a long, b long")
+    links = link_whole(small, plan.share)
     if not held.where(~is_small).isEmpty():
         exact = Plan(share=plan.share, words=plan.words, local_docs=plan.local_docs, local_tokens=plan.local_tokens)
         giants = _link_giants(rows.join(held.where(~is_small).select("comp"), "comp"), exact)
