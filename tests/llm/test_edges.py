@@ -413,3 +413,14 @@ def test_a_stage_drops_what_others_remember(monkeypatch):
     assert "some" in packing._IDS and toxicity.disguised.cache_info().currsize == 0
     common.give_back("toxicity")
     assert not packing._IDS
+
+
+def test_a_task_returns_what_it_leaves_when_it_ends(monkeypatch):
+    from veilsight.llm import common, near_dedup
+
+    told = []
+    monkeypatch.setattr(common, "trim", lambda: told.append("end"))
+    task = common.returning(first=False)(lambda batches: (told.append(b) or b for b in batches))
+    assert list(task(iter([1, 2]))) == [1, 2] and told == [1, 2, "end"]
+    list(near_dedup._link_components(80)(iter([])))
+    assert told == [1, 2, "end", "end"]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilsight.llm.common import Scratch, checkpoint, give_back
+from veilsight.llm.common import Scratch, checkpoint, returning
 
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Coordinates of the bits, of which the first are the tokens that trees branch by.
@@ -107,8 +107,8 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _signatures(words: int):
+    @returning()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         for batch in batches:
             size, first, second, drawn, bits = [], [], [], [], []
             for t in batch.column(2):
@@ -150,6 +150,7 @@ def _grow(path: np.ndarray, tokens: np.ndarray, second: float) -> tuple[np.ndarr
 
 
 def _roots(trees: int, second: float):
+    @returning(first=False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, cid = _matrix(batch.column(1), np.uint32), batch.column(0)
@@ -164,6 +165,7 @@ def _roots(trees: int, second: float):
 def _descend(plan: Plan):
     """Rows of large nodes against their pivots: candidates (path null) with the pivot as held, and children."""
 
+    @returning(first=False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -231,6 +233,7 @@ def _compare_nodes(agree: int, pairs: int = 1 << 18):
             least[r] = min(least.get(r, int(ids[i])), int(ids[i]))
         return [(least[r], int(ids[i])) for i, r in star.items() if least[r] != ids[i]]
 
+    @returning(first=False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column(0)
@@ -337,6 +340,7 @@ def components(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
 def _sets(words: int):
     """Sets of the candidates; copies of one that meet in a task give one row."""
 
+    @returning(first=False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
@@ -407,6 +411,7 @@ def _link_components(share: int):
         joined = link_sets(list(sets.values()), share)
         return [(cids[joined.find(i)], c) for i, c in enumerate(cids) if joined.find(i) != i]
 
+    @returning(first=False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
         comp = None
@@ -444,6 +449,7 @@ def _stack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _compare_blocks(share: int):
     """Links of each set of one block with one set of the other, as the sets of that block are linked already."""
 
+    @returning(first=False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -466,6 +472,7 @@ def _compare_blocks(share: int):
 
 
 def _judge(share: int, grey: int):
+    @returning(first=False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             zone, to = [], []
@@ -491,6 +498,7 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(share: int):
+    @returning(first=False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

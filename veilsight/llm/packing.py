@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilsight.llm.common import FORGET, checkpoint, give_back
+from veilsight.llm.common import FORGET, checkpoint, returning
 
 #: Words whose ids a worker remembers, about.
 REMEMBERED = 200_000
@@ -254,9 +254,9 @@ def tokenize(df: DataFrame, tokenizer: str, text: str = "text", capacity: int =
     schema = T.StructType([*[df.schema[c] for c in others], *[T.StructField(n, t) for n, t, _ in made]])
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
+    @returning("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        give_back("packing")
         if tokenizer not in _IDS:  # a worker's words serve its later tasks too
             _IDS[tokenizer] = Ids(tokenizer)
         ids_of = _IDS[tokenizer].of

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from veilsight.llm.common import FORGET, give_back
+from veilsight.llm.common import FORGET, returning
 
 #: Symbols of the character model: a boundary, a to z, the letters ß to ÿ, and one for all other letters.
 BOUNDARY, OTHER, SYMBOLS = 0, 60, 61
@@ -98,8 +98,8 @@ def count_trigrams(text: str) -> np.ndarray:
 def character_model(df: DataFrame, text: str = "text") -> CharModel:
     """Model from every text of df.  The driver gathers a count a trigram of the symbols, 61 to the third at most."""
 
+    @returning("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back("toxicity")
         total, held, size = np.zeros(SYMBOLS**3, np.int64), [], 0
         for batch in batches:
             for t in batch.column(0):
@@ -392,8 +392,8 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", max_rows: int
     if n > max_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * max_rows / n))
 
+    @returning("toxicity")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back("toxicity")
         read, seen = Restorer(chars), {0: Counter(), 1: Counter()}
         for batch in batches:
             for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -413,6 +413,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", max_rows: int
     stems = {f: i for i, f in enumerate(_choose([r for r in rows if r[0]], toxic, clean, max_stems))}
     blank = ToxicModel(chars, stems, [], 0.0)
 
+    @returning("toxicity")
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Restorer(chars)
         for batch in batches:
@@ -437,9 +438,8 @@ def score_texts(df: DataFrame, model: ToxicModel, text: str = "text") -> DataFra
     joins the words that only deobfuscation found.
     """
 
-    @arrow_udf("struct<score:double,restored:string,n_restored:int>")
-    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        give_back("toxicity")
+    @returning("toxicity")
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         read = Restorer(model.chars)
         for column in columns:
             out = []
@@ -448,6 +448,10 @@ def score_texts(df: DataFrame, model: ToxicModel, text: str = "text") -> DataFra
                 out.append({"score": model.score(plain | restored), "restored": " ".join(sorted(restored)), "n_restored": len(restored)})
             yield pa.array(out, pa.struct([("score", pa.float64()), ("restored", pa.string()), ("n_restored", pa.int32())]))
 
+    @arrow_udf("struct<score:double,restored:string,n_restored:int>")
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scores(columns)
+
     scored = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("record"), score(df[text]).alias("s"))
     return scored.select("record", "s.score", "s.restored", "s.n_restored")
 
