@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from veilsight.llm.common import FORGET, checkpoint, returning
 
-#: Words whose ids a worker remembers, about.
+#: Chunks and words whose ids a worker remembers, about.
 REMEMBERED = 200_000
 #: Rows that are ranked together, about.
 RANKED_ROWS = 8192
@@ -172,56 +172,65 @@ class Ids:
     """Ids of texts as bytes, remembering each word's.
 
     Encoding a gibberish corpus word by word is several times faster than text
-    by text, as each distinct word is merged once.  The short cut takes texts
-    of characters that lower-casing and NFC treat one by one; others are
-    encoded whole.
+    by text, as each distinct word is merged once, and each distinct chunk
+    between spaces cut into words once.  The short cut takes texts of
+    characters that lower-casing and NFC treat one by one; others are encoded
+    whole.
     """
 
     LETTERS, DIGITS = "a-zªµºß-öø-ÿĀ-įĲ-ſ", "0-9²³¹¼-¾"
     PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-įĲ-ſ]*")
+    WORD = re.compile(rf"[{LETTERS}]+")
     #: The tokenizer's own pattern, with its classes as they are among the plain characters.
     PARTS = re.compile(rf"[{LETTERS}]+|[{DIGITS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{LETTERS}{DIGITS}]+")
     BLOCK = 1 << 20
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        vocabulary = self.model.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        for word, i in vocabulary.items():
-            self.ends[i] = word.endswith("</w>")
-        #: Words met since the last turn, and those of the turn before, of which the ones still in use come over.
+        #: Its merges, for a word that is lower-cased already, in the characters that stand for bytes there, and ids as bytes.
+        self.merge = self.model.model.tokenize
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x180)) if self.WORD.fullmatch(c)}
+        last = max(self.model.get_vocab().values(), default=0)
+        self.packed = [i.to_bytes(4, "little") for i in range(last + 1)]
+        #: Chunks and words met since the last turn, and those of the turn before, of which the ones still in use come over.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if text.isascii():
+            word = text.isalpha() and text.islower()
+        elif word := self.WORD.fullmatch(text):
+            text = text.translate(self.written)
+        packed = self.packed
+        if word:
+            return b"".join([packed[t.id] for t in self.merge(text)])
+        return b"".join([packed[i] for i in self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids])
+
+    def learn(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not a word, those of its parts together."""
+        parts = (chunk[:-1], chunk[-1]) if chunk[:-1].isalpha() else self.PARTS.findall(chunk)
+        if len(parts) == 1:
+            return self.whole(chunk)
+        known = self.known
+        for w in parts:
+            if w not in known:
+                known[w] = self.older[w] if w in self.older else self.whole(w)
+        return b"".join([known[w] for w in parts])
 
     def block(self, text: str) -> bytes:
         if not self.PLAIN.fullmatch(text):
             return self.whole(text)
-        parts = self.PARTS.findall(text.lower())
+        chunks = text.lower().split()
         if len(self.known) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = []
-        for w in set(parts).difference(known):
-            if w in older:
-                known[w] = older[w]
-            else:
-                new.append(w)
-        if new:
-            raw = self.whole(" ".join(new))
-            cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
-            if len(cuts) != len(new):
-                return self.whole(text)
-            start = 0
-            for word, end in zip(new, cuts, strict=True):
-                known[word] = raw[start:end]
-                start = end
-        return b"".join(map(known.__getitem__, parts))
+        known, older, whole = self.known, self.older, self.whole
+        for c in set(chunks).difference(known):
+            known[c] = older[c] if c in older else whole(c) if c.isalpha() else self.learn(c)
+        return b"".join(map(known.__getitem__, chunks))
 
     def of(self, text: str) -> bytes:
         """In blocks that end at a space, as tokens don't span one; texts with an added token's own string are encoded whole."""
