@@ -38,6 +38,48 @@ def test_letters_apart_are_read_as_by_the_whole_lattice(chars):
     assert told > 1000
 
 
+def _viterbi(seen, model):
+    """The likeliest path through the lattice, state by state."""
+    states = {(0, 0): (0.0, "")}
+    for choices in toxicity.lattice(seen):
+        reached = {}
+        for (a, b), (score, out) in states.items():
+            for text, cost in choices:
+                if not text or (text == " " and b == 0):
+                    key, s, to = (a, b), score + cost, out
+                else:
+                    c = 0 if text == " " else toxicity.symbol(text)
+                    key, s, to = (b, c), score + cost + model(a, b, c), out + text
+                if key not in reached or s > reached[key][0]:
+                    reached[key] = (s, to)
+        states = reached
+    return max(((s + (model(a, b, 0) if b else 0.0), out) for (a, b), (s, out) in states.items()), key=lambda x: x[0])[1].strip()
+
+
+def test_words_are_told_and_restored_once(chars, monkeypatch):
+    rnd = random.Random(9)
+    letters = "aabcdeeillmnoorrsstt" + "éàöïßаеі" + "013457@$!|+(#*._- /'"
+    words = ["".join(rnd.choice(letters) * rnd.choice([1, 1, 1, 2]) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    for w in words:
+        assert toxicity.restore(w, chars) == _viterbi(w, chars), w
+    told, tell = [], toxicity.disguised
+    monkeypatch.setattr(toxicity, "disguised", lambda w: told.append(w) or tell(w))
+    read, texts = toxicity.Restorer(chars), [" ".join(rnd.choices(words, k=60)) for _ in range(40)]
+    first = [read.words(t) for t in texts]
+    assert len(told) == len(set(told)) > 100
+    assert [read.words(t) for t in texts] == first == [toxicity.Restorer(chars).words(t) for t in texts]
+
+
+def test_memory_of_words_turns_over(chars, monkeypatch):
+    rnd = random.Random(10)
+    texts = ["".join(rnd.choice("aabbeelloо   ") for _ in range(80)) for _ in range(60)]
+    want = [toxicity.Restorer(chars).words(t) for t in texts]
+    monkeypatch.setattr(toxicity.Restorer, "REMEMBERED", 30)
+    read = toxicity.Restorer(chars)
+    assert [read.words(t) for t in texts] == want
+    assert len(read.met) < 100
+
+
 @here
 def test_scores_follow_from_the_model(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))

@@ -49,6 +49,10 @@ INVISIBLE = "​‌‍⁠﻿­"
 #: Characters below 0x180 that are letters or digits, and those that SPACED takes for a letter.
 _ALNUM = np.array([bool(re.match(r"[^\W_]", chr(c))) for c in range(0x180)])
 _UNIT = _ALNUM | np.isin(np.arange(0x180), [ord(c) for c in "@$!|+"])
+#: Of each byte of Latin-1: 3 for a letter or digit, 2 for another character that SPACED takes for a letter, else 0.
+_KINDS = bytes((3 if _ALNUM[c] else 2 if _UNIT[c] else 0) for c in range(0x100))
+#: Of each byte of Latin-1, its symbol.
+_SYMBOLS = bytes(_CODES[:0x100].tolist())
 PIECES = re.compile(r"[^\W\d_]+")
 DOUBLED = re.compile(r"(.)\1")
 
@@ -63,13 +67,20 @@ class CharModel:
         p2 = (two + 8 * p1) / (two.sum(axis=1, keepdims=True) + 8)
         p3 = (three + 8 * p2[None]) / (three.sum(axis=2, keepdims=True) + 8)
         self.log = np.log(p3).astype(np.float32)
-        self.rows = None
+        self.rows, self.after = None, []
 
     def __getstate__(self):
         return self.log
 
     def __setstate__(self, log):
-        self.log, self.rows = log, None
+        self.log, self.rows, self.after = log, None, []
+
+    def following(self) -> list[list[float]]:
+        """At a * SYMBOLS + b, the log probabilities of all symbols after a and b."""
+        if not self.after:
+            self(BOUNDARY, BOUNDARY, BOUNDARY)
+            self.after = [self.rows[BOUNDARY][BOUNDARY] if b == BOUNDARY else self.rows[a][b] for a in range(SYMBOLS) for b in range(SYMBOLS)]
+        return self.after
 
     def __call__(self, a: int, b: int, c: int) -> float:
         if self.rows is None:
@@ -151,7 +162,20 @@ def lattice(seen: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-@lru_cache(maxsize=1 << 16)
+class _Choices(dict):
+    """Of a character and what stands before it (nothing or a separator, the same, another): its readings with costs and symbols."""
+
+    def __missing__(self, at: tuple[str, str]) -> tuple[tuple[str, float, int], ...]:
+        c, before = at
+        seen = {"": "", "same": c, "other": "a"}[before] + c
+        self[at] = out = tuple((text, cost, BOUNDARY if text in ("", " ") else symbol(text)) for text, cost in lattice(seen)[-1])
+        return out
+
+
+CHOICES = _Choices()
+
+
+@lru_cache(maxsize=1 << 12)
 def disguised(word: str) -> bool:
     """Whether a word of letters has other readings: a letter twice in a row, or one that stands for another."""
     return bool(DOUBLED.search(word)) or not word.isascii() and any(LETTERS[c][1] for c in word)
@@ -178,31 +202,41 @@ def restore_apart(word: str, model: CharModel) -> str | None:
     A choice changes the probabilities of its own symbol and the next two, so
     choices so far apart are the likeliest each by itself.
     """
-    found, last, place, s = [], "", -3, [BOUNDARY, BOUNDARY]
-    for i, c in enumerate(word):
-        code, others = LETTERS[c]
-        s.append(code)
-        if others or c == last:
-            if i - place < 3:
+    found, last, place = [], "", -3
+    if word.isascii():  # only letters twice in a row
+        s = b"".join([b"\0\0", word.encode().translate(_SYMBOLS), b"\0"])
+        for m in DOUBLED.finditer(word):
+            i = m.end() - 1
+            if i - place < 3 or word[i + 1 : i + 2] == word[i]:
                 return None
-            found.append((i, others))
+            found.append((i, ()))
             place = i
-        last = c
-    s.append(BOUNDARY)
-    out = list(word)
+    else:
+        s = [BOUNDARY, BOUNDARY]
+        for i, c in enumerate(word):
+            code, others = LETTERS[c]
+            s.append(code)
+            if others or c == last:
+                if i - place < 3:
+                    return None
+                found.append((i, others))
+                place = i
+            last = c
+        s.append(BOUNDARY)
+    out, following = list(word), model.following()
     for i, others in found:
         a, b, after = s[i], s[i + 1], s[i + 3]
         second = s[i + 4] if i + 4 < len(s) else None
 
-        def price(d: int, a: int = a, b: int = b, after: int = after, second: int | None = second) -> float:
-            return model(a, b, d) + model(b, d, after) + (0.0 if second is None else model(d, after, second))
+        before, link = following[a * SYMBOLS + b], b * SYMBOLS
 
-        best, pick = price(s[i + 2]), word[i]
+        d = s[i + 2]
+        best, pick = before[d] + following[link + d][after] + (0.0 if second is None else following[d * SYMBOLS + after][second]), word[i]
         for x, d, cost in others:
-            if (p := cost + price(d)) > best:
+            if (p := cost + (before[d] + following[link + d][after] + (0.0 if second is None else following[d * SYMBOLS + after][second]))) > best:
                 best, pick = p, x
         if i and word[i] == word[i - 1]:
-            without = REPEAT + model(a, b, after) + (0.0 if second is None else model(b, after, second))
+            without = REPEAT + before[after] + (0.0 if second is None else following[link + after][second])
             if without > best:
                 pick = ""
         out[i] = pick
@@ -211,21 +245,27 @@ def restore_apart(word: str, model: CharModel) -> str | None:
 
 def restore(seen: str, model: CharModel) -> str:
     """The likeliest reading, by Viterbi over the last two symbols, with words parted by spaces."""
-    # state -> (score, link), a link being (text, link before)
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(BOUNDARY, BOUNDARY): (0.0, None)}
-    for choices in lattice(seen):
-        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        told = [(text, cost, BOUNDARY if text in ("", " ") else symbol(text)) for text, cost in choices]
-        for (a, b), (score, link) in states.items():
-            for text, cost, c in told:
-                if not text or (text == " " and b == BOUNDARY):
-                    key, s, to = (a, b), score + cost, link
+    following = model.following()
+    # last two symbols, a * SYMBOLS + b -> (score, link), a link being (text, link before)
+    states: dict[int, tuple[float, tuple | None]] = {BOUNDARY: (0.0, None)}
+    last = ""
+    for c in seen.lower():
+        if c in SEPARATORS and c != "*":
+            choices, last = CHOICES[c, "other" if last else ""], ""
+        else:
+            choices, last = CHOICES[c, "same" if c == last else ""], c
+        reached: dict[int, tuple[float, tuple | None]] = {}
+        for state, (score, link) in states.items():
+            row, b = following[state], state % SYMBOLS
+            for text, cost, d in choices:
+                if not text or (d == BOUNDARY and b == BOUNDARY):
+                    key, s, to = state, score + cost, link
                 else:
-                    key, s, to = (b, c), score + cost + model(a, b, c), (text, link)
-                if key not in following or s > following[key][0]:
-                    following[key] = (s, to)
-        states = following
-    (_, link) = max(((score + (model(a, b, BOUNDARY) if b else 0.0), link) for (a, b), (score, link) in states.items()), key=lambda x: x[0])
+                    key, s, to = b * SYMBOLS + d, score + cost + row[d], (text, link)
+                if key not in reached or s > reached[key][0]:
+                    reached[key] = (s, to)
+        states = reached
+    (_, link) = max(((score + (following[state][BOUNDARY] if state % SYMBOLS else 0.0), link) for state, (score, link) in states.items()), key=lambda x: x[0])
     out = []
     while link:
         out.append(link[0])
@@ -236,30 +276,50 @@ def restore(seen: str, model: CharModel) -> str:
 class Restorer:
     """Words of texts: those that stand there, and those restored."""
 
+    #: Words of texts, and of those other than words, that are remembered, about.
     REMEMBERED = 200_000
+    REMEMBERED_MIXED = 50_000
 
     def __init__(self, model: CharModel):
         self.model, self.known = model, {}
+        #: Words met, and what those are restored to that are restored to others.
+        self.met: set[str] = set()
+        self.changed: dict[str, list[str]] = {}
+
+    def restored(self, seen: str) -> str:
+        found = restore_apart(seen, self.model) if seen.isalpha() else None
+        return restore(seen, self.model) if found is None else found
 
     def read(self, seen: str) -> str:
         if seen not in self.known:
-            if len(self.known) >= self.REMEMBERED:
+            if len(self.known) >= self.REMEMBERED_MIXED:
                 self.known.clear()
-            found = restore_apart(seen, self.model) if seen.isalpha() else None
-            self.known[seen] = restore(seen, self.model) if found is None else found
+            self.known[seen] = self.restored(seen)
         return self.known[seen]
 
+    def learn(self, words: set[str]) -> None:
+        self.met |= words
+        for w in words:
+            if disguised(w) and (found := self.restored(w)) != w:
+                self.changed[w] = found.split()
+
     def spaced(self, text: str) -> set[str]:
         """Spaced-out words."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        if len(points) < 5:
+        if len(text) < 5:
             return set()
         # three in a row that stand alone, two or three places apart; other characters than the table's may be anything
-        near, at = points < 0x180, np.minimum(points, 0x17F)
-        alnum = np.zeros(len(points) + 2, bool)
-        alnum[1:-1] = _ALNUM[at] & near
-        alone = np.flatnonzero((_UNIT[at] | ~near) & ~alnum[:-2] & ~alnum[2:])
-        marks = np.zeros(len(points) + 6, bool)
+        try:
+            kinds = np.frombuffer(b" ".join([b"", text.encode("latin-1"), b""]).translate(_KINDS), np.uint8)
+            alone = np.flatnonzero((kinds[1:-1] != 0) & ((kinds[:-2] | kinds[2:]) & 1 == 0))
+        except UnicodeEncodeError:
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            near, at = points < 0x180, np.minimum(points, 0x17F)
+            alnum = np.zeros(len(points) + 2, bool)
+            alnum[1:-1] = _ALNUM[at] & near
+            alone = np.flatnonzero((_UNIT[at] | ~near) & ~alnum[:-2] & ~alnum[2:])
+        if len(alone) < 3:
+            return set()
+        marks = np.zeros(len(text) + 6, bool)
         marks[alone + 3] = True
         if not ((marks[alone] | marks[alone + 1]) & (marks[alone + 5] | marks[alone + 6])).any():
             return set()
@@ -270,21 +330,29 @@ class Restorer:
             return set(), set()
         if not text.isascii() and any(c in text for c in INVISIBLE):
             text = "".join(c for c in text if c not in INVISIBLE)
-        cores = {t.strip(OUTER) for t in set(text.split())}
+        tokens = set(text.split())
+        cores = {t.strip(OUTER) for t in tokens}
         alphabetic = [c for c in cores if c.isalpha()]
         plain = set(" ".join(alphabetic).lower().split())
+        if new := plain.difference(self.met):
+            if self.met and len(self.met) + len(new) > self.REMEMBERED:
+                self.met.clear()
+                self.changed.clear()
+                new = plain
+            self.learn(new)
+        restored: set[str] = set()
+        for w in plain & self.changed.keys():
+            restored.update(self.changed[w])
         suspects = self.spaced(text)
-        suspects.update(w for w in plain if disguised(w))
         if len(alphabetic) < len(cores):
             for core in cores.difference(alphabetic):
                 plain.update(PIECES.findall(core.lower()))
                 if len(core) > 2 and any(c.isalpha() for c in core):
                     suspects.add(core)
             # signs at the ends may be letters too
-            suspects.update(t for t in set(text.split()) if t[0] in "$@|(!<+*#" and len(t) > 2)
-            suspects.update(t for t in set(text.split()) if t[-1] in "$@|+*#" and len(t) > 2)
-        restored: set[str] = set()
-        for s in sorted(suspects):
+            suspects.update(t for t in tokens if t[0] in "$@|(!<+*#" and len(t) > 2)
+            suspects.update(t for t in tokens if t[-1] in "$@|+*#" and len(t) > 2)
+        for s in suspects:
             restored.update(self.read(s).split())
         return plain, restored - plain
 
@@ -292,14 +360,12 @@ class Restorer:
 MIN_STEM, MAX_STEM = 3, 7
 
 
-def traits(words: set[str]) -> Counter:
-    """How many distinct words begin with each stem of 3 to 7 letters, and each whole word, marked $."""
-    n: Counter[str] = Counter()
-    for w in words:
-        for k in range(MIN_STEM, min(MAX_STEM, len(w)) + 1):
-            n[w[:k]] += 1
-        n[w + "$"] += 1
-    return n
+def traits(words: set[str]) -> set[str]:
+    """The stems of 3 to 7 letters that words begin with, and each whole word, marked $."""
+    out = {w + "$" for w in words}
+    for k in range(MIN_STEM, MAX_STEM + 1):
+        out.update([w[:k] for w in words if len(w) >= k])
+    return out
 
 
 @dataclass
@@ -309,14 +375,16 @@ class ToxicModel:
     weights: list[float]
     bias: float
     heads: set[str] = field(default_factory=set)
+    wholes: set[str] = field(default_factory=set)
 
     def __post_init__(self):
         self.heads = {s[:MIN_STEM] for s in self.stems}
+        self.wholes = {s[:-1] for s in self.stems if s.endswith("$")}
 
     def counts(self, words: set[str]) -> dict[int, int]:
         n: dict[int, int] = defaultdict(int)
-        heads, stems = self.heads, self.stems
-        for w in [w for w in words if w[:MIN_STEM] in heads or w + "$" in stems]:
+        heads, wholes, stems = self.heads, self.wholes, self.stems
+        for w in [w for w in words if w[:MIN_STEM] in heads or w in wholes]:
             for k in range(MIN_STEM, min(MAX_STEM, len(w)) + 1):
                 if (i := stems.get(w[:k])) is not None:
                     n[i] += 1
@@ -325,7 +393,7 @@ class ToxicModel:
         return n
 
     def score(self, words: set[str]) -> float:
-        x = self.bias + sum(self.weights[i] * math.log1p(c) for i, c in self.counts(words).items())
+        x = self.bias + math.fsum(self.weights[i] * math.log1p(c) for i, c in self.counts(words).items())
         return 1.0 / (1.0 + math.exp(-x)) if x > -30 else 0.0
 
 
@@ -398,7 +466,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", max_rows: int
         for batch in batches:
             for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 plain, restored = read.words(t.as_py())
-                seen[y].update(traits(plain | restored).keys())
+                seen[y].update(traits(plain | restored))
                 seen[y][""] += 1
         names = list(seen[0].keys() | seen[1].keys())
         for i in range(0, len(names), 100_000):
