@@ -259,11 +259,13 @@ def restore(seen: str, model: CharModel) -> str:
             row, b = following[state], state % SYMBOLS
             for text, cost, d in choices:
                 if not text or (d == BOUNDARY and b == BOUNDARY):
-                    key, s, to = state, score + cost, link
+                    s = score + cost
+                    if (old := reached.get(state)) is None or s > old[0]:
+                        reached[state] = (s, link)
                 else:
-                    key, s, to = b * SYMBOLS + d, score + cost + row[d], (text, link)
-                if key not in reached or s > reached[key][0]:
-                    reached[key] = (s, to)
+                    key, s = b * SYMBOLS + d, score + cost + row[d]
+                    if (old := reached.get(key)) is None or s > old[0]:
+                        reached[key] = (s, (text, link))
         states = reached
     (_, link) = max(((score + (following[state][BOUNDARY] if state % SYMBOLS else 0.0), link) for state, (score, link) in states.items()), key=lambda x: x[0])
     out = []
@@ -282,9 +284,12 @@ class Restorer:
 
     def __init__(self, model: CharModel):
         self.model, self.known = model, {}
-        #: Words met, and what those are restored to that are restored to others.
+        #: Words met since the last turn, and what those are restored to that are restored to others; and the same of the turn before,
+        #: of which the ones still in use come over.
         self.met: set[str] = set()
         self.changed: dict[str, list[str]] = {}
+        self.older: set[str] = set()
+        self.older_changed: dict[str, list[str]] = {}
 
     def restored(self, seen: str) -> str:
         found = restore_apart(seen, self.model) if seen.isalpha() else None
@@ -299,7 +304,10 @@ class Restorer:
 
     def learn(self, words: set[str]) -> None:
         self.met |= words
-        for w in words:
+        again = words & self.older
+        for w in again & self.older_changed.keys():
+            self.changed[w] = self.older_changed[w]
+        for w in words - again:
             if disguised(w) and (found := self.restored(w)) != w:
                 self.changed[w] = found.split()
 
@@ -335,9 +343,8 @@ class Restorer:
         alphabetic = [c for c in cores if c.isalpha()]
         plain = set(" ".join(alphabetic).lower().split())
         if new := plain.difference(self.met):
-            if self.met and len(self.met) + len(new) > self.REMEMBERED:
-                self.met.clear()
-                self.changed.clear()
+            if len(self.met) > self.REMEMBERED // 2:
+                self.older, self.older_changed, self.met, self.changed = self.met, self.changed, set(), {}
                 new = plain
             self.learn(new)
         restored: set[str] = set()
