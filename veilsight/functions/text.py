@@ -243,6 +243,17 @@ def tag(word: Column) -> Column:
     )
 
 
+def tag_of(word: str) -> str:
+    """`tag` of one word."""
+    if word in DETERMINERS:
+        return "D"
+    if word in PREPOSITION_TAGS:
+        return "I"
+    if word in STOPWORDS:
+        return "O"
+    return "J" if len(word) > 4 and word.endswith(ADJECTIVE_ENDS) else "N"
+
+
 def part_of_speech(word: Column) -> Column:
     t = tag(word)
     return F.when(t == "N", "NN").when(t == "J", "JJ").when(t == "D", "DT").when(t == "I", "IN").otherwise("XX")
@@ -307,6 +318,15 @@ def lemma(word: Column) -> Column:
     )
 
 
+def lemma_of(word: str) -> str:
+    """`lemma` of one word."""
+    if word.endswith("ies") and len(word) > 4 and word[-4] not in "aeiou":
+        return word[:-3] + "y"
+    if word.endswith(("sses", "xes", "zes", "ches", "shes")):
+        return word[:-2]
+    return word[:-1] if word.endswith("s") and len(word) > 3 and word[-2] not in "su" else word
+
+
 def normalize_phrase(c: Column, lemmatize: bool = True) -> Column:
     """Lower case, without articles, each word its lemma."""
     kept = F.regexp_replace(F.lower(c), rf"(?<!\S)(?:{'|'.join(DETERMINERS)})(?!\S)", " ")

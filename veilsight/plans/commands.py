@@ -34,8 +34,7 @@ def method_a_compare(stats: DataFrame) -> DataFrame:
 
 def method_b(clauses: DataFrame, candidates: DataFrame, grammar: str = NP_GRAMMAR) -> DataFrame:
     """The phrase table of PROFILE clauses about candidate tokens."""
-    found = phrases.matches(clauses.where("label = 'PROFILE'"), candidates, grammar)
-    return phrases.phrase_table(found, tokens.token_tiers(candidates))
+    return phrases.phrase_table(clauses.where("label = 'PROFILE'"), candidates, tokens.token_tiers(candidates), grammar)
 
 
 def dictionary(clauses: DataFrame, lists: DataFrame | None = None, columns: tuple[str, ...] = (), tagger=text.morphemes, keep=text.content_word, min_profile: int = 1, alpha: float = 0.05) -> DataFrame:

@@ -137,7 +137,8 @@ FROM h JOIN r USING (phrase) GROUP BY h.phrase, freq, last"""
 )
 def phrase_examples_top3(s, d):
     none = s.createDataFrame([], "token string, alpha_tier string")
-    return phrases.phrase_table(_found(s, d), none).select("phrase", "freq", "head_token", "example_clause_1", "example_clause_2", "example_clause_3")
+    clauses = written(bindings.text_clauses(s, d).where("label = 'PROFILE'"))
+    return phrases.phrase_table(clauses, _vocabulary(clauses), none).select("phrase", "freq", "head_token", "example_clause_1", "example_clause_2", "example_clause_3")
 
 
 @query(sql.CLAUSES + ", v(token) AS (VALUES ('tion'), ('ing'), ('ther'), ('and')) SELECT token, CAST(count(*) AS BIGINT) AS n FROM cl JOIN v ON contains(lower(clause), token) GROUP BY token")
@@ -776,7 +777,8 @@ def _candidates(clauses):
     + " SELECT phrase, CAST(freq AS BIGINT) AS freq, head_token, source_tokens, CASE WHEN list_has_any(string_split(phrase, ' '), ts) THEN '0.05' END AS alpha_tier FROM h, tk"
 )
 def method_b_command(s, d):
-    clauses = checkpoint(bindings.text_clauses(s, d))
+    # vocabulary and phrases read no others
+    clauses = written(bindings.text_clauses(s, d).where("label = 'PROFILE'"))
     return commands.method_b(clauses, _candidates(clauses)).select("phrase", "freq", "head_token", "source_tokens", "alpha_tier")
 
 
