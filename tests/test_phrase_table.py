@@ -1,13 +1,15 @@
 """The phrase table: postings are the rows of `matches`, texts are read once, counts and examples are whole."""
 
 import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veilsight.functions import text
-from veilsight.operators import phrases
+from veilsight.operators import phrases, tokens
 from veilsight.plans import commands
 
 WORDS = ["the", "a", "senior", "nurse", "nurses", "of", "hospital", "parties", "boxes", "classes", "dies", "useful", "musical", "and", "is", "Very", "bus", "éclair", "axes", "table", "tables", "in", "with", "x", "s", "King", "İs"]
@@ -39,8 +41,6 @@ def test_postings_are_the_rows_of_matches(spark, monkeypatch, grammar, most):
 
 
 def test_tokens_of_one_hash_are_told_apart():
-    import pyarrow as pa
-
     known = phrases.Known(pa.array(["a", "b", "c"]))
     known.hashes[:] = hash("b")
     assert known.has(["a", "b", "d"]) == [False, True, False] and phrases.Known(pa.array([], pa.string())).has(["a"]) == [False]
@@ -82,3 +82,31 @@ def test_the_table_counts_all_and_reads_texts_once(spark, monkeypatch, most):
         examples = [e for i in (1, 2, 3) if (e := r[f"example_clause_{i}"]) is not None]
         # texts at one place may come in any order
         assert [first[e] for e in examples] == sorted(first.values())[:3] and len(set(examples)) == len(examples)
+
+
+def test_words_counted_by_batch_are_the_tokens_of_clauses(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["PROFILE", "NONE", "PII", None]), made(rnd, 12) + rnd.choice(["", "\n", "nu"])) for _ in range(400)] + [("PROFILE", None), ("NONE", ""), ("PROFILE", "nurse")]
+    clauses = spark.createDataFrame(rows, "label string, clause string")
+    want = Counter(map(tuple, tokens.token_counts(tokens.clause_tokens(clauses)).collect()))
+    assert Counter(map(tuple, tokens.default_counts(clauses).collect())) == want and len(want) > 5
+    assert tokens.default_counts(clauses.limit(0)).collect() == []
+    # in as many rows as memory asks for
+    batch = pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows]), pa.array([None if t is None else t.lower() for _, t in rows])], ["label", "clause"])
+    slices = [batch.slice(i, 50) for i in range(0, len(rows), 50)]
+    once, several = ([(r["label"], r["token"], r["n"]) for b in tokens._words_counted(iter(slices), most) for r in b.to_pylist()] for most in (1000, 3))
+    summed = Counter()
+    for label, token, n in several:
+        summed[label, token] += n
+    assert summed == {(label, token): n for label, token, n in once} and len(several) > len(once)
+
+
+@pytest.mark.parametrize("word_boundary", [False, True])
+def test_conjunctions_are_those_of_a_pattern_in_any_case(word_boundary):
+    rnd = random.Random(9)
+    bits = ["and ", "AND\t", "But  ", "whİle ", "WhIle ", "however, ", "sand ", ", because ", "K", "İ", "ı", "ß", "Whereas ", "x y ", "although ", "Though ", "Σ ", " "]
+    apart = r"(?:(?<=\s)|(?<=\s,))" if word_boundary else ""
+    pattern = re.compile(rf"(?ai){apart}(?:and|but|while|although|though|whereas|however|because|since|when|after|before)\s+")
+    for _ in range(3000):
+        s = "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12)))
+        assert text._at_conjunctions(s, word_boundary) == pattern.split(s)

@@ -16,17 +16,19 @@ from pyspark.sql.functions import arrow_udf
 from veilsight.config import LONG_SENTENCE_WORDS, MIN_CLAUSE_WORDS, NOT_TEXT
 
 #: Fixed patterns of the clause rules: what ends a sentence, what is no part of a clause's ends, words that begin another clause.
-SENTENCE_END = r"[\n.!?;]+"
+SENTENCE_ENDS = "\n.!?;"
 EDGES = " \t\n\x0b\f\r,;:.-"
-CONJUNCTIONS = "and|but|while|although|though|whereas|however|because|since|when|after|before"
+#: By their first letters, so that a place is tried once.
+CONJUNCTIONS = "a(?:nd|lthough|fter)|b(?:ut|ecause|efore)|wh(?:ile|ereas|en)|though|however|since"
 #: Characters that no text has, between parts and for a letter set aside.
 MARK, ASIDE = "\ufdd0", "\ufdd1"
 #: Fixed: signs that are upper case already, and the letters that they fold to.
 SIGNS, LETTERS = "\u03f4\u1e9e\u2126\u212a\u212b", "\u03b8\u00df\u03c9\u006b\u00e5"
 CLAUSE_MARKS_JA = "[。、]+"
 #: The same for one text in Python: blanks and case are those of ASCII, as in Spark's patterns.
-_SENTENCE_END, _BLANKS = re.compile(SENTENCE_END), re.compile(r"[\t\n\x0B\f\r]\s*|\s{2,}", re.A)
-_CONJUNCTION = [re.compile(rf"{apart}(?:{CONJUNCTIONS})\s+", re.A | re.I) for apart in ("", r"(?:(?<=\s)|(?<=\s,))")]
+_BLANKS = re.compile(r"[\t\n\x0B\f\r]\s*|\s{2,}", re.A)
+#: Both for texts in lower case, where no sign that becomes a letter of a conjunction keeps its length.
+_CONJUNCTION = [re.compile(rf"{apart}(?:{CONJUNCTIONS})\s+", re.A) for apart in ("", r"(?:(?<=\s)|(?<=\s,))")]
 _APART, _RARE = str.maketrans(SIGNS + "ı", LETTERS + ASIDE), re.compile(f"[{SIGNS}\u0130ı]")
 
 #: Fixed word lists of the default tagger.
@@ -98,6 +100,27 @@ def _folded(t: str) -> str:
     return t.upper() if t.isascii() or not _RARE.search(t) else t.replace("\u0130", "i\u0307").translate(_APART).upper()
 
 
+def _sentences(t: str) -> list[str]:
+    """Parts between the ends of sentences, with single spaces."""
+    for end in SENTENCE_ENDS:
+        t = t.replace(end, ".")
+    if "  " in t or any(blank in t for blank in "\t\x0b\f\r"):
+        t = _BLANKS.sub(" ", t)
+    return t.split(".")
+
+
+def _at_conjunctions(s: str, word_boundary: bool) -> list[str]:
+    """Parts of a sentence before, between and after conjunctions in any case."""
+    low = s.lower()
+    if len(low) != len(s):  # one sign is longer in lower case; it is no letter of a conjunction
+        low = s.replace("\u0130", "\u0131").lower()
+    parts, at = [], 0
+    for m in _CONJUNCTION[word_boundary].finditer(low):
+        parts.append(s[at : m.start()])
+        at = m.end()
+    return [*parts, s[at:]]
+
+
 def _tidy(parts: list[str]) -> list[str]:
     return [x for p in parts if (x := p.strip(EDGES))]
 
@@ -111,8 +134,8 @@ def clauses_of(t: str | None, word_boundary: bool = False, words: int = 0) -> li
     if t is None:
         return None
     found: dict[str, str] = {}
-    for s in _tidy(_BLANKS.sub(" ", _SENTENCE_END.sub(MARK, t)).split(MARK)):
-        parts = _tidy(_CONJUNCTION[word_boundary].split(s)) if s.count(" ") >= LONG_SENTENCE_WORDS else []
+    for s in _tidy(_sentences(t)):
+        parts = _tidy(_at_conjunctions(s, word_boundary)) if s.count(" ") >= LONG_SENTENCE_WORDS else []
         for x in parts if len(parts) > 1 else [s]:
             found.setdefault(_folded(x), x)
     out = list(found.values())
@@ -229,6 +252,15 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
 
 
+#: All bytes but those of a to z as blanks.
+_NO_LETTERS = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
+
+
+def words_of(t: str) -> list[str]:
+    """`words` of one text that is in lower case."""
+    return t.encode().translate(_NO_LETTERS).decode("ascii").split()
+
+
 def tag(word: Column) -> Column:
     """D, I, J, N or O: determiner, preposition, adjective, noun, other; by word lists and endings."""
     ends = F.lit(False)

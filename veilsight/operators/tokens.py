@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +52,34 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     )
 
 
+def _words_counted(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """label, token, n: words of lower-cased clauses, counted as far as memory goes."""
+    counts = {"PROFILE": Counter(), "NONE": Counter()}
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for label, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(c), pa.string()), pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["label", "token", "n"])
+            c.clear()
+
+    for batch in batches:
+        for label, c in counts.items():
+            # no word goes over a line
+            texts = batch.column(1).filter(pc.equal(batch.column(0), label)).drop_null().to_pylist()
+            c.update(text.words_of("\n".join(texts)))
+        if sum(map(len, counts.values())) > most:
+            yield from counted()
+    yield from counted()
+
+
+def default_counts(clauses: DataFrame) -> DataFrame:
+    """token_counts of clause_tokens by the default tags: words are counted in one pass over Arrow batches, and tagged when they are."""
+    labelled = clauses.where(F.col("label").isin("PROFILE", "NONE")).select("label", F.lower("clause").alias("clause"))
+    n = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    found = labelled.mapInArrow(_words_counted, "label string, token string, n long").groupBy("token").agg(n("PROFILE").alias("freq_profile"), n("NONE").alias("freq_none"))
+    found = found.withColumn("pos", text.part_of_speech(F.col("token"))).where(text.content_word(F.col("token"), F.col("pos")))
+    return found.select("token", "pos", "freq_profile", "freq_none")
+
+
 def clause_totals(clauses: DataFrame) -> DataFrame:
     """n_profile and n_none: clauses of each label, one row."""
     return clauses.agg(F.count_if(F.col("label") == "PROFILE").alias("n_profile"), F.count_if(F.col("label") == "NONE").alias("n_none"))

@@ -108,7 +108,7 @@ def or_ci_threshold_scan(s, d):
 
 def _vocabulary(clauses):
     """Tokens of a frequency from 3 on: the sample's words carry no significance of their own."""
-    return tokens.token_counts(tokens.clause_tokens(clauses.where("label = 'PROFILE'"))).where("freq_profile >= 3").select("token")
+    return tokens.default_counts(clauses.where("label = 'PROFILE'")).where("freq_profile >= 3").select("token")
 
 
 def _found(s, d):
