@@ -9,6 +9,8 @@ from veilsight.functions.text import RuleSplitter
 
 #: Lines that a task gathers to orders, about, however many there are in all.
 TASK_LINES = 250_000
+#: Labels of so many documents at most are broadcast, some 60 bytes each.
+BROADCAST_LABELS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +73,10 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     labels = table(spark, sf_dir, "labels")
     label = F.when(F.col("toxic") == 1, "PII").when(F.col("quality") == 1, "PROFILE").otherwise("NONE")
-    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("uuid"), F.col("source").alias("field"), "text", label.alias("label"))
+    # labels are counted, so that texts do not move
+    labels = labels.select("doc_id", label.alias("label"))
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_LABELS else labels
+    return docs.join(labels, "doc_id").select(F.col("doc_id").alias("uuid"), F.col("source").alias("field"), "text", "label")
 
 
 def text_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
